@@ -127,12 +127,19 @@ class Words:
         self.doc = np.searchsorted(self.offsets, self.starts, "right") - 1
         up, down = powers(len(self.raw) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.raw + np.uint64(1)) * up[: len(self.raw)])))
+        self._sums, self._down = sums, down
         keys = (sums[self.ends] - sums[self.starts]) * down[self.starts]
         self.keys = mix64(keys + (self.ends - self.starts).astype(np.uint64) * _MIX2)
 
     def word(self, i: int) -> str:
         return self.raw[self.starts[i] : self.ends[i]].tobytes().decode()
 
+    def prefix_keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of at least n bytes, and the hashes of their first n bytes."""
+        rows = np.flatnonzero(self.ends - self.starts >= n)
+        at = self.starts[rows]
+        return rows, mix64((self._sums[at + n] - self._sums[at]) * self._down[at] + np.uint64(n) * _MIX)
+
     def words(self, rows: np.ndarray) -> list[str]:
         raw = self.raw.tobytes()
         return [raw[a:b].decode() for a, b in zip(self.starts[rows].tolist(), self.ends[rows].tolist(), strict=True)]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from predial.llm import fingerprint, packing, tokens
-from predial.llm.common import ship
+from predial.llm import fingerprint, packing, quality, tokens, toxicity
+from predial.llm.common import held_out, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +22,30 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id", 4, 2))
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), labels.select("doc_id", F.col("toxic").alias("label")))
+    return scored.select(
+        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def site_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored with the labels of sf_dir; their source is the host, source and language the path."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.quality(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality(spark, table(spark, sf_dir, "documents"), sf_dir).select("doc_id", "score", "keep")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op6_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_toxicity, op6_packing, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
