@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from predial.llm import fingerprint, packing, quality, tokens, toxicity
+from predial.llm import decontam, fingerprint, langid, packing, quality, repeats, tokens, toxicity
 from predial.llm.common import held_out, ship
 
 
@@ -30,6 +30,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(table(spark, sf_dir, "documents"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predicted = langid.language(docs, docs.filter(~held_out("doc_id", 4, 2)))
+    return predicted.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -44,9 +54,34 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality(spark, table(spark, sf_dir, "documents"), sf_dir).select("doc_id", "score", "keep")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_toxicity, op6_packing, op9_quality)}
+    found = (
+        op1_token_counts, op2_fingerprints, op3_toxicity, op4_repeats, op5_language, op6_packing, op9_quality, op10_decontamination,
+    )
+    return {f.__name__: f for f in found}
+
+
+#: Distinct shingles of five words, or one of all words of a shorter text, for the texts of a table.
+_SHINGLES = r"""
+    select id, n, case when n < 5 then array_to_string(w, ' ') else array_to_string(w[i:i+4], ' ') end as s
+    from (select id, w, len(w) as n, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i
+          from (select {id} as id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+') as w from {table})
+          where len(w) > 0)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    docs, items = (_SHINGLES.format(id=i, table=t) for i, t in (("doc_id", "documents"), ("item_id", "benchmark")))
+    return {
+        "op10_decontamination": f"""
+with d as (select distinct id, least(n, 5) as k, s from ({docs})),
+     b as (select distinct id, least(n, 5) as k, s from ({items})),
+     total as (select id, count(*) as n from b group by id)
+select d.id as doc_id, b.id as item_id, count(*)::double / any_value(total.n) as containment
+from d join b on d.s = b.s and d.k = b.k join total on total.id = b.id
+group by d.id, b.id having count(*)::double / any_value(total.n) >= 0.8""",
+    }
