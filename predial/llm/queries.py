@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from predial.llm import decontam, fingerprint, langid, lm, packing, quality, repeats, tokens, toxicity
+from predial.llm import decontam, fingerprint, langid, lm, neardup, packing, quality, repeats, tokens, toxicity
 from predial.llm.common import held_out, ship
 
 
@@ -48,6 +48,10 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 10, 0))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def site_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored with the labels of sf_dir; their source is the host, source and language the path."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
@@ -64,7 +68,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        op1_token_counts, op2_fingerprints, op3_toxicity, op4_repeats, op5_language, op6_packing, op7_language_model, op9_quality, op10_decontamination,
+        op1_token_counts, op2_fingerprints, op3_toxicity, op4_repeats, op5_language, op6_packing, op7_language_model, op8_near_duplicates, op9_quality, op10_decontamination,
     )
     return {f.__name__: f for f in found}
 
