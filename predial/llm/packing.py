@@ -245,7 +245,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOK
     groups = max(1, round((total or 0) / group_tokens), round(rows / 20_000))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
 
-    def place(key, part: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
         lengths = part["length"].to_numpy(np.int64)
         full = int((lengths >= capacity).sum())
