@@ -105,6 +105,21 @@ def separators(spaces_only: bool) -> np.ndarray:
 SPACES, NOT_ALNUM = separators(True), separators(False)
 
 
+def range_keys(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Hashes of byte ranges, whose begins and ends ascend, in steps of about step bytes to keep memory small."""
+    out = np.empty(len(begins), np.uint64)
+    i = 0
+    while i < len(begins):
+        j = max(i + 1, int(np.searchsorted(begins, begins[i] + step)))
+        a, b, e = begins[i], begins[i:j] - begins[i], ends[i:j] - begins[i]
+        part = raw[a : a + e[-1]]
+        up, down = powers(len(part) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part + np.uint64(1)) * up[: len(part)])))
+        out[i:j] = mix64((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64) * _MIX2)
+        i = j
+    return out
+
+
 class Words:
     """Words of an Arrow array of texts (nulls count as empty), as byte ranges with 64-bit content hashes.
 
@@ -125,11 +140,7 @@ class Words:
         after[begins[begins > 0] - 1] = False
         self.starts, self.ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         self.doc = np.searchsorted(self.offsets, self.starts, "right") - 1
-        up, down = powers(len(self.raw) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.raw + np.uint64(1)) * up[: len(self.raw)])))
-        self._sums, self._down = sums, down
-        keys = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        self.keys = mix64(keys + (self.ends - self.starts).astype(np.uint64) * _MIX2)
+        self.keys = range_keys(self.raw, self.starts, self.ends)
 
     def word(self, i: int) -> str:
         return self.raw[self.starts[i] : self.ends[i]].tobytes().decode()
@@ -137,8 +148,7 @@ class Words:
     def prefix_keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Words of at least n bytes, and the hashes of their first n bytes."""
         rows = np.flatnonzero(self.ends - self.starts >= n)
-        at = self.starts[rows]
-        return rows, mix64((self._sums[at + n] - self._sums[at]) * self._down[at] + np.uint64(n) * _MIX)
+        return rows, mix64(range_keys(self.raw, self.starts[rows], self.starts[rows] + n) + np.uint64(n))
 
     def words(self, rows: np.ndarray) -> list[str]:
         raw = self.raw.tobytes()
