@@ -116,7 +116,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     for items in _blocks(benchmark, block_bytes):
 
         def search(batches, items=items):
-            for table in text_batches(batches, 6 << 20):
+            for table in text_batches(batches, 3 << 20):
                 found, bounds = shingles(Words(pc.utf8_lower(table.column("text").combine_chunks()), NOT_ALNUM), SHINGLE_WORDS)
                 row, item, share = contained(found, bounds, items, threshold)
                 ids = table.column("doc_id").combine_chunks().take(pa.array(row))
@@ -135,7 +135,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     for items in _blocks(benchmark, block_bytes):
 
         def keep(batches, items=items):
-            for table in text_batches(batches, 6 << 20):
+            for table in text_batches(batches, 3 << 20):
                 found, bounds = shingles(Words(pc.utf8_lower(table.column("text").combine_chunks()), NOT_ALNUM), SHINGLE_WORDS)
                 clean = np.ones(table.num_rows, bool)
                 clean[contained(found, bounds, items, threshold)[0]] = False

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from predial.llm.common import SPACES, Words, mix64, pack, partitions_for, sorted_groups, staged, text_bytes, unpack
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
+#: Text for each task that owns pairs and words.
+OWNER_BYTES = 24 << 20
 #: Hashes of the marks before and behind each text; no word has them but by chance.
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 PAIRS, WORDS, STATS, PAIR_TOTALS, WORD_TOTALS, NUMBER = range(6)
@@ -264,7 +266,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     n_bytes = text_bytes(docs)
-    parts = partitions_for(spark, n_bytes, SHARD_BYTES)
+    parts = partitions_for(spark, n_bytes, OWNER_BYTES)
     row = F.struct("doc_id", "text")
     rows = docs.select(row.alias("row"), F.coalesce(train, F.lit(False)).alias("train"))
     spread = F.xxhash64("row.doc_id", F.octet_length("row.text"), F.xxhash64("row.text"))

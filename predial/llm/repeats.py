@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from predial.llm.common import mix64, pack, partitions_for, powers, sorted_groups, staged, text_batches, text_bytes, unpack
+from predial.llm.common import mix64, pack, partitions_for, powers, range_keys, sorted_groups, staged, text_batches, text_bytes, unpack
 
 LENGTH = 50
 ANCHOR = 20
@@ -29,17 +29,9 @@ _G = np.uint64((1 << 48) - 1)
 _LAST = np.int64(2**63 - 1)
 
 
-def _key(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the byte ranges of raw."""
-    up, down = powers(len(raw) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * up[: len(raw)])))
-    return mix64((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
-
-
 def blocks(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Blocks of windows with one anchor in concatenated texts: begin, number of windows, anchor, hash of the bytes."""
     width, found = length - ANCHOR + 1, []
-    last = np.repeat(offsets[1:] - length, np.diff(offsets))  # the last window of each byte's text
     for at in range(0, max(len(raw) - length + 1, 0), _STEP):
         part = raw[at : at + _STEP + length - 1]
         up, down = powers(len(part) + 1)
@@ -56,7 +48,9 @@ def blocks(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[
             grams = np.minimum(grams[:-rest], grams[rest:])
         n = len(grams)
         here = np.arange(at, at + n)
-        valid = here <= last[at : at + n]
+        r = slice(int(np.searchsorted(offsets, at, "right")) - 1, int(np.searchsorted(offsets, at + n, "left")))
+        last = np.repeat(offsets[1:][r] - length, np.diff(np.clip(offsets[r.start : r.stop + 1], at, at + n)))
+        valid = here <= last  # windows that end within their text
         new = np.concatenate(([True], grams[1:] != grams[:-1])) | np.concatenate(([True], ~valid[:-1]))
         new[offsets[(offsets >= at) & (offsets < at + n)] - at] = True
         start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -129,7 +123,7 @@ KEYED, SPANS, NEEDED, BLOCKS = range(4)
 def _found_blocks(batches, parts: int, length: int, collapse: bool):
     """Blocks of whole documents, dealt by anchor. Of equal blocks only the smallest document's are sent on; in the others
     all their windows are known to be repeats already, which is sent as spans."""
-    for table in text_batches(batches, 32 << 20):
+    for table in text_batches(batches, 16 << 20):
         raw, offsets = _bytes_of(table.column("text").combine_chunks())
         doc, mark = (table.column(c).to_numpy().astype(k) for c, k in (("doc", np.int64), ("mark", np.uint32)))
         begin, count, anchor, whole = blocks(raw, offsets, length)
@@ -331,12 +325,7 @@ def _windows(held: list[list[np.ndarray]], length: int):
     block = np.repeat(np.arange(len(count)), count)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
     start = at[block] + nth
-    keys = np.zeros(len(start), np.uint64)
-    for i in range(0, len(count), 20_000):  # hash in parts: the powers stay few
-        blocks_ = slice(i, min(i + 20_000, len(count)))
-        a, b = at[blocks_][0], at[blocks_][-1] + size[blocks_][-1]
-        w = slice(*np.searchsorted(block, [blocks_.start, blocks_.stop]))
-        keys[w] = _key(raw[a:b], start[w] - a, start[w] - a + length)
+    keys = range_keys(raw, start, start + length)
     keys = mix64(keys ^ anchor[block])
     order = np.argsort(keys, kind="stable")
     k = keys[order]
