@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from predial.plans import listing_queries, other_queries
+
 
 def queries() -> dict:
-    return {}
+    return listing_queries.QUERIES | other_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return listing_queries.SQL | other_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Deduplicate, filter, price by zone, flag and count the funnel."""
+    return listing_queries.funnel(spark, sf_dir)

@@ -32,7 +32,10 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     double = lambda x: x.cast("double")
     unless = lambda key, n, value: F.when(F.col(key) % n != 0, value)
-    title = F.concat("p_name", F.coalesce(F.element_at(F.array(*map(F.lit, TITLE_MARKS)), F.when(F.col("l_orderkey") % 11 < len(TITLE_MARKS), (F.col("l_orderkey") % 11 + 1).cast("int"))), F.lit("")))
+    mark = F.lit("")
+    for i, words in enumerate(TITLE_MARKS):
+        mark = F.when(F.col("l_orderkey") % 11 == i, words).otherwise(mark)
+    title = F.concat("p_name", mark)
     yes_no = {
         name: F.when(F.col("l_partkey") % (3 + i) == 0, "Sí").when(F.col("l_partkey") % (3 + i) == 1, "No")
         for i, name in enumerate(YES_NO)
