@@ -243,3 +243,9 @@ def sorted_groups(sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
+
+
+def runs(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begins and ends of the runs of equal keys."""
+    at = sorted_groups(sorted_keys).tolist()
+    return list(zip(at, [*at[1:], len(sorted_keys)], strict=True)) if at else []

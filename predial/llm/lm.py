@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from predial.llm.common import SPACES, Words, mix64, pack, partitions_for, sorted_groups, staged, text_bytes, unpack
+from predial.llm.common import SPACES, Words, mix64, pack, partitions_for, runs, sorted_groups, staged, text_bytes, unpack
 
 SHARD_BYTES = 8 << 20
 #: Text for each task that owns pairs and words.
@@ -91,8 +91,7 @@ class Shard:
 
 
 def _runs(owner: np.ndarray):
-    at = sorted_groups(owner)
-    return zip(owner[at].tolist(), at.tolist(), [*at[1:].tolist(), len(owner)], strict=True)
+    return ((int(owner[i]), i, j) for i, j in runs(owner))
 
 
 def _ask(key, rows: pa.Table, parts: int) -> pa.Table:

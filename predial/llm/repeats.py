@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from predial.llm.common import mix64, pack, partitions_for, powers, range_keys, sorted_groups, staged, text_batches, text_bytes, unpack
+from predial.llm.common import mix64, pack, partitions_for, powers, range_keys, runs, sorted_groups, staged, text_batches, text_bytes, unpack
 
 LENGTH = 50
 ANCHOR = 20
@@ -98,9 +98,8 @@ def _split(part: np.ndarray, kind: int, *arrays: np.ndarray) -> pa.RecordBatch:
     """One packed row for each part that occurs; the arrays' rows are put in the parts' order, which is stable."""
     order = np.argsort(part, kind="stable")
     part, arrays = part[order], [a[order] for a in arrays]
-    at = sorted_groups(part)
-    ends = np.append(at[1:], len(part))
-    return _rows(part[at].tolist(), kind, [pack(*(a[i:j] for a in arrays)) for i, j in zip(at, ends, strict=True)])
+    found = runs(part)
+    return _rows([int(part[i]) for i, _ in found], kind, [pack(*(a[i:j] for a in arrays)) for i, j in found])
 
 
 def _spans(doc: np.ndarray, mark: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -142,8 +141,7 @@ def _found_blocks(batches, parts: int, length: int, collapse: bool):
                 yield _split(part, SPANS, *spans)
             row, begin, count, anchor, whole = (x[~later] for x in (row, begin, count, anchor, whole))
         part = _deal(anchor, parts)
-        at = sorted_groups(part)
-        for i, j in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
+        for i, j in runs(part):
             rows, place = np.unique(row[i:j], return_inverse=True)
             by_doc = np.argsort(doc[rows], kind="stable")
             rank = np.empty(len(rows), np.int64)
@@ -252,9 +250,8 @@ def _fetch_blocks(needed: pa.Table, texts: pa.Table, parts: int, length: int):
     before = np.where(begin > 0, raw[np.maximum(source - 1, 0)] if len(raw) else 0, 0).astype(np.int16) - (begin == 0)
     part = _deal(anchor, parts)
     order = np.lexsort((anchor, part))
-    at = sorted_groups(part[order])
     out = []
-    for i, j in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+    for i, j in runs(part[order]):
         o = order[i:j]
         size = count[o] + length - 1
         data = pack(
