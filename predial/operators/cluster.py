@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 MAX_K, ROWS_PER_CLUSTER = 5, 30
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, which cuts lineage between iterations."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/predial-shared"
@@ -26,18 +26,18 @@ def group_kmeans(points: DataFrame, group: str, key: str, x: str = "x", y: str =
     k is one for each ROWS_PER_CLUSTER rows, 1 to MAX_K. Starts are spread over each group's x order, so results do not
     depend on chance; clusters are numbered by their centre. Only counts of changed centres reach the driver.
     """
-    rows = _written(points.select(key, group, F.col(x).alias("x"), F.col(y).alias("y")).dropna())
+    rows = written(points.select(key, group, F.col(x).alias("x"), F.col(y).alias("y")).dropna())
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.percentile("x", F.array(*(F.lit((2 * i + 1) / (2 * MAX_K)) for i in range(MAX_K)))).alias("q"), F.avg("y").alias("my"))
     k = F.least(F.lit(MAX_K), F.greatest(F.lit(1), F.floor(F.col("n") / ROWS_PER_CLUSTER))).cast("int")
     starts = sizes.select(group, "my", "q", k.alias("k")).select(group, "my", "q", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
     centres = starts.select(group, "c", F.element_at("q", (F.floor((F.col("c") * 2 + 1) * MAX_K / (2 * F.col("k"))) + 1).cast("int")).alias("cx"), F.col("my").alias("cy"))
-    centres = _written(centres)
+    centres = written(centres)
     assigned = None
     for _ in range(max_iter):
         near = rows.join(F.broadcast(centres.groupBy(group).agg(F.collect_list(F.struct("c", "cx", "cy")).alias("all"))), group)
         best = F.array_min(F.transform("all", lambda a: F.struct((F.pow(F.col("x") - a["cx"], 2) + F.pow(F.col("y") - a["cy"], 2)).alias("d"), a["c"].alias("c"))))
         assigned = near.select(key, group, "x", "y", best["c"].alias("c"))
-        new = _written(assigned.groupBy(group, "c").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")))
+        new = written(assigned.groupBy(group, "c").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")))
         moved = new.join(centres.select(group, "c", F.col("cx").alias("ox"), F.col("cy").alias("oy")), [group, "c"], "left")
         moved = moved.filter((F.abs(F.col("cx") - F.coalesce("ox", F.lit(1e18))) > 1e-9) | (F.abs(F.col("cy") - F.coalesce("oy", F.lit(1e18))) > 1e-9))
         centres = new

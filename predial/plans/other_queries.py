@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from predial.functions import numeric, text
-from predial.operators import clean, cluster, model, stats
+from predial.operators import clean, cluster, learn, model, stats
 from predial.operators.clean import truth
-from predial.plans.listing_queries import _DEDUP, _FOLD, _REASON, _UNIT, QUERIES as _listed, r6, with_unit
+from predial.plans.listing_queries import _DEDUP, _FOLD, _REASON, _UNIT, QUERIES as _listed, r6, surveys as _surveys, with_unit
 from predial.sources.listings import LISTINGS_SQL, listings, tables
 from predial.streaming.dedup import windowed_counts
 
@@ -271,3 +271,28 @@ def flag_sets(spark, sf):
     a, b = (rows.filter(c).select("id_aviso").distinct() for c in (F.col("precio_m2_usd") < 1500, F.col("ambientes") >= 4))
     named = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("conjunto"), "n")
     return named(a.intersect(b), "interseccion").unionByName(named(a.union(b).distinct(), "union")).unionByName(named(a.subtract(b), "solo_a"))
+
+
+@query()
+def model_comparison(spark, sf):
+    """Zone median, least squares, ridge and boosted trees on the same folds (LM9, LM10, A18)."""
+    rows = _model_rows(spark, sf).filter("f_log_m2 is not null")
+    xs = list(_XS)
+    betas, means = model.fit_within(rows, "y", xs, "barrio", "vuelta")
+    out = model.predict_within(rows, "y", xs, "barrio", "vuelta", betas, means).withColumnRenamed("prediccion", "lineal")
+    out = model.zone_medians(out, "precio_m2_usd", "barrio", "vuelta").withColumn("mediana_zona", F.log("esperado"))
+    # Written once: each fold of each learner reads these few columns again.
+    out = cluster.written(out.select("id_aviso", "vuelta", "y", *xs, "lineal", "mediana_zona", "lat", "lon"))
+    out = cluster.written(learn.ridge(out, xs, "y", "vuelta").withColumnRenamed("prediccion_ridge", "ridge"))
+    out = learn.boosted(out, [*xs, "lat", "lon", "mediana_zona"], "y", "vuelta", trees=5).withColumnRenamed("prediccion_gbm", "gbm")
+    return learn.model_metrics(out, "y", ["mediana_zona", "lineal", "ridge", "gbm"])
+
+
+@query()
+def exit_probability(spark, sf):
+    """Out-of-fold probability that a listing leaves, and its log loss (LM16, F27)."""
+    first, second = _surveys(spark, sf)
+    state = clean.snapshot_diff(first, second).select("id_aviso", (F.col("estado") == "salio").cast("double").alias("salio"), "clave_unidad")
+    rows = first.join(state.select("id_aviso", "salio"), "id_aviso").withColumns({"vuelta": numeric.fold_of(F.col("clave_unidad")), "lp": F.log("precio_usd")})
+    out = learn.logistic(cluster.written(rows), ["lp"], "salio", "vuelta")
+    return out.groupBy("vuelta").agg(F.count("*").alias("n"), F.avg("salio").alias("tasa"), F.avg(numeric.log_loss(F.col("salio"), F.col("probabilidad"))).alias("perdida"))
