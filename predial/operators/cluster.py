@@ -34,7 +34,7 @@ def group_kmeans(points: DataFrame, group: str, key: str, x: str = "x", y: str =
     centres = written(centres)
     assigned = None
     for _ in range(max_iter):
-        near = rows.join(F.broadcast(centres.groupBy(group).agg(F.collect_list(F.struct("c", "cx", "cy")).alias("all"))), group)
+        near = rows.join(centres.groupBy(group).agg(F.collect_list(F.struct("c", "cx", "cy")).alias("all")), group)
         best = F.array_min(F.transform("all", lambda a: F.struct((F.pow(F.col("x") - a["cx"], 2) + F.pow(F.col("y") - a["cy"], 2)).alias("d"), a["c"].alias("c"))))
         assigned = near.select(key, group, "x", "y", best["c"].alias("c"))
         new = written(assigned.groupBy(group, "c").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")))
@@ -44,7 +44,7 @@ def group_kmeans(points: DataFrame, group: str, key: str, x: str = "x", y: str =
         if moved.isEmpty():
             break
     order = centres.withColumn("cluster", F.row_number().over(Window.partitionBy(group).orderBy("cx", "cy", "c")) - 1)
-    return assigned.join(F.broadcast(order.select(group, "c", "cluster")), [group, "c"]).select(key, group, "cluster")
+    return assigned.join(order.select(group, "c", "cluster"), [group, "c"]).select(key, group, "cluster")
 
 
 def correspondence_scores(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:

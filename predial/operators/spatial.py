@@ -112,11 +112,37 @@ def assign_polygon(points: DataFrame, edges: DataFrame, priority: DataFrame, cel
     return points.join(best, ["x", "y"], "left").withColumn("n_poligonos", F.coalesce("n_poligonos", F.lit(0)))
 
 
+def edge_distances(points: DataFrame, edges: DataFrame, name: str, ring: float = 500.0, few: int = FEW) -> DataFrame:
+    """Distinct points (x, y) with the distance to the nearest edge.
+
+    A few edges are broadcast. Many are known in the grid cells that their boxes cover; points look into the nine cells
+    around, in rings that grow until each point has met an edge within the ring's reach.
+    """
+    d = edge_distance(F.col("x"), F.col("y"))
+    n = edges.limit(few + 1).count()
+    if n == 0:
+        return points.withColumn(name, F.lit(None).cast("double"))
+    if n <= few:
+        return points.crossJoin(F.broadcast(edges)).groupBy("x", "y").agg(F.min(d).alias(name))
+    near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    found, left = None, points
+    while True:
+        cell = lambda v, r=ring: F.floor(v / r)
+        span = lambda p: F.explode(F.sequence(cell(F.least(f"{p}1", f"{p}2")), cell(F.greatest(f"{p}1", f"{p}2"))))  # noqa: E731, B023
+        given = edges.withColumn("_cx", span("x")).withColumn("_cy", span("y"))
+        asked = left.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
+        asked = asked.withColumns({"_cx": cell(F.col("x")) + F.col("_dx"), "_cy": cell(F.col("y")) + F.col("_dy")})
+        best = asked.join(given, ["_cx", "_cy"]).groupBy("x", "y").agg(F.min(d).alias(name)).filter(F.col(name) <= ring)
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best.select("x", "y"), ["x", "y"], "left_anti")
+        if left.isEmpty():
+            return found
+        ring *= 4
+
+
 def polygon_distance(points: DataFrame, edges: DataFrame, cell: float, name: str) -> DataFrame:
-    """Distinct points with the distance to the nearest polygon, 0 inside (J14, J17). edges: a table of checked size."""
-    n = edges.limit(200_001).count()
-    near = F.broadcast(edges) if n <= 200_000 else edges
-    away = points.crossJoin(near).groupBy("x", "y").agg(F.min(edge_distance(F.col("x"), F.col("y"))).alias("_d"))
+    """Distinct points with the distance to the nearest polygon, 0 inside."""
+    away = edge_distances(points, edges, "_d")
     inside = point_in_polygon(points, edges, cell).select("x", "y").distinct().withColumn("_in", F.lit(True))
     out = points.join(away, ["x", "y"], "left").join(inside, ["x", "y"], "left")
     return out.withColumn(name, F.when(F.col("_in"), F.lit(0.0)).otherwise(F.col("_d"))).drop("_d", "_in")

@@ -77,7 +77,7 @@ def map_background(spark, sf):
     """Points with dictionary-encoded neighbourhoods and rounded coordinates (SNK5)."""
     rows = listings(spark, sf).select("barrio", F.bround("lat", 4).alias("lat"), F.bround("lon", 4).alias("lon"))
     codes = rows.select("barrio").distinct().withColumn("codigo", F.dense_rank().over(Window.orderBy("barrio")) - 1)  # one row per neighbourhood
-    return rows.join(F.broadcast(codes), "barrio").groupBy("codigo", "lat", "lon").agg(F.count("*").alias("n"))
+    return rows.join(codes, "barrio").groupBy("codigo", "lat", "lon").agg(F.count("*").alias("n"))
 
 
 @query(f"""{_SURVEYS}, x as (select case when same is not null then 'sigue' when again is not null then 'republicado' else 'salio' end as estado, length(clave_unidad) % 3 as g from j),

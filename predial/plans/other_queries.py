@@ -197,7 +197,7 @@ def hedonic_ols(spark, sf):
     betas, means = model.fit_within(rows, "y", list(_XS), "barrio", "vuelta")
     out = model.predict_within(rows, "y", list(_XS), "barrio", "vuelta", betas, means).withColumn("residuo", F.col("y") - F.col("prediccion"))
     limits = stats.conformal_limits(out, "residuo", "barrio", "vuelta")
-    out = out.join(F.broadcast(limits), ["vuelta", "barrio"], "left")  # folds x neighbourhoods rows
+    out = out.join(limits, ["vuelta", "barrio"], "left")
     return out.select("id_aviso", "vuelta", F.exp("prediccion").alias("precio_m2_esperado"), (F.col("precio_m2_usd") / F.exp("prediccion") - 1).alias("brecha"), truth(F.col("residuo") < F.col("limite_inf")).alias("bajo_intervalo"))
 
 
