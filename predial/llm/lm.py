@@ -1,9 +1,9 @@
 """Interpolated modified Kneser-Ney bigram model of words: counted in Spark, looked up in memory-mapped sorted arrays.
 
-Texts are dealt into shards. Each shard sends its distinct word pairs and words with their training counts to the tasks that
-own them by hash; those add up the counts of all shards, derive the statistics of contexts and continuations, and answer
-every shard with the totals of just the pairs and words that it asked for. A shard keeps its answers as sorted hash arrays
-in a memory-mapped file while it scores its texts.
+Texts are dealt into shards. Each shard sends the hashes of its distinct word pairs, with their training counts, to the tasks
+that own them; those add up the counts of all shards and answer every shard with the totals of just the pairs that it asked
+for. One shard for each pair then counts it for its context and its word; words are totalled and answered in the same way. A
+shard keeps its answers as sorted arrays in a memory-mapped file while it scores its texts.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from predial.llm.common import SPACES, Words, mix64, pack, partitions_for, runs, sorted_groups, staged, text_bytes, unpack
 
@@ -24,7 +25,7 @@ SHARD_BYTES = 8 << 20
 OWNER_BYTES = 24 << 20
 #: Hashes of the marks before and behind each text; no word has them but by chance.
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-PAIRS, WORDS, STATS, PAIR_TOTALS, WORD_TOTALS, NUMBER = range(6)
+PAIRS, PAIR_TOTALS, WORDS, WORD_TOTALS, NUMBER = range(5)
 _SCHEMA = "part int, kind tinyint, data binary, n long"
 _ROW = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("data", pa.binary()), ("n", pa.int64())])
 #: Numbers summed over all tasks: pairs seen 1, 2, 3, 4 times, all pairs; words with 1, 2, 3, 4, at least 3 continuations;
@@ -36,12 +37,13 @@ def _row(part: int, kind: int, data: bytes | None, n: int | None = None) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int8()), pa.array([data], pa.binary()), pa.array([n], pa.int64())], schema=_ROW)
 
 
-def _part(keys: np.ndarray, n: int) -> np.ndarray:
+def _word_part(keys: np.ndarray, n: int) -> np.ndarray:
     return ((mix64(keys) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _short(keys: np.ndarray) -> np.ndarray:
-    return keys >> np.uint64(16)
+def _pair_part(keys: np.ndarray, n: int) -> np.ndarray:
+    """In the order of the keys, which have 48 bits."""
+    return ((keys >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 class Shard:
@@ -65,23 +67,22 @@ class Shard:
         # Words, with the mark before texts, which is never a token.
         self.word_of, words = pd.factorize(np.concatenate((tokens, [BEGIN])))
         counts = np.bincount(self.word_of[:-1], weights=self.train, minlength=len(words)).astype(np.int64)
-        owner = _part(_short(words), parts)
+        owner = _word_part(words, parts)
         order = np.lexsort((words, owner))
         self.word_rank = np.empty(len(words), np.int64)
         self.word_rank[order] = np.arange(len(words))
         self.words, self.word_counts, self.word_owner = words[order], counts[order], owner[order]
         self.word_of, self.begin_word = self.word_of[:-1], self.word_of[-1]
-        # Pairs.
-        a, b = _short(before), _short(tokens)
-        self.pair_of, keys = pd.factorize(mix64(a * np.uint64(0x9E3779B97F4A7C15) + b))
-        first = np.empty(len(keys), np.int64)
-        first[self.pair_of[::-1]] = np.arange(len(tokens) - 1, -1, -1)
-        counts = np.bincount(self.pair_of, weights=self.train, minlength=len(keys)).astype(np.int64)
-        owner, a, b = _part(keys, parts), a[first], b[first]
-        order = np.lexsort((b, a, owner))
-        self.pair_rank = np.empty(len(keys), np.int64)
-        self.pair_rank[order] = np.arange(len(keys))
-        self.a, self.b, self.pair_counts, self.pair_owner = a[order], b[order], counts[order], owner[order]
+        # Pairs, in the order of their hashes.
+        keys = mix64(before * np.uint64(0x9E3779B97F4A7C15) + mix64(tokens)) >> np.uint64(16)
+        self.pair_of, self.pairs = pd.factorize(keys)
+        self.first = np.empty(len(self.pairs), np.int64)
+        self.first[self.pair_of[::-1]] = np.arange(len(tokens) - 1, -1, -1)
+        counts = np.bincount(self.pair_of, weights=self.train, minlength=len(self.pairs)).astype(np.int64)
+        order = np.argsort(self.pairs)
+        self.pair_rank = np.empty(len(order), np.int64)
+        self.pair_rank[order] = np.arange(len(order))
+        self.pairs, self.first, self.pair_counts = self.pairs[order], self.first[order], counts[order]
 
     def before_rank(self) -> np.ndarray:
         """The place of the word before each token."""
@@ -97,13 +98,8 @@ def _runs(owner: np.ndarray):
 def _ask(key, rows: pa.Table, parts: int) -> pa.Table:
     shard, me = Shard(rows, parts), key[0].as_py()
     out = []
-    for part, i, j in _runs(shard.pair_owner):
-        a, b = shard.a[i:j], shard.b[i:j]
-        data = pack(np.array([me]), np.diff(a, prepend=np.uint64(0)), np.diff(b, prepend=np.uint64(0)), shard.pair_counts[i:j].astype(np.uint32))
-        out.append(_row(part, PAIRS, data))
-    for part, i, j in _runs(shard.word_owner):
-        data = pack(np.array([me]), np.diff(shard.words[i:j], prepend=np.uint64(0)), shard.word_counts[i:j].astype(np.uint32))
-        out.append(_row(part, WORDS, data))
+    for part, i, j in _runs(_pair_part(shard.pairs, parts)):
+        out.append(_row(part, PAIRS, pack(np.array([me]), np.diff(shard.pairs[i:j], prepend=np.uint64(0)), _small(shard.pair_counts[i:j]))))
     return pa.Table.from_batches(out, _ROW)
 
 
@@ -113,87 +109,81 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 
 def _total_pairs(batches, parts: int):
-    """Totals of pairs: answers to the shards, statistics by word, and counts of counts."""
+    """Totals of pairs: answers to the shards, and counts of counts. One shard of those that have a pair in training is told
+    to count it for its context and its word."""
     asked = []
     for batch in batches:
-        for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
-            if kind == WORDS:  # on to the next step, which has as many parts
-                keys = np.cumsum(unpack(data.as_py())[1])
-                yield _row(int(_part(_short(keys[:1]), parts)[0]), WORDS, data.as_py())
-            else:
-                me, a, b, n = unpack(data.as_py())
-                asked.append((int(me[0]), np.cumsum(a), np.cumsum(b), n))
+        for data in batch.column("data"):
+            me, steps, n = unpack(data.as_py())
+            asked.append((int(me[0]), np.cumsum(steps), n.astype(np.int64)))
     if not asked:
         return
-    a, b, n = (np.concatenate([x[i] for x in asked]) for i in (1, 2, 3))
-    order = np.lexsort((b, a))
-    sa, sb = a[order], b[order]
-    new = np.concatenate(([True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])))
-    at = np.flatnonzero(new)
-    total = np.add.reduceat(n[order].astype(np.int64), at)
-    of_entry = np.empty(len(a), np.int64)
-    of_entry[order] = np.cumsum(new) - 1
-    mine = int(_part(mix64(sa[:1] * np.uint64(0x9E3779B97F4A7C15) + sb[:1]), parts)[0])
+    keys, n = (np.concatenate([x[i] for x in asked]) for i in (1, 2))
+    order = np.lexsort((n == 0, keys))
+    ordered = keys[order]
+    at = sorted_groups(ordered)
+    total = np.add.reduceat(n[order], at)
+    of_entry, chosen = np.empty(len(keys), np.int64), np.zeros(len(keys), bool)
+    of_entry[order] = np.repeat(total, np.diff(np.append(at, len(keys))))
+    chosen[order[at]] = total > 0
+    mine = int(_pair_part(ordered[:1], parts)[0])
     ends = np.cumsum([len(x[1]) for x in asked])
-    for (me, x, *_), end in zip(asked, ends.tolist(), strict=True):
-        yield _row(me, PAIR_TOTALS, pack(np.array([mine]), _small(total[of_entry[end - len(x) : end]])))
-    seen = total > 0
-    sa, sb, total = sa[at][seen], sb[at][seen], total[seen]
-    for name, value in zip(_NUMBERS, (*(int((total == k).sum()) for k in (1, 2, 3, 4)), len(total)), strict=False):
+    for (me, x, _), end in zip(asked, ends.tolist(), strict=True):
+        part = slice(end - len(x), end)
+        yield _row(me, PAIR_TOTALS, pack(np.array([mine]), _small(of_entry[part]), np.packbits(chosen[part])))
+    for name, value in zip(_NUMBERS, (*(int((total == k).sum()) for k in (1, 2, 3, 4)), int((total > 0).sum())), strict=False):
         yield _row(_NUMBERS.index(name), NUMBER, None, value)
-    if not len(total):
-        return
-    # By context: its tokens, and followers seen 1, 2 and more times. By word: how many words it follows.
-    at = sorted_groups(sa)
-    context = [sa[at], np.add.reduceat(total, at), *(np.add.reduceat((total == 1).astype(np.int64), at), np.add.reduceat((total == 2).astype(np.int64), at), np.add.reduceat((total > 2).astype(np.int64), at))]
-    word, follows = np.unique(sb, return_counts=True)
-    keys = np.concatenate((context[0], word))
-    columns = [np.concatenate((x, np.zeros(len(word), np.int64))) for x in context[1:]]
-    columns.append(np.concatenate((np.zeros(len(at), np.int64), follows)))
-    owner = _part(keys, parts)
-    order = np.lexsort((keys, owner))
-    for part, i, j in _runs(owner[order]):
-        o = order[i:j]
-        yield _row(part, STATS, pack(np.diff(keys[o], prepend=np.uint64(0)), *(_small(c[o]) for c in columns)))
+
+
+def _answers(table: pa.Table, kind: int) -> list[list[np.ndarray]]:
+    """The answers of one kind to a shard, without their heads, in the order in which it asked."""
+    found = [unpack(x) for x in table.filter(pc.equal(table.column("kind"), kind)).column("data").to_pylist()]
+    return [x[1:] for x in sorted(found, key=lambda x: int(x[0][0]))]
+
+
+def _joined(found: list[list[np.ndarray]], i: int) -> np.ndarray:
+    return np.concatenate([x[i].astype(np.int64) for x in found]) if found else np.zeros(0, np.int64)
+
+
+def _ask_words(key, totals: pa.Table, rows: pa.Table, parts: int) -> pa.Table:
+    """A shard's words with their counts, and what the pairs that it is to count add to their statistics."""
+    if not rows.num_rows:
+        return _ROW.empty_table()
+    shard, me = Shard(rows, parts), key[0].as_py()
+    found = _answers(totals, PAIR_TOTALS)
+    total = _joined(found, 0)
+    chosen = np.concatenate([np.unpackbits(x[1], count=len(x[0])) for x in found]).astype(bool)
+    total, first = total[chosen], shard.first[chosen]
+    context, word = shard.before_rank()[first], shard.word_rank[shard.word_of][first]
+    n = len(shard.words)
+    sums = [np.bincount(context, weights=total, minlength=n).astype(np.int64), *(np.bincount(context[x], minlength=n) for x in (total == 1, total == 2, total > 2)), np.bincount(word, minlength=n)]
+    out = []
+    for part, i, j in _runs(shard.word_owner):
+        out.append(_row(part, WORDS, pack(np.array([me]), np.diff(shard.words[i:j], prepend=np.uint64(0)), *(_small(c[i:j]) for c in (shard.word_counts, *sums)))))
+    return pa.Table.from_batches(out, _ROW)
 
 
 def _total_words(batches):
     """Totals and statistics of words: answers to the shards, and counts of counts."""
-    asked, stats = [], []
+    asked = []
     for batch in batches:
-        for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
-            got = unpack(data.as_py())
-            if kind == WORDS:
-                asked.append((int(got[0][0]), np.cumsum(got[1]), got[2].astype(np.int64)))
-            else:
-                stats.append((np.cumsum(got[0]), *(x.astype(np.int64) for x in got[1:])))
+        for data in batch.column("data"):
+            me, steps, *columns = unpack(data.as_py())
+            asked.append((int(me[0]), np.cumsum(steps), columns))
     if not asked:
         return
     keys, place = np.unique(np.concatenate([x[1] for x in asked]), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate([x[2] for x in asked])).astype(np.int64)
-    shorts, short_of = np.unique(_short(keys), return_inverse=True)
-    sums = np.zeros((5, len(shorts)), np.int64)
-    for short, *columns in stats:
-        at = np.minimum(np.searchsorted(shorts, short), len(shorts) - 1)
-        ok = shorts[at] == short
-        for row, column in zip(sums, columns, strict=True):
-            np.add.at(row, at[ok], column[ok])
-    mine = int(_part_of_first(keys))
+    sums = [np.bincount(place, weights=np.concatenate([x[2][i] for x in asked])).astype(np.int64) for i in range(6)]
+    mine = np.array([mix64(keys[:1])[0] >> np.uint64(1)])
     ends = np.cumsum([len(x[1]) for x in asked])
     for (me, x, _), end in zip(asked, ends.tolist(), strict=True):
-        p = place[end - len(x) : end]
-        yield _row(me, WORD_TOTALS, pack(np.array([mine], np.uint64), _small(total[p]), *(_small(row[short_of[p]]) for row in sums)))
-    follows = sums[4]
+        yield _row(me, WORD_TOTALS, pack(mine, *(_small(c[place[end - len(x) : end]]) for c in sums)))
+    total, follows = sums[0], sums[5]
     values = (*(int((follows == k).sum()) for k in (1, 2, 3, 4)), int((follows > 2).sum()), int(total.sum()), int((total > 0).sum()))
     for name, value in zip(_NUMBERS[5:], values, strict=True):
         yield _row(_NUMBERS.index(name), NUMBER, None, value)
 
 
-def _part_of_first(keys: np.ndarray) -> int:
-    """What orders the answers to a shard as it sorted its questions: the mixed hash's upper half."""
-    return int(mix64(_short(keys[:1]))[0] >> np.uint64(1))
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     """What is taken off counts of 0, 1, 2 and more, by the counts of counts; thin data fall back on fixed ones."""
     if not (n1 and n2 and n3 and n4):
@@ -217,17 +207,16 @@ class Mapped:
             setattr(self, name, np.memmap(self.file, kind, "r", at, (n,)) if n else np.zeros(0, kind))
 
 
-def _score(answers: pa.Table, rows: pa.Table, parts: int, g: dict[str, int], kind: pa.DataType) -> pa.Table:
+def _score(answers: pa.Table, rows: pa.Table, parts: int, pair_numbers: dict[str, int], schema: pa.Schema) -> pa.Table:
+    if not rows.num_rows:
+        return schema.empty_table()
     shard = Shard(rows, parts)
-    got: dict[int, list] = {PAIR_TOTALS: [], WORD_TOTALS: []}
-    for k, data in zip(answers.column("kind").to_pylist(), answers.column("data"), strict=True):
-        head, *columns = unpack(data.as_py())
-        got[k].append((int(head[0]), columns))
-    pairs = sorted(got[PAIR_TOTALS], key=lambda x: x[0])
-    words = sorted(got[WORD_TOTALS], key=lambda x: x[0])
-    joined = lambda found, i: np.concatenate([x[i].astype(np.int64) for _, x in found]) if found else np.zeros(0, np.int64)
+    g = dict.fromkeys(_NUMBERS, 0) | pair_numbers
+    for found in answers.filter(pc.equal(answers.column("kind"), NUMBER)).column("numbers").to_pylist():
+        g |= {_NUMBERS[x["part"]]: x["n"] for x in found or []}
+    words = _answers(answers, WORD_TOTALS)
     names = ("count", "context", "once", "twice", "often", "follows")
-    model = Mapped(pairs=joined(pairs, 0), **{name: joined(words, i) for i, name in enumerate(names)})
+    model = Mapped(pairs=_joined(_answers(answers, PAIR_TOTALS), 0), **{name: _joined(words, i) for i, name in enumerate(names)})
     word, before = shard.word_rank[shard.word_of], shard.before_rank()
     n, v = g["tokens"], g["distinct"]
     count = model.count[word]
@@ -251,7 +240,7 @@ def _score(answers: pa.Table, rows: pa.Table, parts: int, g: dict[str, int], kin
     column = column if not isinstance(column, pa.ChunkedArray) else pa.concat_arrays(column.chunks)
     return pa.Table.from_arrays(
         [pc.struct_field(column, "doc_id"), pc.invert(rows.column("train")), pa.array(size), pa.array(known), pa.array(np.full(len(size), n)), pa.array(total(base)), pa.array(total(np.log10(chance)))],
-        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        schema=schema,
     )
 
 
@@ -261,7 +250,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     docs: doc_id, text (null: empty); other columns only serve train. Tokens: runs of anything but ASCII white space, A-Z
     in lower case, then one end. Returns doc_id, held_out (not train), n_tokens, n_known (tokens seen in training),
     train_tokens, base_score (add-0.1 unigrams), score; one row per row. Without training texts all words are equally
-    likely. Hashes of 64 bits stand for words, of 48 bits in pairs.
+    likely. Hashes of 64 bits stand for words, of 48 bits for pairs.
     """
     spark = docs.sparkSession
     n_bytes = text_bytes(docs)
@@ -273,13 +262,23 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     dealt = rows.withColumn("part", F.pmod(spread, F.lit(shards)).cast("int")).groupBy("part")
     asked = dealt.applyInArrow(lambda key, table: _ask(key, table, parts), _SCHEMA)
     pairs = staged(asked.repartitionById(parts, "part").mapInArrow(lambda b: _total_pairs(b, parts), _SCHEMA), "lm-pairs")
-    about_words = pairs.filter(F.col("kind").isin(WORDS, STATS)).repartitionById(parts, "part")
-    words = staged(about_words.mapInArrow(_total_words, _SCHEMA), "lm-words")
-    numbers = pairs.unionByName(words).filter(F.col("kind") == NUMBER).groupBy("part").agg(F.sum("n").alias("n")).collect()
-    g = dict.fromkeys(_NUMBERS, 0) | {_NUMBERS[r.part]: r.n for r in numbers}
-    answers = pairs.unionByName(words).filter(F.col("kind").isin(PAIR_TOTALS, WORD_TOTALS)).select("part", "kind", "data")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = pairs.filter(F.col("kind") == NUMBER).groupBy("part").agg(F.sum("n").alias("n")).collect()  # a few numbers
+    numbers = {_NUMBERS[r.part]: r.n for r in found}
+    # From here on one plan, so that the texts are shuffled once for both of their passes.
+    totals = pairs.filter(F.col("kind") == PAIR_TOTALS)
+    about_words = totals.groupBy("part").cogroup(dealt).applyInArrow(lambda key, a, b: _ask_words(key, a, b, parts), _SCHEMA)
+    words = about_words.repartitionById(parts, "part").mapInArrow(_total_words, _SCHEMA)
+    kinds = "array<struct<part:int,n:bigint>>"
+    none = F.lit(None).cast(kinds).alias("numbers")
+    summed = words.filter(F.col("kind") == NUMBER).groupBy("part").agg(F.sum("n").alias("n"))
+    summed = summed.agg(F.collect_list(F.struct("part", "n")).alias("numbers"))  # seven numbers
+    told = spark.range(shards).crossJoin(F.broadcast(summed))
+    told = told.select(F.col("id").cast("int").alias("part"), F.lit(NUMBER).cast("tinyint").alias("kind"), F.lit(None).cast("binary").alias("data"), "numbers")
+    answers = totals.select("part", "kind", "data", none).unionByName(words.filter(F.col("kind") == WORD_TOTALS).select("part", "kind", "data", none)).unionByName(told)
+    kind = docs.schema["doc_id"].dataType
+    types = [to_arrow_type(kind), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
+    out = pa.schema(list(zip(("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), types, strict=True)))
     return answers.groupBy("part").cogroup(dealt).applyInArrow(
-        lambda a, b: _score(a, b, parts, g, kind),
-        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+        lambda a, b: _score(a, b, parts, numbers, out),
+        f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
