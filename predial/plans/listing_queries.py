@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from predial.functions import numeric, text
 from predial.operators import clean, quality, rule, spatial, stats
-from predial.operators.clean import truth
 from predial.sources.listings import LISTINGS_SQL, listings, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
