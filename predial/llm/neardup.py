@@ -25,8 +25,13 @@ SHARD_BYTES = 8 << 20
 #: Text for each task that owns shingles.
 OWNER_BYTES = 24 << 20
 ROUNDS = 3
-#: Estimated similarities this far below the threshold are not verified: over four standard errors at 64 samples.
-SLACK = 0.21
+#: Estimated similarities this far below the threshold are not verified. A pair at 0.8 agrees in fewer than 34 of 64 samples
+#: with probability 3.2e-7.
+SLACK = 0.27
+#: Members of a band that are compared with one another in one task; a larger band is split into blocks of so many.
+CELL = 2048
+#: Members of bands in a task that compares them, and pairs whose samples are held at once.
+CELL_ROWS, PAIRS = 20_000, 1 << 15
 _SCHEMA = "part int, data binary"
 _ROW = pa.schema([("part", pa.int32()), ("data", pa.binary())])
 _SET_SCHEMA = "node long, doc long, same string, weight double, data binary, samples binary"
@@ -179,6 +184,60 @@ def _estimates(batches):
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("other"), pa.array((a == b).mean(axis=1))], ["node", "other", "estimate"])
 
 
+def _cross(batches, least: float):
+    """Pairs of members of one cell, not of one root (nor of one block of a band that is split), with samples that agree."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    cell, root, block, nodes = (table.column(c).to_numpy() for c in ("cell", "root", "block", "node"))
+    drawn = np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint32).reshape(-1, SAMPLES)
+    order = np.lexsort((root, cell))
+    cell, root, block, nodes, drawn = (x[order] for x in (cell, root, block, nodes, drawn))
+    n = len(cell)
+    new_cell = cell[1:] != cell[:-1]
+    ends = np.append(np.flatnonzero(new_cell) + 1, n)
+    root_ends = np.append(np.flatnonzero(new_cell | (root[1:] != root[:-1])) + 1, n)
+    # A member meets those of its cell's later roots.
+    first = root_ends[np.searchsorted(root_ends, np.arange(n), "right")]
+    count = ends[np.searchsorted(ends, np.arange(n), "right")] - first
+    total = np.cumsum(count)
+    i = 0
+    while i < n:
+        j = max(int(np.searchsorted(total, total[i] - count[i] + PAIRS, "right")), i + 1)
+        of = np.repeat(np.arange(i, j), count[i:j])
+        to = np.arange(len(of)) - np.repeat(np.cumsum(count[i:j]) - count[i:j], count[i:j]) + first[of]
+        met = (block[of] < 0) | (block[of] != block[to])
+        of, to = of[met], to[met]
+        close = (drawn[of] == drawn[to]).mean(axis=1) >= least
+        a, b = nodes[of[close]], nodes[to[close]]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["node", "other"])
+        i = j
+
+
+def _unmet(bands: DataFrame, roots: DataFrame | None, sampled: DataFrame, least: float) -> DataFrame:
+    """All pairs (node < other) of a common band and different roots whose samples agree to at least `least`."""
+    members = bands.select("band", "node")
+    if roots is not None:
+        members = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    else:
+        members = members.withColumn("root", F.col("node"))
+    # A band whose members are connected already has nothing to say.
+    mixed = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b")
+    members = staged(members.join(mixed.select("band", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")), "band"), "near-mixed")
+    # A band in g blocks has a cell for every two blocks, and one for each block by itself.
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = members.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("band", F.least("mine", "with"), F.greatest("mine", "with"))
+    # Within its own cell (block -1) a block's members meet one another, in the others only those of the other block.
+    cells = cells.select("node", "root", cell.alias("cell"), F.when(F.col("mine") == F.col("with"), -1).otherwise(F.col("mine")).alias("block"))
+    n = members.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    parts = max(int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // CELL_ROWS))
+    dealt = cells.join(sampled, "node").repartition(parts, "cell")
+    return dealt.mapInArrow(lambda b: _cross(b, least), "node long, other long").distinct()
+
+
 def weighted_jaccard(a: bytes, b: bytes, weight_a: float, weight_b: float, n_docs: int) -> float:
     (ka, ta, da), (kb, tb, _) = unpack(a), unpack(b)
     _, i, j = np.intersect1d(np.cumsum(ka), np.cumsum(kb), assume_unique=True, return_indices=True)
@@ -216,8 +275,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     docs: doc_id, text; see near_duplicates(). Copies (equal sets of shingles) stand for one another. Of the others, every
     row is compared with the least member of each of its bands; what a band's leader does not draw into its component gets
-    a leader of its own in the next of ROUNDS rounds. A link can only be missing between rows that share no leader in any
-    of their bands of three sizes and are not connected through others either.
+    a leader of its own in the next of ROUNDS rounds. These rounds only save work: afterwards all pairs of a band that are
+    not connected yet are compared. A link can only be missing between rows that share no band of any of the three sizes
+    and are not connected through others either.
     """
     spark = docs.sparkSession
     n_bytes, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
@@ -259,6 +319,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         left = staged(met.filter("root != led").select("band", "node", "doc", "root"), "near-left")
         if left.isEmpty():
             break
+    sampled = own.select("node", "samples")
+    close = staged(_unmet(bands, roots, sampled, threshold - SLACK), "near-unmet")
+    if tried is not None:
+        # `other` was the leader there.
+        tried = tried.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
+        close = close.join(tried, ["node", "other"], "left_anti")
+    found = staged(_verified(close, own, n_docs, threshold), "near-links")
+    if not found.isEmpty():
+        joined = found if joined is None else joined.unionByName(found)
+        roots = staged(components(joined), "near-roots")
     out = sets.select("node", "doc", "same").join(least.withColumnRenamed("node", "least"), "same")
     if roots is None:
         return out.select("node", "doc", F.col("least").alias("root")).distinct()
