@@ -1,6 +1,7 @@
 """Near-duplicate documents by consistent weighted sampling of TF-IDF word shingles, verified by weighted Jaccard similarity.
 
-Texts are dealt into shards, which learn their shingles' document counts from the tasks that own them by hash. A shingle in
+Texts with equal sets of shingles are copies: one of them stands for all, also in document counts, so these don't depend on
+how often a text is copied. The others are dealt into shards, which learn their shingles' document counts from the tasks that own them by hash. A shingle in
 one document only can't be shared, so a document keeps just its shared shingles and the total weight of the others; one
 whose shared weight is under the threshold has no partner. The rest are sampled, banded, compared with the least member of
 each band, and verified exactly; classes are the connected components of verified pairs.
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from predial.llm.common import NOT_ALNUM, SHINGLE_WORDS, Words, mix64, pack, partitions_for, runs, shingles, sorted_groups, staged, unpack
+from predial.llm.common import NOT_ALNUM, SHINGLE_WORDS, Words, mix64, pack, partitions_for, runs, shingles, sorted_groups, staged, text_batches, text_bytes, unpack
 
 THRESHOLD = 0.8
 SAMPLES = 64
@@ -34,7 +35,7 @@ CELL = 2048
 CELL_ROWS, PAIRS = 20_000, 1 << 15
 _SCHEMA = "part int, data binary"
 _ROW = pa.schema([("part", pa.int32()), ("data", pa.binary())])
-_SET_SCHEMA = "node long, doc long, same string, weight double, data binary, samples binary"
+_SET_SCHEMA = "node long, doc long, weight double, data binary, samples binary"
 _draw = np.random.default_rng(8)
 _R = -np.log(_draw.random(1 << 16) * _draw.random(1 << 16) + 1e-300)
 _LOG_C = np.log(-np.log(_draw.random(1 << 16) * _draw.random(1 << 16) + 1e-300))
@@ -73,6 +74,26 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
 
 
+def _digests(batches):
+    """A digest of each row's shingles and their counts; rows without shingles are left out."""
+    for rows in text_batches(batches, 2 << 20):
+        shard = Shard(rows)
+        bounds = np.searchsorted(shard.doc, np.arange(rows.num_rows + 1))
+        picked = np.flatnonzero(np.diff(bounds))
+        tf = shard.tf.astype(np.int64)
+        same = [xxhash.xxh3_128_hexdigest(shard.key[i:j].tobytes() + tf[i:j].tobytes()) for i, j in zip(bounds[picked], bounds[picked + 1], strict=True)]
+        nodes, docs = (rows.column(c).to_numpy()[picked] for c in ("node", "doc"))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(docs, pa.int64()), pa.array(same, pa.string())], ["node", "doc", "same"])
+
+
+def _firsts(nodes: np.ndarray, rows: pa.Table) -> pa.Table:
+    """The rows that stand for their copies, each once."""
+    found = rows.column("node").to_numpy()
+    keep = np.zeros(len(found), bool)
+    keep[np.unique(found, return_index=True)[1]] = True
+    return rows.filter(pa.array(keep & np.isin(found, nodes)))
+
+
 def _ask(me: int, rows: pa.Table, parts: int) -> pa.Table:
     shard = Shard(rows)
     owned, data = [], []
@@ -119,7 +140,11 @@ def sample(key: np.ndarray, log_weight: np.ndarray, at: np.ndarray) -> np.ndarra
 
 
 def _sets(answers: pa.Table, rows: pa.Table, n_docs: int, threshold: float) -> pa.Table:
-    """The rows that may have a partner, as sets of shared shingles with weights, and samples of them."""
+    """The rows that may have a partner, as sets of shared shingles with weights, and samples of them.
+
+    answers holds totals (data), and the rows that stand for their copies (node)."""
+    rows = _firsts(answers.column("node").drop_null().to_numpy(), rows)
+    answers = answers.filter(answers.column("data").is_valid())
     shard = Shard(rows)
     got = sorted(((int(a[0]), n) for a, n in map(unpack, answers.column("data").to_pylist())), key=lambda x: x[0])
     df = np.concatenate([n.astype(np.int64) for _, n in got])[shard.place] if got else np.zeros(0, np.int64)
@@ -136,13 +161,10 @@ def _sets(answers: pa.Table, rows: pa.Table, n_docs: int, threshold: float) -> p
     nodes, docs = (rows.column(c).to_numpy() for c in ("node", "doc"))
     rest = np.maximum(whole - common, 0)[picked]
     rest[rest < 1e-9 * whole[picked]] = 0
-    data, same = [], []
-    for i, row in enumerate(picked.tolist()):
+    data = []
+    for i in range(len(picked)):
         s = slice(bounds[i], bounds[i + 1])
         data.append(pack(np.diff(key[s], prepend=np.uint64(0)), _small(tf[s]), _small(df[s])))
-        # Rows without shingles of their own and with equal others are copies as far as shingles go.
-        alone = int(nodes[row]).to_bytes(8, "little", signed=True) if rest[i] else b""
-        same.append(xxhash.xxh3_128_hexdigest(key[s].tobytes() + tf[s].astype(np.int64).tobytes() + alone))
     if len(picked):
         # What a row shares with none is one element that only it has.
         own = mix64(nodes[picked].view(np.uint64)) | np.uint64(1 << 63)
@@ -154,8 +176,8 @@ def _sets(answers: pa.Table, rows: pa.Table, n_docs: int, threshold: float) -> p
     else:
         samples = []
     return pa.Table.from_arrays(
-        [pa.array(nodes[picked], pa.int64()), pa.array(docs[picked], pa.int64()), pa.array(same, pa.string()), pa.array(whole[picked], pa.float64()), pa.array(data, pa.binary()), pa.array(samples, pa.binary())],
-        ["node", "doc", "same", "weight", "data", "samples"],
+        [pa.array(nodes[picked], pa.int64()), pa.array(docs[picked], pa.int64()), pa.array(whole[picked], pa.float64()), pa.array(data, pa.binary()), pa.array(samples, pa.binary())],
+        ["node", "doc", "weight", "data", "samples"],
     )
 
 
@@ -271,7 +293,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows that may have near-duplicates: (node, doc, root), root naming the class by a number.
+    """Rows that have near-duplicates: (node, doc, root), root naming the class by a number.
 
     docs: doc_id, text; see near_duplicates(). Copies (equal sets of shingles) stand for one another. Of the others, every
     row is compared with the least member of each of its bands; what a band's leader does not draw into its component gets
@@ -280,17 +302,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     and are not connected through others either.
     """
     spark = docs.sparkSession
-    n_bytes, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    n_bytes = text_bytes(docs)
     parts, shards = partitions_for(spark, n_bytes, OWNER_BYTES), partitions_for(spark, n_bytes, SHARD_BYTES)
     big = F.lit(2**63 - 1)
     rows = docs.select(node(F.col("doc_id"), F.col("text")).alias("node"), F.coalesce(F.col("doc_id").cast("long"), big).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.withColumn("part", F.pmod("node", F.lit(shards)).cast("int")).groupBy("part")
-    asked = dealt.applyInArrow(lambda key, table: _ask(key[0].as_py(), table, parts), _SCHEMA)
-    answers = asked.repartitionById(parts, "part").mapInArrow(_total, _SCHEMA).groupBy("part")
-    sets = staged(answers.cogroup(dealt).applyInArrow(lambda a, b: _sets(a, b, n_docs, threshold), _SET_SCHEMA), "near-sets")
-    # Of copies, the one with the least doc_id is compared.
-    least = staged(sets.groupBy("same").agg(F.min(F.struct("doc", "node")).alias("least")).select("same", "least.node"), "near-copies")
-    own = sets.join(least.select("node"), "node", "left_semi")
+    named = staged(rows.mapInArrow(_digests, "node long, doc long, same string"), "near-digests")
+    # Of copies, the one with the least doc_id is counted and compared.
+    least = named.groupBy("same").agg(F.min(F.struct("doc", "node")).alias("least"), F.count("*").alias("copies"))
+    least = staged(least.select("same", F.col("least.node").alias("least"), "copies"), "near-copies")
+    n_docs = least.count()
+    part = F.pmod("node", F.lit(shards)).cast("int")
+    firsts = least.select(F.col("least").alias("node")).withColumn("part", part)
+    dealt = rows.withColumn("part", part).groupBy("part")
+    asked = firsts.groupBy("part").cogroup(dealt).applyInArrow(lambda key, a, b: _ask(key[0].as_py(), _firsts(a.column("node").to_numpy(), b), parts), _SCHEMA)
+    answers = asked.repartitionById(parts, "part").mapInArrow(_total, _SCHEMA)
+    answers = answers.unionByName(firsts, allowMissingColumns=True).groupBy("part")
+    own = staged(answers.cogroup(dealt).applyInArrow(lambda a, b: _sets(a, b, n_docs, threshold), _SET_SCHEMA), "near-sets")
     bands = own.select("node", "doc", "samples").mapInArrow(_bands, "band long, node long, doc long")
     # A band with one member leads nowhere.
     several = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
@@ -329,10 +356,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not found.isEmpty():
         joined = found if joined is None else joined.unionByName(found)
         roots = staged(components(joined), "near-roots")
-    out = sets.select("node", "doc", "same").join(least.withColumnRenamed("node", "least"), "same")
+    out = named.join(least, "same")
     if roots is None:
-        return out.select("node", "doc", F.col("least").alias("root")).distinct()
-    out = out.join(roots.withColumnRenamed("node", "least"), "least", "left")
+        return out.filter("copies > 1").select("node", "doc", F.col("least").alias("root")).distinct()
+    out = out.join(roots.withColumnRenamed("node", "least"), "least", "left").filter("copies > 1 or root is not null")
     return out.select("node", "doc", F.coalesce("root", "least").alias("root")).distinct()
 
 
@@ -355,7 +382,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The near-duplicate class of each row.
 
     docs: doc_id, text; other columns are ignored. Texts are compared by their five-word shingles, weighted by count and
-    log(1 + documents / documents with the shingle); a class is all that is connected by similarities of at least threshold.
+    log(1 + documents / documents with the shingle), where texts with equal shingles count as one document; a class is all that is connected by similarities of at least threshold.
     Texts with fewer words have one shingle; texts without words (null and empty ones) are alone. Rows with equal doc_id and
     text are one. Returns doc_id, class_id (the least doc_id of the class, its own for a single row), class_size (rows).
     """
