@@ -8,18 +8,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from predial.llm.common import staged, text_bytes
+from predial.llm.common import staged, whole_ids
 
 _ICU = "com.ibm.icu"
+#: Digests of several rows are broadcast up to this number; above, all texts are grouped by their digests.
+BROADCAST_DIGESTS = 200_000
+#: Ranges of doc_id that are cut by quantiles; each is then cut evenly.
+RANGES = 512
 
 
 def canonical(text: Column) -> Column:
-    """Unicode NFKC with full case folding; runs of white space become one space, none at the ends; null becomes ''."""
+    """Unicode NFKC with full case folding; runs of white space become one space, none at the ends; null becomes ''.
+
+    Folding may undo a normal form and the other way round, so both are applied twice, behind a first normalisation.
+    """
     text = F.coalesce(text, F.lit(""))
-    folded = F.java_method(F.lit(f"{_ICU}.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True))
-    composed = F.java_method(F.lit(f"{_ICU}.text.Normalizer"), F.lit("compose"), folded, F.lit(True))
+    compose = lambda x: F.java_method(F.lit(f"{_ICU}.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+    fold = lambda x: F.java_method(F.lit(f"{_ICU}.lang.UCharacter"), F.lit("foldCase"), x, F.lit(True))
     # Plain ASCII has neither forms nor foldings beyond lower case.
-    normal = F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(composed)
+    normal = F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(compose(fold(compose(fold(compose(text))))))
     return F.trim(F.regexp_replace(normal, r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+", " "))
 
 
@@ -29,30 +36,16 @@ def digest(canon: Column) -> Column:
     return F.concat(word(1), word(2))
 
 
-def groups(docs: DataFrame, hashed: Callable[[Column], Column] = digest) -> DataFrame:
-    """One row per distinct canonical text: digest, variant (0 but for another text of the same digest), canon, n_docs.
+def collisions(canon: DataFrame, hashed: Callable[[Column], Column] = digest) -> DataFrame:
+    """Canonical texts that share their digest with another text: digest, canon, variant. With 128 bits there should be none.
 
-    Rows are grouped by digest and text together, so that bytes are compared wherever digests are equal; map-side
-    partial aggregation collapses large groups of copies before the shuffle. Null texts count as empty.
+    canon: a column canon. Rows are grouped by digest and text together, so bytes are compared wherever digests are equal,
+    and copies collapse before the shuffle. Only digests of several texts are looked at again.
     """
-    canon = docs.select(canonical(F.col("text")).alias("canon"))
-    counted = canon.groupBy(hashed(F.col("canon")).alias("digest"), "canon").agg(F.count("*").alias("n_docs"))
-    order = Window.partitionBy("digest").orderBy("canon")
-    return counted.withColumn("variant", F.row_number().over(order) - 1)
-
-
-def collisions(docs: DataFrame, hashed: Callable[[Column], Column] = digest) -> DataFrame:
-    """Texts that share their digest with another text: digest, canon, variant. With 128 bits there should be none.
-
-    Only digests whose smallest and largest text differ are looked at again, so no digest's texts are gathered.
-    """
-    canon = docs.select(canonical(F.col("text")).alias("canon"))
     counted = canon.groupBy(hashed(F.col("canon")).alias("digest"), "canon").agg(F.count("*").alias("n_docs"))
     several = counted.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
     order = Window.partitionBy("digest").orderBy("canon")
-    return counted.join(several, "digest", "left_semi").select(
-        "digest", "canon", (F.row_number().over(order) - 1).alias("variant")
-    )
+    return counted.join(several, "digest", "left_semi").select("digest", "canon", (F.row_number().over(order) - 1).alias("variant"))
 
 
 def with_fingerprint(
@@ -78,88 +71,114 @@ def fingerprints(docs: DataFrame, hashed: Callable[[Column], Column] = digest) -
     docs: doc_id, text; other columns are dropped. A null text is the empty text; rows with equal doc_id stay apart.
     """
     docs = docs.select("doc_id", "text")
-    collided = collisions(docs, hashed)
-    collided = None if collided.isEmpty() else staged(collided, "collisions")
+    collided = staged(collisions(docs.select(canonical(F.col("text")).alias("canon")), hashed), "collisions")
     rows = docs.withColumn("canon", canonical(F.col("text")))
-    return with_fingerprint(rows, {"canon": "fingerprint"}, collided, hashed).select("doc_id", "text", "fingerprint")
+    return with_fingerprint(rows, {"canon": "fingerprint"}, None if collided.isEmpty() else collided, hashed).select("doc_id", "text", "fingerprint")
+
+
+def _place(value: Column, edges: list[int]) -> Column:
+    """The number of edges below value, which ascend; by bisection."""
+    if not edges:
+        return F.lit(0)
+    known = F.array(*(F.lit(x).cast("long") for x in edges))
+    half = lambda at: F.floor((at.a + at.b) / 2).cast("int")
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(len(edges).bit_length())),
+        F.struct(F.lit(0).alias("a"), F.lit(len(edges)).alias("b")),
+        lambda at, _: F.when(at.a >= at.b, at).otherwise(
+            F.when(F.element_at(known, half(at) + 1) < value, F.struct((half(at) + 1).alias("a"), at.b.alias("b"))).otherwise(
+                F.struct(at.a.alias("a"), half(at).alias("b"))
+            )
+        ),
+        lambda at: at.a,
+    )
 
 
-def with_next(docs: DataFrame, bucket_bytes: int = 2 << 20) -> DataFrame:
+def with_next(docs: DataFrame, bucket_bytes: int = 2 << 20, ranges: int = RANGES) -> DataFrame:
     """Each row with next_text: that of the row behind it in descending doc_id (nulls last, equal ids in the order of
     their texts' hashes); behind the last row comes the first.
 
-    Rows are dealt into buckets of doc_id ranges. The first row of each bucket, one per bucket, is also sent to the
-    bucket before, so that each bucket finds all its successors by itself.
+    Rows are dealt into buckets of about bucket_bytes: ranges of doc_id by quantiles, each cut into even parts; rows without
+    an id by the hash of their text. Each bucket finds the successors of all its rows but the last. That one's is the
+    first of the next bucket that has rows: a join of one row of each bucket with another.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes(docs) / bucket_bytes))
-    cuts = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    cuts = sorted({int(x) for x in cuts})
-    # Bucket 0 holds the largest ids; null ids come behind all others. The smallest cut not below the id is searched for.
-    place = F.lit(0)
-    if cuts:
-        edges = F.array(*(F.lit(x).cast("long") for x in cuts))
-        place = F.aggregate(
-            F.sequence(F.lit(1), F.lit(len(cuts).bit_length())),
-            F.struct(F.lit(0).alias("a"), F.lit(len(cuts)).alias("b")),
-            lambda at, _: F.when(at.a >= at.b, at).otherwise(
-                F.when(
-                    F.element_at(edges, F.floor((at.a + at.b) / 2).cast("int") + 1) < F.col("doc_id"),
-                    F.struct((F.floor((at.a + at.b) / 2) + 1).cast("int").alias("a"), at.b.alias("b")),
-                ).otherwise(F.struct(at.a.alias("a"), F.floor((at.a + at.b) / 2).cast("int").alias("b")))
-            ),
-            lambda at: at.a,
-        )
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - place).cast("int")
-    dealt = docs.select("doc_id", "text", bucket.alias("bucket"), F.xxhash64("text").alias("tie"))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), F.col("tie"))
-    heads = dealt.groupBy("bucket").agg(F.min(first).alias("head")).collect()  # one row per bucket
-    if not heads:
-        return docs.withColumn("next_text", F.col("text"))
-    heads.sort(key=lambda r: r.bucket)
-    sent = {row.bucket: heads[i - 1].bucket for i, row in enumerate(heads)}
-    known = spark.createDataFrame(
-        [(r.bucket, None if r.head.down is None else -r.head.down, r.head.tie, sent[r.bucket]) for r in heads],
-        "bucket int, doc_id long, tie long, other int",
-    )
-    same = known.select(F.col("bucket").alias("b"), F.col("doc_id").alias("d"), F.col("tie").alias("t"), "other")
-    marked = dealt.join(
-        F.broadcast(same), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left"
-    )
-    here = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
-    there = F.struct(F.col("other").alias("bucket"), F.lit(True).alias("guest"))
-    places = F.explode(F.when(F.col("other").isNull(), F.array(here)).otherwise(F.array(here, there)))
-    both = marked.select("doc_id", "text", "tie", places.alias("at"))
-    order = Window.partitionBy("at.bucket").orderBy("at.guest", F.col("doc_id").desc_nulls_last(), "tie")
-    found = both.select("doc_id", "text", "at", F.lead("text").over(order).alias("next_text"))
-    return found.filter(~F.col("at.guest")).select("doc_id", "text", "next_text")
+    docs = whole_ids(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    n_bytes, rows, known, least, most = docs.agg(F.sum(F.octet_length("text")), F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((n_bytes or 0) / bucket_bytes))
+    cuts: list[int] = []
+    if known:
+        tops = min(n, ranges)
+        cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / tops for i in range(1, tops)], 0.2 / tops)} - {most}) if tops > 1 else []
+    parts = math.ceil(n / (len(cuts) + 1))
+    # Range 0 holds the largest ids; rows without ids come behind all others.
+    highs, lows = [*cuts, most or 0], [least or 0, *(x + 1 for x in cuts)]
+    place = _place(F.col("doc_id"), cuts)
+    bound = lambda x: F.element_at(F.array(*(F.lit(v).cast("double") for v in x)), place + 1)
+    share = (bound(highs) - F.col("doc_id")) / (bound(highs) - bound(lows) + 1)
+    clip = lambda x, m: F.least(F.greatest(F.floor(x * m), F.lit(0)), F.lit(m - 1))
+    without = max(1, math.ceil(n * (1 - known / max(rows, 1))))
+    of_none = len(cuts) + 1
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(of_none * parts) + clip(F.col("tie") / 2.0**64 + 0.5, without))
+    bucket = bucket.otherwise((F.lit(len(cuts)) - place) * parts + clip(share, parts)).cast("long")
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).withColumn("bucket", bucket)
+    top = F.least(F.floor(F.col("bucket") / parts), F.lit(of_none)).alias("top")
+    taken = staged(dealt.select("bucket").distinct().select("bucket", top), "next-buckets")
+    # One row for each range, at most RANGES + 1.
+    firsts = [(r.top, r.bucket) for r in taken.groupBy("top").agg(F.min("bucket").alias("bucket")).orderBy("top").collect()]
+    behind = spark.createDataFrame([(t, firsts[(i + 1) % len(firsts)][1]) for i, (t, _) in enumerate(firsts)], "top long, wrap long")
+    inside = F.lead("bucket").over(Window.partitionBy("top").orderBy("bucket"))
+    follows = taken.join(F.broadcast(behind), "top").select("bucket", F.coalesce(inside, "wrap").alias("follows"))
+    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "tie")
+    found = dealt.select("bucket", "doc_id", "text", F.row_number().over(order).alias("nth"), F.lead(F.struct("text")).over(order).alias("after"))
+    most_rows = found.filter("after is not null").select("doc_id", "text", F.col("after.text").alias("next_text"))
+    heads = found.filter("nth = 1").select(F.col("bucket").alias("follows"), F.col("text").alias("next_text"))
+    lasts = found.filter("after is null").select("bucket", "doc_id", "text").join(follows, "bucket").join(heads, "follows")
+    return most_rows.unionByName(lasts.select("doc_id", "text", "next_text"))
 
 
 def edited_pairs(docs: DataFrame, hashed: Callable[[Column], Column] = digest) -> DataFrame:
-    """Fingerprints of each text, of its edited form and their likeness; see queries.op2_fingerprints.
+    """Fingerprints of each text and of its edited form, and their likeness.
 
-    Likeness of exact digests is 1 for equal ones and 0 for others. Null texts are empty. Returns doc_id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    docs: doc_id (an integer type, may be null or repeat), text (null: empty, as the whole row's edited text then is);
+    other columns are ignored. The edited text has its last floor(n_chars / 2) characters replaced by the first as many (or
+    all) of the next row's text; see with_next(). Likeness is 1 for canonical texts of equal bytes, 0 for others.
+    Fingerprints are equal where canonical texts are, edited ones included. Returns doc_id, n_chars, edited_sha256,
+    fingerprint, edited_fingerprint, near_edited, near_next, one row per row.
     """
+    kind = whole_ids(docs).schema["doc_id"].dataType
     docs = docs.select("doc_id", "text")
-    collided = collisions(docs, hashed)
-    collided = None if collided.isEmpty() else staged(collided, "collisions")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(char_length(text) / 2) as int))"))
+    edited = F.when(half > 0, edited).otherwise(F.col("text"))
     rows = with_next(docs).select(
-        "doc_id",
-        n.cast("long").alias("n_chars"),
-        F.sha2(F.when(half > 0, edited).otherwise(F.col("text")).cast("binary"), 256).alias("edited_sha256"),
-        canonical(F.col("text")).alias("canon"),
-        canonical(F.when(half > 0, edited).otherwise(F.col("text"))).alias("edited_canon"),
-        canonical(F.col("next_text")).alias("next_canon"),
-    )
-    names = {"canon": "fingerprint", "edited_canon": "edited_fingerprint", "next_canon": "next_fingerprint"}
-    rows = with_fingerprint(rows, names, collided, hashed)
-    like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"),
+        F.col("doc_id").cast(kind), n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
+        canonical(F.col("text")).alias("canon"), canonical(edited).alias("edited_canon"), canonical(F.col("next_text")).alias("next_canon"),
     )
+    like = lambda other: (F.col("canon") == F.col(other)).cast("double")
+    names = {"canon": "fingerprint", "edited_canon": "edited_fingerprint"}
+    out = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    rows = rows.withColumns({"near_edited": like("edited_canon"), "near_next": like("next_canon")})
+    found = staged(with_fingerprint(rows, names, None, hashed).select(*out), "fingerprints")
+    collided = _collided(docs, rows, found, hashed)
+    return found if collided is None else with_fingerprint(rows, names, collided, hashed).select(*out)
+
+
+def _collided(docs: DataFrame, rows: DataFrame, found: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame | None:
+    """Different texts of one digest, among texts and edited texts; none if bytes agree wherever digests do."""
+    # An edited text that equals its own text needs no look.
+    edits = found.filter("near_edited = 0").select(F.col("edited_fingerprint").alias("digest"), F.lit(True).alias("edited"))
+    every = found.select(F.col("fingerprint").alias("digest"), F.lit(False).alias("edited")).unionByName(edits)
+    several = every.groupBy("digest").agg(F.count("*").alias("n"), F.max("edited").alias("edited")).filter("n > 1")
+    several = staged(several.select("digest", "edited"), "several")
+    n, with_edits = several.agg(F.count("*"), F.count_if("edited")).first()
+    if not n:
+        return None
+    picked = lambda canon, keys: canon.join(F.broadcast(keys.select("digest")), hashed(F.col("canon")) == F.col("digest"), "left_semi") if n <= BROADCAST_DIGESTS else canon
+    texts = picked(docs.select(canonical(F.col("text")).alias("canon")), several)
+    if with_edits:
+        edited = rows.filter("near_edited = 0").select(F.col("edited_canon").alias("canon"))
+        texts = texts.unionByName(picked(edited, several.filter("edited")))
+    collided = staged(collisions(texts, hashed), "collisions")
+    return None if collided.isEmpty() else collided
