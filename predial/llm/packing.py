@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from predial.llm.common import SPACES, Words, staged, text_batches
+from predial.llm.common import SPACES, Words, fresh, staged, text_batches
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -220,28 +220,60 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return window, sums
 
 
+def least_windows(sizes: np.ndarray, capacity: int) -> int:
+    """No packing needs fewer windows: items over half a window are alone with what fits beside them."""
+    up = np.sort(sizes)
+    sums = np.concatenate(([0], np.cumsum(up)))
+    middle = int(np.searchsorted(up, capacity // 2, "right"))
+    alone = len(up) - middle
+    best = max(1, -(-int(sums[-1]) // capacity), alone)
+    for least in np.unique(up[:middle]).tolist():
+        # Items over capacity - least share with none that are counted; the other large ones leave their rest to those.
+        large = int(np.searchsorted(up, capacity - least, "right"))
+        small = int(np.searchsorted(up, least, "left"))
+        rest = (large - middle) * capacity - int(sums[large] - sums[middle])
+        best = max(best, alone + max(0, -(-(int(sums[middle] - sums[small]) - rest) // capacity)))
+    return best
+
+
 def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item, in as many windows as differencing needs to stay within capacity."""
+    """The window of each item. While a window exceeds capacity, the count of windows rises by doubling steps; then it is
+    halved back to the smallest count found that fits."""
     if not len(sizes):
         return np.zeros(0, np.int64)
-    k = max(1, -(-int(sizes.sum()) // capacity))
-    while True:
-        window, sums = differencing(sizes, k)
+    low = least_windows(sizes, capacity) - 1
+    step, window = 1, None
+    while window is None:
+        found, sums = differencing(sizes, low + step)
         if sums.max() <= capacity:
-            return window
-        k += 1
+            window = found
+        else:
+            low, step = low + step, 2 * step
+    high = low + step
+    while high - low > 1:
+        k = (low + high) // 2
+        found, sums = differencing(sizes, k)
+        if sums.max() <= capacity:
+            high, window = k, found
+        else:
+            low = k
+    return window
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Give every piece a window (sequence_id) and a place in it (offset).
 
-    cut: doc_id, start, length (1 to capacity) and any other columns, which stay. Pieces are dealt by a hash into groups
-    of about group_tokens; a full piece is a window by itself, the others are packed within their group, so a group's
-    last window is all that the grouping can waste. An empty table gives an empty result.
+    cut: doc_id, start, length (1 to capacity; others and nulls raise) and any other columns, which stay; columns that are
+    called sequence_id or offset are replaced. Pieces are dealt by a hash into groups of about group_tokens; a full piece is
+    a window by itself, the others are packed within their group, so a group's last window is all that the grouping can
+    waste. Rows may repeat. An empty table gives an empty result.
     """
+    cut = cut.drop("sequence_id", "offset")
     if cut.isEmpty():
         return cut.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    total, rows = cut.agg(F.sum("length"), F.count("*")).first()
+    total, rows, fit = cut.agg(F.sum("length"), F.count("*"), F.count_if(F.col("length").between(1, capacity))).first()
+    if fit < rows:
+        raise ValueError(f"{rows - fit} pieces are not of 1 to {capacity} ids")
     groups = max(1, round((total or 0) / group_tokens), round(rows / 20_000))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
 
@@ -256,13 +288,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOK
         base = np.maximum.accumulate(np.where(begins, ends - lengths[order], 0))
         offset = np.zeros(len(part), np.int64)
         offset[order] = ends - lengths[order] - base
-        return part.assign(sequence_id=window * groups + int(key[0]), offset=offset).drop(columns="_group")
+        return part.assign(sequence_id=window * groups + int(key[0]), offset=offset).drop(columns=group)
 
-    keys = [F.xxhash64("doc_id", "start", *(c for c in ("ids_crc32", "doc_tokens") if c in cut.columns))]
-    # Rows that are equal in all of these are spread by their position in their partition.
-    spread = F.pmod(keys[0] + F.monotonically_increasing_id(), F.lit(groups)).cast("int")
-    dealt = cut.withColumn("_group", spread)
-    return dealt.groupBy("_group").applyInPandas(place, schema)
+    group = fresh("group", [*cut.columns, "sequence_id", "offset"])
+    # Rows that are equal in these are spread by their position in their partition.
+    keys = [c for c in ("doc_id", "start", "ids_crc32", "doc_tokens") if c in cut.columns]
+    spread = F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(groups)).cast("int")
+    return cut.withColumn(group, spread).groupBy(group).applyInPandas(place, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
