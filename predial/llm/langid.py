@@ -72,7 +72,7 @@ def letters(*key: int) -> Letters:
 
 
 class _Fold(dict):
-    """For str.translate: letters stay (lower case), everything else becomes a space."""
+    """For str.translate: letters and their marks stay, everything else becomes a space."""
 
     def __missing__(self, code: int) -> int:
         self[code] = code if unicodedata.category(chr(code))[0] in "LM" else 32
@@ -85,6 +85,8 @@ _fold = _Fold()
 def grams(text: str, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of the words of text, each word between spaces, with their counts; none without letters."""
     plain = _SEVERAL_SPACES.sub(" ", f" {text.lower().translate(_fold)} ")
+    if not any(map(str.isalpha, plain)):  # marks alone are no word
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     codes = np.frombuffer(plain.encode("utf-32-le"), np.uint32).astype(np.int64)
     if len(codes) < n or len(codes) == 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -124,10 +126,11 @@ def profiles(known: DataFrame, key: tuple = (DIMENSIONS, N, SEED)) -> tuple[list
 def language(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, key: tuple = (DIMENSIONS, N, SEED)) -> DataFrame:
     """The language of each document: the profile with the greatest cosine to its vector.
 
-    docs: doc_id, text. known: doc_id, text, lang, of which at most sample rows with a lang and the smallest hashes of
-    doc_id are learned from. Returns doc_id, lang_pred, score (the cosine, after the mean of all profiles has been taken
-    out of both vectors, clipped to 0 and 1), one row per row; a null text, one without letters, or any without a learned
-    language is "und" with score 0. Ties go to the first language by name.
+    docs: doc_id, text; other columns are ignored. known: doc_id, text, lang, of which the rows with a lang and with the at
+    most `sample` smallest hashes of doc_id are learned from: all rows of a doc_id that repeats, none without a doc_id.
+    Returns doc_id, lang_pred, score (the cosine, after the mean of all profiles has been taken out of both vectors, clipped
+    to 0 and 1), one row per row; a null or empty text, one without letters (marks are none), or any without a learned
+    language is "und" with score 0. Ties go to the first language by name. Texts are read whole, however long.
     """
     known = known.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull())
     picked = F.broadcast(bounded_sample(known.select("doc_id").distinct(), "doc_id", sample))
