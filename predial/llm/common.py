@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import math
 import re
 import tempfile
@@ -14,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: A word: a run of characters other than ASCII control characters, spaces and punctuation.
 WORD_PATTERN = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
@@ -25,9 +28,11 @@ _MIX2 = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where none is configured."""
+    """The folder that driver and executors share. Without a configured one, a local session gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or "file:///tmp/predial-shared").rstrip("/")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"file://{tempfile.gettempdir()}/predial-shared").rstrip("/")
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,7 +54,61 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    _staged.add((spark, path))
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        if df is not None and hasattr(df, "staged_at"):
+            _delete(df.sparkSession, df.staged_at)
+
+
+_staged: set[tuple[SparkSession, str]] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    _staged.discard((spark, path))
+
+
+@atexit.register
+def _discard_all() -> None:
+    """What is left when the driver ends; a session that has stopped already keeps its tables."""
+    for spark, path in list(_staged):
+        with contextlib.suppress(Exception):
+            _delete(spark, path)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def whole_ids(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs, whose key must be of an integer type."""
+    kind = docs.schema[key].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{key} is of type {kind.simpleString()}; an integer type is needed")
+    return docs
+
+
+SALTS = 16
+
+
+def salted(many: DataFrame, few: DataFrame, on: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """many joined to few, whose keys are distinct: each key's rows of many are dealt over SALTS tasks by the hash of spread."""
+    salt = fresh("salt", [*many.columns, *few.columns])
+    many = many.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    few = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.join(few, [*on, salt], how).drop(salt)
 
 
 def use_checkpoints(spark: SparkSession) -> None:
@@ -74,8 +133,15 @@ def held_out(key: str | Column, folds: int, fold: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
-    """At most bound rows, those with the smallest hash of key: the same ones on every run."""
-    return rows.orderBy(F.xxhash64(F.lit(7), key), key).limit(bound)
+    """At most bound rows, those with the smallest hash of key: the same ones on every run.
+
+    Of many rows, only those under a hash that about bound + 10 * sqrt(bound) rows stay under are sorted.
+    """
+    hashed, n = F.xxhash64(F.lit(7), key), rows.count()
+    wanted = bound + 10 * math.sqrt(bound)
+    if n > wanted:
+        rows = rows.filter(hashed <= int(2**64 * (wanted / n)) - 2**63)
+    return rows.orderBy(hashed, key).limit(bound)
 
 
 _POWER = np.uint64(0x2545F4914F6CDD1D)

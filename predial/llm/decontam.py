@@ -7,12 +7,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from predial.llm.common import NOT_ALNUM, SHINGLE_WORDS, Words, mix64, shingles, text_batches
+from predial.llm.common import NOT_ALNUM, SHINGLE_WORDS, Words, discard, mix64, shingles, staged, text_batches
 
 THRESHOLD = 0.8
 HASHES = 48
-#: Items are searched for in blocks of at most so many bytes of text, each broadcast to the executors in turn.
+#: Items are searched for in blocks of at most so many bytes of text, each broadcast to the executors and dropped in turn.
 BLOCK_BYTES = 8 << 20
 _SEEDS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -92,54 +94,67 @@ def contained(found: np.ndarray, bounds: np.ndarray, items: Items, threshold: fl
 
 
 def _blocks(benchmark: DataFrame, limit: int):
-    """Items in blocks of at most limit bytes of text (or one item), each read by itself."""
+    """Items in blocks of about limit bytes of text, each read by itself, and whether it is the only one."""
     benchmark = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n = -(-total // limit)
     for i in range(n):
         part = benchmark if n == 1 else benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
         rows = part.collect()
-        yield Items([r.item_id for r in rows], [r.text for r in rows])
+        yield Items([r.item_id for r in rows], [r.text for r in rows]), n == 1
+
+
+def _found(texts: pa.Array, items: Items, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found, bounds = shingles(Words(pc.utf8_lower(texts), NOT_ALNUM), SHINGLE_WORDS)
+    return contained(found, bounds, items, threshold)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs of a document and an item of which it holds at least threshold of the distinct word shingles.
 
-    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Returns doc_id, item_id, containment, one row
-    per pair of a row of docs and a row of benchmark. Null and empty texts match nothing. An item of fewer than five words
-    is one shingle of all its words, which only a document of the same words has.
+    docs: doc_id, text; benchmark: item_id, text; ids of any type, which may be null or repeat; other columns are ignored.
+    Returns doc_id, item_id, containment, one row per pair of a row of docs and a row of benchmark. Null and empty texts
+    match nothing. An item of fewer than five words is one shingle of all its words, which only a document of the same
+    words has. Items over one block are searched for block by block: each block's matches are written before the next block
+    is read, so that the driver and the executors never hold more than one.
     """
     kept = docs.select("doc_id", "text")
-    kinds = kept.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
-    out = None
-    for items in _blocks(benchmark, block_bytes):
-
-        def search(batches, items=items):
+    kinds = kept.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
+    schema = StructType([StructField("doc_id", kinds[0]), StructField("item_id", kinds[1]), StructField("containment", DoubleType())])
+    item_type, out = to_arrow_type(kinds[1]), None
+    for items, alone in _blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def search(batches, shared=shared):
+            items = shared.value
             for table in text_batches(batches, 3 << 20):
-                found, bounds = shingles(Words(pc.utf8_lower(table.column("text").combine_chunks()), NOT_ALNUM), SHINGLE_WORDS)
-                row, item, share = contained(found, bounds, items, threshold)
+                row, item, share = _found(table.column("text").combine_chunks(), items, threshold)
                 ids = table.column("doc_id").combine_chunks().take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[i] for i in item.tolist()], item_type), pa.array(share)], ["doc_id", "item_id", "containment"])
 
-        found = kept.mapInArrow(search, f"doc_id {kinds[0]}, item_id {kinds[1]}, containment double")
+        found = kept.mapInArrow(search, schema)
+        if not alone:
+            found = staged(found, "matches")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, containment double")
-    return out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item; see matches(). Nothing is shuffled."""
     out = docs
-    for items in _blocks(benchmark, block_bytes):
+    for items, alone in _blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def keep(batches, items=items):
+        def keep(batches, shared=shared):
             for table in text_batches(batches, 3 << 20):
-                found, bounds = shingles(Words(pc.utf8_lower(table.column("text").combine_chunks()), NOT_ALNUM), SHINGLE_WORDS)
                 clean = np.ones(table.num_rows, bool)
-                clean[contained(found, bounds, items, threshold)[0]] = False
+                clean[_found(table.column("text").combine_chunks(), shared.value, threshold)[0]] = False
                 yield from table.filter(pa.array(clean)).to_batches()
 
-        out = out.mapInArrow(keep, out.schema)
+        before, out = out, out.mapInArrow(keep, out.schema)
+        if not alone:
+            out = staged(out, "clean")
+            discard(before)
+            shared.destroy()
     return out

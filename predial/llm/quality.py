@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from predial.llm import features
-from predial.llm.common import bounded_sample, staged, text_batches
+from predial.llm.common import bounded_sample, fresh, salted, staged, text_batches
 
 #: At most so many labelled rows are fitted on.
 SAMPLE = 24_000
@@ -78,18 +78,23 @@ def site_posteriors(known: DataFrame) -> tuple[DataFrame, float]:
 
 
 def quality(
-    docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = KEEP, sample: int = SAMPLE
-) -> DataFrame:
-    """docs with score (0 to 1: how likely label 1 is) and keep (score >= threshold).
-
-    docs: doc_id, text and the columns that host and path are made of; all are returned, one row per row. A null text is
-    empty. labels: doc_id, label (0, 1; nulls are left out; of equal doc_id one counts). The text model is fitted on at
-    most sample of the labelled rows; hosts and paths are counted over all of them. An unseen path falls back on its host,
-    an unseen or null host on the global mean. Without labels of both kinds the score is the global mean.
+    docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = KEEP, sample: int = SAMPLE,
+    score: str = "score", keep: str = "keep", broadcast_sites: int = BROADCAST_SITES,
+) -> DataFrame:
+    """docs with score (0 to 1: how likely label 1 is) and keep (score >= threshold), under the names given for them.
+
+    docs: doc_id, text and the columns that host and path are made of; all are returned, one row per row, whatever they are
+    called; only columns with the names given for score and keep are replaced. A null text is empty. labels: doc_id, label
+    (0, 1; nulls are left out; of equal doc_id one counts). The text model is fitted on at most sample of the labelled rows;
+    hosts and paths are counted over all of them. An unseen path falls back on its host, an unseen or null host on the
+    global mean. Without labels of both kinds the score is the global mean, and 0.5 without any.
     """
-    docs = docs.withColumns({"_host": F.coalesce(host, F.lit("")), "_path": F.coalesce(path, F.lit(""))})
+    docs = docs.drop(score, keep)
+    at_host, at_path, evidence, of_path, of_host = (fresh(x, [*docs.columns, score, keep]) for x in ("host", "path", "evidence", "of_path", "of_host"))
+    names = [*docs.columns, score, keep]
+    docs = docs.withColumns({at_host: F.coalesce(host, F.lit("")), at_path: F.coalesce(path, F.lit(""))})
     labels = labels.select("doc_id", "label").dropna().groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
-    known = docs.select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path")).join(labels, "doc_id")
+    known = docs.select("doc_id", F.col(at_host).alias("host"), F.col(at_path).alias("path")).join(labels, "doc_id")
     sites, mean = site_posteriors(known)
     sites = staged(sites, "quality-sites")
     picked = F.broadcast(bounded_sample(labels, "doc_id", sample))
@@ -101,15 +106,17 @@ def quality(
         weights, base = fitted.coefficients.toArray(), float(fitted.intercept)
     else:
         weights, base = np.zeros(3 * len(features.NAMES)), float(np.log(mean / (1 - mean)))
-    rows = _with(docs, "_evidence", "double", lambda t: pa.array(expanded(features.surface(t)[0]) @ weights + base))
-    small = sites.count() <= BROADCAST_SITES
-    hint = F.broadcast if small else (lambda x: x)
-    by_path = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("posterior").alias("_of_path"))
-    by_host = sites.filter(F.col("path") == "\0any").select(F.col("host").alias("_host"), F.col("posterior").alias("_of_host"))
-    rows = rows.join(hint(by_path), ["_host", "_path"], "left").join(hint(by_host), "_host", "left")
-    site = F.coalesce("_of_path", "_of_host", F.lit(mean))
+    rows = _with(docs, evidence, "double", lambda t: pa.array(expanded(features.surface(t)[0]) @ weights + base))
+    by_path = sites.select(F.col("host").alias(at_host), F.col("path").alias(at_path), F.col("posterior").alias(of_path))
+    by_host = sites.filter(F.col("path") == "\0any").select(F.col("host").alias(at_host), F.col("posterior").alias(of_host))
+    if sites.count() <= broadcast_sites:
+        rows = rows.join(F.broadcast(by_path), [at_host, at_path], "left").join(F.broadcast(by_host), at_host, "left")
+    else:
+        # Posteriors are found for the distinct pairs of host and path, so that whole rows are joined once.
+        pairs = docs.select(at_host, at_path).distinct().join(by_path, [at_host, at_path], "left")
+        pairs = salted(pairs, by_host, [at_host], F.col(at_path), "left")
+        rows = salted(rows, pairs, [at_host, at_path], F.struct("doc_id", "text"), "left")
+    site = F.coalesce(of_path, of_host, F.lit(mean))
     logit = lambda p: F.log(p / (1 - p))
-    margin = F.col("_evidence") + logit(site) - logit(F.lit(mean))
-    score = 1 / (1 + F.exp(-margin))
-    rows = rows.withColumn("score", score).withColumn("keep", F.col("score") >= threshold)
-    return rows.drop("_host", "_path", "_evidence", "_of_path", "_of_host")
+    margin = F.col(evidence) + logit(site) - logit(F.lit(mean))
+    return rows.withColumn(score, 1 / (1 + F.exp(-margin))).withColumn(keep, F.col(score) >= threshold).select(*names)

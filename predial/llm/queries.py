@@ -15,14 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; crossing tokens go to the line with most of their characters."""
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, with their likeness; see fingerprint.edited_pairs()."""
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from labels outside the held-out quarter."""
     labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id", 4, 2))
     scored = toxicity.toxicity(table(spark, sf_dir, "documents"), labels.select("doc_id", F.col("toxic").alias("label")))
     return scored.select(
@@ -31,38 +34,45 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removal of bytes that a smaller doc_id has as well, in strings of 50, does to every document."""
     return repeats.removal_report(table(spark, sf_dir, "documents"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
     predicted = langid.language(docs, docs.filter(~held_out("doc_id", 4, 2)))
     return predicted.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in pieces, packed into sequences of at most 4096."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every text under a model of those outside the held-out tenth."""
     return lm.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 10, 0))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document and the class's size."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def site_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def site_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, score: str = "score", keep: str = "keep") -> DataFrame:
     """Documents scored with the labels of sf_dir; their source is the host, source and language the path."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return quality.quality(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+    return quality.quality(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"), score=score, keep=keep)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, and whether it is kept."""
     return site_quality(spark, table(spark, sf_dir, "documents"), sf_dir).select("doc_id", "score", "keep")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items of which they hold 0.8 or more of the shingles."""
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -91,7 +91,7 @@ def token_counts(
     """Tokens of each section of each document.
 
     docs: doc_id, text and, if sections is given, a column of that name with an array of (start, end) structs in
-    characters, sorted and without overlaps (fields of the text); otherwise split(text) makes the sections. A null text
+    characters, sorted and without overlaps, which raise (fields of the text); otherwise split(text) makes the sections. A null text
     counts as empty; an empty text has one empty section without tokens; a null section array is empty, and so are
     arrays of sections beyond the text. Rows with equal or null doc_id are documents of their own. Other columns are
     ignored. Returns doc_id, section (from 0), section_start, section_end, n_tokens, n_crossing (tokens of n_tokens that
@@ -115,6 +115,8 @@ def token_counts(
                 else:
                     pairs = np.array([(x["start"], x["end"]) for x in marks[i] or []], np.int64).reshape(-1, 2)
                     a, b = pairs[:, 0], pairs[:, 1]
+                    if (b < a).any() or (a[1:] < b[:-1]).any():
+                        raise ValueError("sections overlap or are not sorted")
                 n, crossing = attribute(starts, ends, a, b, rule)
                 rows.append(np.full(len(a), i))
                 for column, values in zip(

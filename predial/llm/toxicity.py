@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
@@ -31,10 +33,13 @@ SEED_INSULTS = (
     "idiot", "moron", "stupid", "dumb", "loser", "trash", "scum", "worthless", "pathetic", "disgusting", "clown", "fool",
     "garbage", "imbecile", "jerk", "freak", "filth", "vermin", "crap", "bastard", "ugly", "hate", "shut", "kill",
 )
-_LEET = str.maketrans("013457@$!", "oleastasi")
+_LEET = [str.maketrans("013457@$!", f"o{one}eastasi") for one in "li"]
+#: Chunks with a character that may stand for a letter, or between letters.
+_MARKED = re.compile(r"[^\s]*[0134579@$!*._\-][^\s]*")
+_OTHER = re.compile(r"[^a-z]+")
 _NAMES = (
     "insults", "insult_density", "learned", "learned_density", "strongest", "weight", "near_second_person", "second_person",
-    "hidden_insults",
+    "hidden_insult_rate",
 )
 
 
@@ -53,6 +58,15 @@ def _isin(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys
 
 
+def hidden_insults(text: str) -> int:
+    """Chunks that are an insult only when signs that stand for letters are read as these, or signs between letters go."""
+    n = 0
+    for chunk in _MARKED.findall(text.lower()):
+        plain = chunk.strip(".!_-*")
+        n += plain not in SEED_INSULTS and any(_OTHER.sub("", x) in SEED_INSULTS for x in (plain, *map(plain.translate, _LEET)))
+    return n
+
+
 def _features(texts: pa.Array, lexicon: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The surface features and those of _NAMES; lexicon is sorted."""
     base, found = features.surface(texts)
@@ -79,9 +93,8 @@ def _features(texts: pa.Array, lexicon: np.ndarray, weights: np.ndarray) -> np.n
     np.maximum.at(strongest, found.doc, weight)
     hidden = np.zeros(n)
     marked = np.flatnonzero(base[:, features.NAMES.index("marked_words")] + base[:, features.NAMES.index("digits")] > 0)
-    for i in marked.tolist():  # letters that stand for others
-        plain = (texts[i].as_py() or "").lower().translate(_LEET)
-        hidden[i] = sum(plain.count(x) for x in SEED_INSULTS)
+    for i in marked.tolist():
+        hidden[i] = hidden_insults(texts[i].as_py() or "") / count[i]
     extra = np.column_stack([
         total(insult), total(insult) / count, total(weight > 0), total(weight > 0) / count, strongest,
         total(weight) / count, total(bad & near), total(person) / count, hidden,
