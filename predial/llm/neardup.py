@@ -1,10 +1,11 @@
 """Near-duplicate documents by consistent weighted sampling of TF-IDF word shingles, verified by weighted Jaccard similarity.
 
 Texts with equal sets of shingles are copies: one of them stands for all, also in document counts, so these don't depend on
-how often a text is copied. The others are dealt into shards, which learn their shingles' document counts from the tasks that own them by hash. A shingle in
-one document only can't be shared, so a document keeps just its shared shingles and the total weight of the others; one
-whose shared weight is under the threshold has no partner. The rest are sampled, banded, compared with the least member of
-each band, and verified exactly; classes are the connected components of verified pairs.
+how often a text is copied. The others are dealt into shards, which learn their shingles' document counts from the tasks
+that own them by hash. A shingle in one document only can't be shared, so a document keeps just its shared shingles and the
+total weight of the others; one whose shared weight is under the threshold has no partner. The rest are sampled, banded,
+compared with the least member of each band and then, where a band's members are not connected yet, with one another; all
+links are verified exactly, and classes are the connected components of them.
 """
 
 from __future__ import annotations
@@ -15,27 +16,39 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from predial.llm.common import NOT_ALNUM, SHINGLE_WORDS, Words, mix64, pack, partitions_for, runs, shingles, sorted_groups, staged, text_batches, text_bytes, unpack
+from predial.llm.common import (
+    NOT_ALNUM, SHINGLE_WORDS, WORD_PATTERN, Words, discard, fresh, mix64, pack, partitions_for, runs, salted, shingles, sorted_groups, staged,
+    text_batches, text_bytes, unpack, whole_ids,
+)
 
 THRESHOLD = 0.8
+#: A shingle weighs 1 if all documents have it and 1 + IDF_SHARE if one has: so much rarity counts. With weights in
+#: proportion to rarity, a few own words would part near copies of a text that has many near copies.
+IDF_SHARE = 0.25
 SAMPLES = 64
-#: Samples in a band; bands of several sizes put a document in coarse and fine company.
+#: Samples in a band; bands of several sizes put a document in coarse and fine company. Who shares a finer band also shares a
+#: coarse one.
 BAND_ROWS = (4, 8, 16)
-SHARD_BYTES = 8 << 20
+COARSE = SAMPLES // BAND_ROWS[0]
+SHARD_BYTES = 6 << 20
 #: Text for each task that owns shingles.
-OWNER_BYTES = 24 << 20
-ROUNDS = 3
+OWNER_BYTES = 20 << 20
+#: Rounds with leaders; they only save work.
+ROUNDS = 2
 #: Estimated similarities this far below the threshold are not verified. A pair at 0.8 agrees in fewer than 34 of 64 samples
 #: with probability 3.2e-7.
 SLACK = 0.27
-#: Members of a band that are compared with one another in one task; a larger band is split into blocks of so many.
-CELL = 2048
-#: Members of bands in a task that compares them, and pairs whose samples are held at once.
-CELL_ROWS, PAIRS = 20_000, 1 << 15
+#: Members of a band, and bytes of their sets, that are compared with one another in one task; a larger band is split into
+#: blocks of so many.
+CELL, CELL_BYTES = 2048, 4 << 20
+#: Members of bands in a task that compares them, bytes of sets in one, and pairs whose samples are held at once.
+CELL_ROWS, TASK_BYTES, PAIRS = 20_000, 24 << 20, 1 << 15
 _SCHEMA = "part int, data binary"
 _ROW = pa.schema([("part", pa.int32()), ("data", pa.binary())])
 _SET_SCHEMA = "node long, doc long, weight double, data binary, samples binary"
+_LAST = 2**63 - 1
 _draw = np.random.default_rng(8)
 _R = -np.log(_draw.random(1 << 16) * _draw.random(1 << 16) + 1e-300)
 _LOG_C = np.log(-np.log(_draw.random(1 << 16) * _draw.random(1 << 16) + 1e-300))
@@ -48,19 +61,23 @@ def node(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, F.xxhash64(F.coalesce(text, F.lit(""))))
 
 
+def idf(n_docs: int, df: np.ndarray) -> np.ndarray:
+    """1 for a shingle of all documents, 1 + IDF_SHARE for one of a single document."""
+    return 1 + IDF_SHARE * np.log(n_docs / np.maximum(df, 1)) / max(np.log(n_docs), 1e-9)
+
+
 def _owner(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 class Shard:
-    """Distinct shingles (48 bits) of each row with their counts, and those of the shard."""
+    """Distinct shingles (64 bits) of each row with their counts, and those of the shard."""
 
     def __init__(self, rows: pa.Table):
         found, bounds = shingles(Words(pc.utf8_lower(pc.fill_null(rows.column("text").combine_chunks(), "")), NOT_ALNUM), SHINGLE_WORDS)
         doc = np.repeat(np.arange(rows.num_rows), np.diff(bounds))
-        key = found >> np.uint64(16)
-        order = np.lexsort((key, doc))
-        key, doc = key[order], doc[order]
+        order = np.lexsort((found, doc))
+        key, doc = found[order], doc[order]
         at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))) if len(key) else np.zeros(0, np.int64)
         self.key, self.doc, self.tf = key[at], doc[at], np.diff(np.append(at, len(key)))
         self.keys, self.place, self.counts = np.unique(self.key, return_inverse=True, return_counts=True)
@@ -148,7 +165,7 @@ def _sets(answers: pa.Table, rows: pa.Table, n_docs: int, threshold: float) -> p
     shard = Shard(rows)
     got = sorted(((int(a[0]), n) for a, n in map(unpack, answers.column("data").to_pylist())), key=lambda x: x[0])
     df = np.concatenate([n.astype(np.int64) for _, n in got])[shard.place] if got else np.zeros(0, np.int64)
-    weight = shard.tf * np.log1p(n_docs / np.maximum(df, 1))
+    weight = shard.tf * idf(n_docs, df)
     shared = df > 1
     n = rows.num_rows
     whole = np.bincount(shard.doc, weights=weight, minlength=n)
@@ -167,7 +184,7 @@ def _sets(answers: pa.Table, rows: pa.Table, n_docs: int, threshold: float) -> p
         data.append(pack(np.diff(key[s], prepend=np.uint64(0)), _small(tf[s]), _small(df[s])))
     if len(picked):
         # What a row shares with none is one element that only it has.
-        own = mix64(nodes[picked].view(np.uint64)) | np.uint64(1 << 63)
+        own = mix64(nodes[picked].view(np.uint64) + np.uint64(SAMPLES))
         where = bounds[1:]
         all_keys = np.insert(key, where, own)
         logs = np.insert(np.log(weight), where, np.log(np.where(rest > 0, rest, 1e-300)))
@@ -182,6 +199,7 @@ def _sets(answers: pa.Table, rows: pa.Table, n_docs: int, threshold: float) -> p
 
 
 def _bands(batches):
+    """The bands of each set: coarse ones first, by nth; size is that of the set."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -195,8 +213,8 @@ def _bands(batches):
                     value = mix64(value * np.uint64(0x100000001B3) + drawn[:, i])
                 keys.append(value.view(np.int64))
         m = len(keys)
-        nodes, docs = (np.repeat(batch.column(c).to_numpy(), m) for c in ("node", "doc"))
-        yield pa.RecordBatch.from_arrays([pa.array(np.stack(keys, 1).ravel()), pa.array(nodes), pa.array(docs)], ["band", "node", "doc"])
+        held = [np.repeat(batch.column(c).to_numpy(), m) for c in ("node", "doc", "size")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.stack(keys, 1).ravel()), pa.array(np.tile(np.arange(m, dtype=np.int32), n)), *map(pa.array, held)], ["band", "nth", "node", "doc", "size"])
 
 
 def _estimates(batches):
@@ -206,64 +224,169 @@ def _estimates(batches):
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("other"), pa.array((a == b).mean(axis=1))], ["node", "other", "estimate"])
 
 
-def _cross(batches, least: float):
-    """Pairs of members of one cell, not of one root (nor of one block of a band that is split), with samples that agree."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches)
-    cell, root, block, nodes = (table.column(c).to_numpy() for c in ("cell", "root", "block", "node"))
-    drawn = np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint32).reshape(-1, SAMPLES)
-    order = np.lexsort((root, cell))
-    cell, root, block, nodes, drawn = (x[order] for x in (cell, root, block, nodes, drawn))
-    n = len(cell)
-    new_cell = cell[1:] != cell[:-1]
-    ends = np.append(np.flatnonzero(new_cell) + 1, n)
-    root_ends = np.append(np.flatnonzero(new_cell | (root[1:] != root[:-1])) + 1, n)
-    # A member meets those of its cell's later roots.
-    first = root_ends[np.searchsorted(root_ends, np.arange(n), "right")]
-    count = ends[np.searchsorted(ends, np.arange(n), "right")] - first
-    total = np.cumsum(count)
-    i = 0
-    while i < n:
-        j = max(int(np.searchsorted(total, total[i] - count[i] + PAIRS, "right")), i + 1)
-        of = np.repeat(np.arange(i, j), count[i:j])
-        to = np.arange(len(of)) - np.repeat(np.cumsum(count[i:j]) - count[i:j], count[i:j]) + first[of]
-        met = (block[of] < 0) | (block[of] != block[to])
-        of, to = of[met], to[met]
-        close = (drawn[of] == drawn[to]).mean(axis=1) >= least
-        a, b = nodes[of[close]], nodes[to[close]]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["node", "other"])
-        i = j
-
-
-def _unmet(bands: DataFrame, roots: DataFrame | None, sampled: DataFrame, least: float) -> DataFrame:
-    """All pairs (node < other) of a common band and different roots whose samples agree to at least `least`."""
-    members = bands.select("band", "node")
+class Cell:
+    """Members of one cell, in the order of their roots."""
+
+    def __init__(self, table: pa.Table):
+        nth, root, block, nodes = (table.column(c).to_numpy() for c in ("nth", "root", "block", "node"))
+        order = np.lexsort((nodes, root))
+        self.order, self.nth, self.root, self.block, self.node = order, int(nth[0]), root[order], block[order], nodes[order]
+        drawn = table.column("samples").combine_chunks() if isinstance(table.column("samples"), pa.ChunkedArray) else table.column("samples")
+        self.drawn = np.frombuffer(b"".join(drawn.to_pylist()), np.uint32).reshape(-1, SAMPLES)[order]
+
+    def pairs(self, least: float):
+        """Pairs (i, j) of different roots (in a cell of two blocks, of different blocks) with samples that agree to at least
+        `least`, of those that meet in no coarse band before this one."""
+        n = len(self.root)
+        ends = np.append(np.flatnonzero(self.root[1:] != self.root[:-1]) + 1, n)
+        first = ends[np.searchsorted(ends, np.arange(n), "right")]  # a member meets those of later roots
+        count = n - first
+        total, i, rows = np.cumsum(count), 0, BAND_ROWS[0]
+        while i < n:
+            j = max(int(np.searchsorted(total, total[i] - count[i] + PAIRS, "right")), i + 1)
+            of = np.repeat(np.arange(i, j), count[i:j])
+            to = np.arange(len(of)) - np.repeat(np.cumsum(count[i:j]) - count[i:j], count[i:j]) + first[of]
+            met = (self.block[of] < 0) | (self.block[of] != self.block[to])
+            of, to = of[met], to[met]
+            same = self.drawn[of] == self.drawn[to]
+            close = same.mean(axis=1) >= least
+            of, to, same = of[close], to[close], same[close]
+            before = same[:, : self.nth * rows].reshape(len(of), self.nth, rows).all(axis=2).any(axis=1)
+            yield of[~before], to[~before]
+            i = j
+
+
+def _cells(batches):
+    """The rows of each cell as a table; batches are sorted by cell."""
+    held = []
+    for batch in batches:
+        for i, j in runs(batch.column("cell").to_numpy()):
+            part = batch.slice(i, j - i)
+            if held and held[-1].column("cell")[0] != part.column("cell")[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+_MEMBER = ["cell", "nth", "root", "block", "node", "size"]
+
+
+def _needed(batches, least: float):
+    """Members of cells that have a candidate."""
+    for table in _cells(batches):
+        cell = Cell(table)
+        hit = np.zeros(len(cell.root), bool)
+        for i, j in cell.pairs(least):
+            hit[i] = hit[j] = True
+        if hit.any():
+            yield from table.select(_MEMBER).take(pa.array(cell.order[hit])).to_batches()
+
+
+class Sets:
+    """Sets of shingles of a cell's members, over one common numbering of shingles."""
+
+    def __init__(self, table: pa.Table, order: np.ndarray, n_docs: int):
+        data = table.column("data").to_pylist()
+        got = [unpack(data[i]) for i in order.tolist()]
+        self.whole = table.column("weight").to_numpy()[order]
+        self.size = np.array([len(x[0]) for x in got], np.int64)
+        self.ends = np.cumsum(self.size)
+        keys = np.concatenate([np.cumsum(x[0]) for x in got])
+        self.tf = np.concatenate([x[1].astype(np.int64) for x in got])
+        _, first, self.place = np.unique(keys, return_index=True, return_inverse=True)
+        self.weight = idf(n_docs, np.concatenate([x[2].astype(np.int64) for x in got])[first])
+        self.mine = np.zeros(len(first), np.int64)
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarities of member i to others."""
+        s = slice(self.ends[i] - self.size[i], self.ends[i])
+        self.mine[self.place[s]] = self.tf[s]
+        both = np.zeros(len(others))
+        bound = np.cumsum(self.size[others]) >> 22  # some 4 million shingles at a time
+        for a, b in runs(bound):
+            o = others[a:b]
+            n = self.size[o]
+            at = np.cumsum(n) - n
+            pick = np.repeat(self.ends[o] - n - at, n) + np.arange(at[-1] + n[-1])
+            place = self.place[pick]
+            both[a:b] = np.add.reduceat(np.minimum(self.tf[pick], self.mine[place]) * self.weight[place], at)
+        self.mine[self.place[s]] = 0
+        return both / np.maximum(self.whole[i] + self.whole[others] - both, 1e-300)
+
+
+def _linked(batches, least: float, n_docs: int, threshold: float):
+    """Links (a, b) that connect members of a cell: of all its pairs at threshold or above, those that join what others of
+    them have not joined yet."""
+    for table in _cells(batches):
+        cell = Cell(table)
+        up = {x: x for x in cell.root.tolist()}
+        sets = Sets(table, cell.order, n_docs)
+
+        def top(x: int, up=up) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        a, b = [], []
+        for of, to in cell.pairs(least):
+            for x, y in runs(of):
+                i, mine = int(of[x]), int(cell.root[of[x]])
+                others = to[x:y]
+                if up[mine] != mine or len(up) > 1:
+                    here = top(mine)
+                    others = others[np.array([top(r) != here for r in cell.root[others].tolist()], bool)]
+                if not len(others):
+                    continue
+                for j in others[sets.similar(i, others) >= threshold].tolist():
+                    p, q = top(mine), top(int(cell.root[j]))
+                    if p != q:
+                        up[max(p, q)] = min(p, q)
+                        a.append(int(cell.node[i]))
+                        b.append(int(cell.node[j]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _unmet(bands: DataFrame, roots: DataFrame | None, own: DataFrame, n_docs: int, threshold: float, least: float) -> DataFrame:
+    """Links (a, b) among all pairs of a common coarse band and different roots whose samples agree to at least `least`.
+
+    A large band is split into blocks, with a cell for each two of them; a pair is looked at in the first band that it shares.
+    Pairs don't leave their task: at first only the members that have a candidate do, then the links that connect some.
+    """
+    members = bands.filter(F.col("nth") < COARSE).select("band", "nth", "node", "size")
     if roots is not None:
-        members = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        members = members.join(roots, "node", "left").select("band", "nth", "node", "size", F.coalesce("root", "node").alias("root"))
     else:
         members = members.withColumn("root", F.col("node"))
     # A band whose members are connected already has nothing to say.
-    mixed = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b")
-    members = staged(members.join(mixed.select("band", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")), "band"), "near-mixed")
+    mixed = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b")
+    blocks = F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int")
+    members = staged(members.join(mixed.select("band", blocks.alias("blocks")), "band"), "near-mixed")
     # A band in g blocks has a cell for every two blocks, and one for each block by itself.
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = members.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("band", F.least("mine", "with"), F.greatest("mine", "with"))
     # Within its own cell (block -1) a block's members meet one another, in the others only those of the other block.
-    cells = cells.select("node", "root", cell.alias("cell"), F.when(F.col("mine") == F.col("with"), -1).otherwise(F.col("mine")).alias("block"))
+    block = F.when(F.col("mine") == F.col("with"), -1).otherwise(F.col("mine")).alias("block")
+    cells = cells.select(cell.alias("cell"), "nth", "root", block, "node", "size")
+    least_parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = members.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
-    parts = max(int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // CELL_ROWS))
-    dealt = cells.join(sampled, "node").repartition(parts, "cell")
-    return dealt.mapInArrow(lambda b: _cross(b, least), "node long, other long").distinct()
+    dealt = cells.join(own.select("node", "samples"), "node").repartition(max(least_parts, -(-n // CELL_ROWS)), "cell").sortWithinPartitions("cell")
+    needed = staged(dealt.mapInArrow(lambda b: _needed(b, least), cells.select(_MEMBER).schema), "near-needed")
+    n = needed.agg(F.coalesce(F.sum(F.col("size") + 8 * SAMPLES), F.lit(0))).first()[0]
+    dealt = needed.join(own.select("node", "samples", "weight", "data"), "node").repartition(max(least_parts, -(-n // TASK_BYTES)), "cell").sortWithinPartitions("cell")
+    links = staged(dealt.mapInArrow(lambda b: _linked(b, least, n_docs, threshold), "a long, b long"), "near-links")
+    discard(members, needed)
+    return links
 
 
 def weighted_jaccard(a: bytes, b: bytes, weight_a: float, weight_b: float, n_docs: int) -> float:
     (ka, ta, da), (kb, tb, _) = unpack(a), unpack(b)
     _, i, j = np.intersect1d(np.cumsum(ka), np.cumsum(kb), assume_unique=True, return_indices=True)
-    both = float((np.minimum(ta[i].astype(np.int64), tb[j].astype(np.int64)) * np.log1p(n_docs / da[i].astype(np.int64))).sum())
+    both = float((np.minimum(ta[i].astype(np.int64), tb[j].astype(np.int64)) * idf(n_docs, da[i].astype(np.int64))).sum())
     return both / max(weight_a + weight_b - both, 1e-300)
 
 
@@ -275,7 +398,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     levels, left = [], edges.select("a", "b").distinct()
     while True:
-        left = staged(left, "edges")
+        left = before = staged(left, "edges")
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root"))
         near = staged(near, "nearest")
@@ -283,31 +406,34 @@ def components(edges: DataFrame) -> DataFrame:
         levels.append(staged(near.join(above, "root").select("node", F.col("up").alias("root")), "level"))
         a, b = (levels[-1].select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
         left = left.join(a, "a").join(b, "b").filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-        if left.isEmpty():
+        done = left.isEmpty()
+        if done:
+            discard(before, near)
             break
+        discard(near)
     out = levels[0]
     for level in levels[1:]:
         out = out.join(level.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left")
         out = out.select("node", F.coalesce("up", "root").alias("root"))
+    out = staged(out, "near-roots")
+    discard(*levels)
     return out
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows that have near-duplicates: (node, doc, root), root naming the class by a number.
+def classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Those of rows that have near-duplicates: (node, doc, root), root naming the class by a number.
 
-    docs: doc_id, text; see near_duplicates(). Copies (equal sets of shingles) stand for one another. Of the others, every
-    row is compared with the least member of each of its bands; what a band's leader does not draw into its component gets
-    a leader of its own in the next of ROUNDS rounds. These rounds only save work: afterwards all pairs of a band that are
-    not connected yet are compared. A link can only be missing between rows that share no band of any of the three sizes
-    and are not connected through others either.
+    rows: node (a hash that stands for the row; rows of one node are equal), doc (smaller ones stand for others), text. Copies
+    (equal sets of shingles) stand for one another. Of the others, every row is compared with the least member of each of
+    its bands; what a band's leader does not draw into its component gets a leader of its own in the next of ROUNDS rounds.
+    These rounds only save work: afterwards all pairs of a band that are not connected yet are compared. A link can only be
+    missing between rows that share no coarse band, or by SLACK, and are not connected through others either.
     """
-    spark = docs.sparkSession
-    n_bytes = text_bytes(docs)
+    spark = rows.sparkSession
+    n_bytes = text_bytes(rows)
     parts, shards = partitions_for(spark, n_bytes, OWNER_BYTES), partitions_for(spark, n_bytes, SHARD_BYTES)
-    big = F.lit(2**63 - 1)
-    rows = docs.select(node(F.col("doc_id"), F.col("text")).alias("node"), F.coalesce(F.col("doc_id").cast("long"), big).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     named = staged(rows.mapInArrow(_digests, "node long, doc long, same string"), "near-digests")
-    # Of copies, the one with the least doc_id is counted and compared.
+    # Of copies, the one with the least doc is counted and compared.
     least = named.groupBy("same").agg(F.min(F.struct("doc", "node")).alias("least"), F.count("*").alias("copies"))
     least = staged(least.select("same", F.col("least.node").alias("least"), "copies"), "near-copies")
     n_docs = least.count()
@@ -318,7 +444,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     answers = asked.repartitionById(parts, "part").mapInArrow(_total, _SCHEMA)
     answers = answers.unionByName(firsts, allowMissingColumns=True).groupBy("part")
     own = staged(answers.cogroup(dealt).applyInArrow(lambda a, b: _sets(a, b, n_docs, threshold), _SET_SCHEMA), "near-sets")
-    bands = own.select("node", "doc", "samples").mapInArrow(_bands, "band long, node long, doc long")
+    own = own.withColumn("size", F.octet_length("data").cast("long"))
+    bands = own.select("node", "doc", "size", "samples").mapInArrow(_bands, "band long, nth int, node long, doc long, size long")
     # A band with one member leads nowhere.
     several = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     bands = staged(bands.join(several, "band", "left_semi").withColumn("root", F.col("node")), "near-bands")
@@ -337,7 +464,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         tried = close if tried is None else tried.unionByName(close)
         if not found.isEmpty():
             joined = found if joined is None else joined.unionByName(found)
-            roots = staged(components(joined), "near-roots")
+            before, roots = roots, components(joined)
+            discard(before)
         # A band's members that are not with its leader now go on.
         if roots is not None:
             of = lambda name, to: roots.select(F.col("node").alias(name), F.col("root").alias(to))  # noqa: E731, B023
@@ -346,21 +474,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         left = staged(met.filter("root != led").select("band", "node", "doc", "root"), "near-left")
         if left.isEmpty():
             break
-    sampled = own.select("node", "samples")
-    close = staged(_unmet(bands, roots, sampled, threshold - SLACK), "near-unmet")
-    if tried is not None:
-        # `other` was the leader there.
-        tried = tried.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
-        close = close.join(tried, ["node", "other"], "left_anti")
-    found = staged(_verified(close, own, n_docs, threshold), "near-links")
+    found = _unmet(bands, roots, own, n_docs, threshold, threshold - SLACK)
     if not found.isEmpty():
         joined = found if joined is None else joined.unionByName(found)
-        roots = staged(components(joined), "near-roots")
-    out = named.join(least, "same")
+        before, roots = roots, components(joined)
+        discard(before)
     if roots is None:
-        return out.filter("copies > 1").select("node", "doc", F.col("least").alias("root")).distinct()
-    out = out.join(roots.withColumnRenamed("node", "least"), "least", "left").filter("copies > 1 or root is not null")
-    return out.select("node", "doc", F.coalesce("root", "least").alias("root")).distinct()
+        of_copies = least.filter("copies > 1").select("same", F.col("least").alias("root"))
+    else:
+        of_copies = least.join(roots.withColumnRenamed("node", "least"), "least", "left").filter("copies > 1 or root is not null")
+        of_copies = of_copies.select("same", F.coalesce("root", "least").alias("root"))
+    return salted(named, of_copies, ["same"], F.col("node")).select("node", "doc", "root")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, n_docs: int, threshold: float) -> DataFrame:
@@ -381,24 +505,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, n_docs: int, threshold: float)
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The near-duplicate class of each row.
 
-    docs: doc_id, text; other columns are ignored. Texts are compared by their five-word shingles, weighted by count and
-    log(1 + documents / documents with the shingle), where texts with equal shingles count as one document; a class is all that is connected by similarities of at least threshold.
-    Texts with fewer words have one shingle; texts without words (null and empty ones) are alone. Rows with equal doc_id and
-    text are one. Returns doc_id, class_id (the least doc_id of the class, its own for a single row), class_size (rows).
+    docs: doc_id (an integer type, others raise), text; other columns are ignored. Texts are compared by their five-word
+    shingles, weighted by count and by rarity (see idf()), where texts with equal shingles count as one document; a class is
+    all that is connected by similarities of at least threshold. Texts with fewer words have one shingle; texts without
+    words (null and empty ones) are alone. Rows with equal or null doc_id stay rows of their own. Returns doc_id, class_id
+    (the least doc_id of the class, its own for a single row, null if none has one), class_size (rows), one row per row.
     """
-    found = classes(docs, threshold)
-    named = staged(found.groupBy("root").agg(F.min("doc").alias("class_id")), "near-names").join(found, "root").select("node", "class_id")
-    rows = docs.select("doc_id", node(F.col("doc_id"), F.col("text")).alias("node")).join(named.distinct(), "node", "left")
-    rows = staged(rows.select("doc_id", F.col("class_id")), "near-rows")
-    size = rows.filter(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("class_size"))
-    out = rows.join(size, "class_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    kind = whole_ids(docs).schema["doc_id"].dataType
+    rows = docs.select(node(F.col("doc_id"), F.col("text")).alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    found = staged(classes(rows, threshold), "near-classes")
+    names = staged(found.groupBy("root").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size")), "near-names")
+    named = salted(found.select("node", "root").distinct(), names, ["root"], F.col("node")).select("node", "class_id", "class_size")
+    out = docs.select("doc_id", node(F.col("doc_id"), F.col("text")).alias("node")).join(named, "node", "left")
+    class_id = F.when(F.col("class_id") != _LAST, F.col("class_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", class_id.cast(kind).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, with one row of each class: the one with the least doc_id; equal rows count once."""
-    found = staged(classes(docs, threshold), "near-classes")
-    first = found.groupBy("root").agg(F.min(F.struct("doc", "node")).alias("first")).select("root", F.col("first.node").alias("first"))
-    others = found.join(first, "root").filter(F.col("node") != F.col("first")).select(F.col("node").alias("_node"))
-    rows = docs.withColumn("_node", node(F.col("doc_id"), F.col("text")))
-    return rows.join(others, "_node", "left_anti").dropDuplicates(["_node"]).drop("_node")
+    """docs, all columns, with one row of each class: the one with the least doc_id, of equal ones that with the least hash
+    over all columns; rows that are equal in all columns count once. Rows whose text has no words all stay."""
+    whole_ids(docs)
+    key = fresh("node", docs.columns)
+    hashed = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)))
+    # Rows of one text and id differ in the hash of their other columns.
+    rows = docs.filter(F.coalesce("text", F.lit("")).rlike(WORD_PATTERN)).withColumn(key, hashed)
+    found = staged(classes(rows.select(F.col(key).alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text"), threshold), "near-classes")
+    first = staged(found.groupBy("root").agg(F.min(F.struct("doc", "node")).alias("first")).select("root", F.col("first.node").alias("first")), "near-firsts")
+    others = salted(found.distinct(), first, ["root"], F.col("node")).filter(F.col("node") != F.col("first")).select(F.col("node").alias(key))
+    kept = rows.join(others, key, "left_anti").dropDuplicates([key]).drop(key)
+    return kept.unionByName(docs.filter(~F.coalesce("text", F.lit("")).rlike(WORD_PATTERN)))
