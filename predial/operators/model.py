@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from predial.functions.numeric import fold_of
+from predial.operators.stats import group_quantiles
 
 K = 5
 
@@ -44,7 +45,7 @@ def zone_medians(rows: DataFrame, value: str, zone: str, fold: str, k: int = K)
     """rows with esperado: the training median of the zone, or of all where the zone has no training row (LM7)."""
     slim = training_rows(rows.select(zone, value, fold), fold, k)
     per = slim.groupBy(F.col("para").alias(fold), zone).agg(F.median(value).alias("_z"))
-    city = slim.groupBy(F.col("para").alias(fold)).agg(F.median(value).alias("_c"))
+    city = group_quantiles(slim, value, ["para"], [0.5]).select(F.col("para").alias(fold), F.col("q")[0].alias("_c"))
     return rows.join(per, [fold, zone], "left").join(F.broadcast(city), fold).withColumn("esperado", F.coalesce("_z", "_c")).drop("_z", "_c")
 
 
@@ -95,13 +96,14 @@ def predict_within(rows: DataFrame, y: str, xs: list[str], zone: str, fold: str,
 def explanation(rows: DataFrame, key: str, y: str, xs: dict[str, str], zone: str, fold: str, betas: dict[int, np.ndarray], means: DataFrame) -> DataFrame:
     """Contributions of groups of variables to each prediction (LM13): (key, variable, aporte); base is the zone's mean.
 
-    xs maps each x to the variable that it counts for. The contributions of a key and its base add up to its prediction.
+    xs maps each x to the variable that it counts for. The contributions of a key and its base add up to its prediction; a
+    zone without training rows takes the means of the fold's zones, as there.
     """
-    names = list(xs)
-    rows = rows.join(means, [fold, zone])
-    parts = [F.struct(F.lit(v).alias("variable"), (_by_fold(fold, betas, i) * (F.col(x) - F.col(f"_mean_{x}"))).alias("aporte")) for i, (x, v) in enumerate(xs.items())]
-    base = F.struct(F.lit("base").alias("variable"), F.col(f"_mean_{y}").alias("aporte"))
-    assert len(parts) == len(names)
+    city = means.groupBy(fold).agg(*(F.avg(f"_mean_{c}").alias(f"_city_{c}") for c in (*xs, y)))
+    rows = rows.join(means, [fold, zone], "left").join(F.broadcast(city), fold, "left")
+    mean = lambda c: F.coalesce(f"_mean_{c}", f"_city_{c}")
+    parts = [F.struct(F.lit(v).alias("variable"), (_by_fold(fold, betas, i) * (F.col(x) - mean(x))).alias("aporte")) for i, (x, v) in enumerate(xs.items())]
+    base = F.struct(F.lit("base").alias("variable"), mean(y).alias("aporte"))
     long = rows.select(key, F.explode(F.array(base, *parts)).alias("p")).select(key, "p.*")
     return long.groupBy(key, "variable").agg(F.sum("aporte").alias("aporte"))
 

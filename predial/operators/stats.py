@@ -2,15 +2,89 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from predial.functions.numeric import fold_of
+from predial.functions.numeric import chi2_tail, fold_of, two_sided
 from predial.operators.clean import truth
 
 
+def exact_quantiles(rows: DataFrame, value: str, ps: list[float], buckets: int = 512) -> DataFrame:
+    """One row with q: exact quantiles of value over all rows, interpolated, nulls left out; null without values.
+
+    No task sees all values: approximate quantiles cut the values into buckets, whose counts tell in which bucket each
+    wanted rank lies; only those buckets' values are counted and ordered. A few numbers reach the driver.
+    """
+    spark = rows.sparkSession
+    values = rows.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    edges = sorted(set(values.approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    bucket = _bucket(F.col("v"), edges)
+    counts = {r.b: r.n for r in values.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}  # one row per bucket
+    n, before, start = sum(counts.values()), 0, {}
+    for b in sorted(counts):
+        start[b] = before
+        before += counts[b]
+    wanted = {p: ((n - 1) * p, *(r for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p)))) for p in ps} if n else {}
+    ranks = sorted({r for _, a, b in wanted.values() for r in (a, b)})
+    of = {r: max((b for b in start if start[b] <= r), key=lambda b: start[b]) for r in ranks}
+    found = {}
+    if ranks:
+        some = values.withColumn("b", bucket).filter(F.col("b").isin(sorted(set(of.values())))).groupBy("b", "v").agg(F.count("*").alias("n"))
+        some = some.withColumn("upto", F.sum("n").over(Window.partitionBy("b").orderBy("v")))
+        hit = reduce(lambda x, y: x | y, ((F.col("b") == b) & (F.col("upto") > r - start[b]) & (F.col("upto") - F.col("n") <= r - start[b]) for r, b in of.items()))
+        for x in some.filter(hit).collect():  # at most two values for each quantile
+            found |= {r: x.v for r, b in of.items() if b == x.b and x.upto - x.n <= r - start[b] < x.upto}
+    q = [None if not n else found[a] + (found[b] - found[a]) * (h - a) for h, a, b in (wanted.get(p, (0, 0, 0)) for p in ps)]
+    return spark.createDataFrame([(q,)], "q array<double>")
+
+
+def _bucket(value: Column, edges: list[float]) -> Column:
+    """How many of ascending edges lie under value, by their array's order."""
+    return F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < value))
+
+
+def group_quantiles(rows: DataFrame, value: str, by: list[str], ps: list[float], buckets: int = 32) -> DataFrame:
+    """Exact interpolated quantiles of value for each of few large groups: (by, q, n).
+
+    Values are counted by group; approximate quantiles of all rows cut each group's values into buckets, which are ordered
+    by themselves, so that a group may hold most of the rows.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    edges = sorted(set(rows.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    counts = counts.withColumn("_b", _bucket(F.col("_v"), edges))
+    w = Window.partitionBy(*by)
+    sums = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_t"))
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_t").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_t").over(w)})
+    counts = counts.join(sums.drop("_t"), [*by, "_b"])
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy("_v"))
+    counts = counts.withColumn("_upto", upto)
+    place = lambda p: (F.col("_n") - 1) * p
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    q = [at(F.floor(place(p))) + (at(F.ceil(place(p))) - at(F.floor(place(p)))) * F.first(place(p) - F.floor(place(p))) for p in ps]
+    return counts.groupBy(*by).agg(F.array(*q).alias("q"), F.first("_n").alias("n"))
+
+
+def binomial_tail(one: DataFrame, share: float = 0.5) -> DataFrame:
+    """one row (k, n) with p: the probability of k or more of n (I8); the terms are added up on the executors."""
+    r = one.first()
+    if not r.n:
+        return one.withColumn("p", F.lit(1.0))
+    spark, i = one.sparkSession, F.col("id").cast("double")
+    log = F.lit(math.lgamma(r.n + 1)) - _lgamma(i + 1) - _lgamma(F.lit(float(r.n)) - i + 1) + i * math.log(share) + (r.n - i) * math.log(1 - share)
+    total = spark.range(r.k, r.n + 1).agg(F.least(F.lit(1.0), F.sum(F.exp(log))).alias("p"))
+    return one.crossJoin(F.broadcast(total))
+
+
+def _lgamma(x: Column) -> Column:
+    """The logarithm of the gamma function from 1 on: Stirling's series at x + 8, less the logarithms of the steps."""
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    return series - reduce(lambda a, b: a + b, (F.log(x + i) for i in range(8)))
+
+
 def iqr_outliers(rows: DataFrame, value: str, group: str, k: float = 1.5, least: int = 10) -> DataFrame:
     """rows with atipico: outside k interquartile ranges of a group with at least `least` values."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
@@ -33,7 +107,7 @@ def numeric_summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
 
 def quantile_bins(rows: DataFrame, value: str, k: int, name: str) -> DataFrame:
     """rows with the number (1 to k) of the right-closed quantile interval of value (W13). The k-1 edges are one row."""
-    edges = rows.agg(F.percentile(value, F.array(*(F.lit(i / k) for i in range(1, k)))).alias("_edges"))
+    edges = exact_quantiles(rows, value, [i / k for i in range(1, k)]).withColumnRenamed("q", "_edges")
     bin_ = 1 + F.size(F.filter("_edges", lambda e: e < F.col(value)))
     return rows.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), bin_)).drop("_edges")
 
@@ -56,7 +130,7 @@ def unit_contrast(rows: DataFrame, value: str, flag: Column, unit: str) -> DataF
 
 def group_thresholds(rows: DataFrame, gap: str, group: str, times: float, least: int) -> DataFrame:
     """rows with umbral: times the median absolute gap of the group, or of all rows for small groups."""
-    city = rows.agg((times * F.median(F.abs(gap))).alias("_city"))
+    city = exact_quantiles(rows.select(F.abs(gap).alias("_g")), "_g", [0.5]).select((times * F.col("q")[0]).alias("_city"))
     per = rows.groupBy(group).agg((times * F.median(F.abs(gap))).alias("_own"), F.count(gap).alias("_n"))
     out = rows.join(per, group, "left").crossJoin(F.broadcast(city))
     return out.withColumn("umbral", F.when(F.col("_n") >= least, F.col("_own")).otherwise(F.col("_city"))).drop("_own", "_n", "_city")
@@ -101,9 +175,9 @@ def conformal_limits(rows: DataFrame, residual: str, group: str, fold: str, k: i
     """(fold, group, low, high): quantiles of the other folds' residuals, of all groups where a group has few (LM12)."""
     folds = F.explode(F.array(*map(F.lit, range(k)))).alias("_for")
     long = rows.filter(F.col(residual).isNotNull()).select(group, residual, F.col(fold).alias("_in"), folds).filter("_in != _for")
-    q = F.percentile(residual, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    own = long.groupBy(F.col("_for").alias(fold), group).agg(q.alias("_q"), F.count("*").alias("_n"))
-    city = long.groupBy(F.col("_for").alias(fold)).agg(q.alias("_c"))
+    ends = [(1 - level) / 2, (1 + level) / 2]
+    own = long.groupBy(F.col("_for").alias(fold), group).agg(F.percentile(residual, F.array(*map(F.lit, ends))).alias("_q"), F.count("*").alias("_n"))
+    city = group_quantiles(long.select(F.col("_for").alias(fold), residual), residual, [fold], ends).select(fold, F.col("q").alias("_c"))
     pick = lambda i: F.when(F.col("_n") >= least, F.col("_q")[i]).otherwise(F.col("_c")[i])
     return own.join(city, fold).select(fold, group, pick(0).alias("limite_inf"), pick(1).alias("limite_sup"))
 
@@ -127,18 +201,18 @@ def ranked(rows: DataFrame, value: str, name: str = "rango") -> DataFrame:
 
 
 def kruskal(rows: DataFrame, value: str, group: str) -> DataFrame:
-    """The Kruskal-Wallis statistic with tie correction."""
+    """The Kruskal-Wallis statistic with tie correction, and its p value."""
     rows = ranked(rows.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(value, group), value)
     sums = rows.groupBy(group).agg(F.sum("rango").alias("r"), F.count("*").alias("m"))
     one = sums.agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.sum("m").alias("n"), F.count("*").alias("k"))
     ties = rows.groupBy(value).count().agg(F.sum(F.col("count").cast("double") * (F.col("count") * F.col("count") - 1)).alias("t"))
     n = F.col("n").cast("double")
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("t") / (n * (n * n - 1)))
-    return one.crossJoin(F.broadcast(ties)).select(h.alias("h"), "k", "n")
+    return one.crossJoin(F.broadcast(ties)).select(h.alias("h"), "k", "n").withColumn("p", chi2_tail(F.col("h"), F.col("k") - 1))
 
 
 def wilcoxon(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Signed-rank sums, and z with tie correction, by group (I11). Zeros are dropped."""
+    """Signed-rank sums, and z with tie correction and its two-sided p value, by group (I11). Zeros are dropped."""
     rows = rows.filter((F.col(value) != 0) & F.col(value).isNotNull()).withColumn("_a", F.abs(value))
     rows = rows.withColumn("_r", average_rank("_a", *by)).withColumn("_t", F.count("*").over(Window.partitionBy(*by, "_a")))
     out = rows.groupBy(*by).agg(
@@ -147,7 +221,7 @@ def wilcoxon(rows: DataFrame, value: str, *by: str) -> DataFrame:
     )
     n = F.col("n").cast("double")
     z = (F.col("w_mas") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
-    return out.select(*by, "n", "w_mas", z.alias("z"))
+    return out.select(*by, "n", "w_mas", z.alias("z")).withColumn("p", two_sided(F.col("z")))
 
 
 def holm(tests: DataFrame, p: str) -> DataFrame:
@@ -182,8 +256,8 @@ def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def winsor_z(rows: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """z-scores (population deviation) of columns clipped to two percentiles (C3), as z_<column>."""
-    limits = rows.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in columns))
-    rows = rows.crossJoin(F.broadcast(limits))
+    for c in columns:
+        rows = rows.crossJoin(F.broadcast(exact_quantiles(rows, c, [low, high]).withColumnRenamed("q", f"_{c}")))
     clipped = rows.withColumns({f"_c_{c}": F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_{c}")[0]), F.col(f"_{c}")[1])) for c in columns})
     moments = clipped.agg(*(x for c in columns for x in (F.avg(f"_c_{c}").alias(f"_m_{c}"), F.stddev_pop(f"_c_{c}").alias(f"_s_{c}"))))
     out = clipped.crossJoin(F.broadcast(moments))
@@ -209,8 +283,3 @@ def cluster_bootstrap(rows: DataFrame, value: str, unit: str, reps: int, level:
     means = drawn.withColumn("_w", weight).groupBy("rep").agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_n"))).alias("m"))
     ends = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     return means.agg(ends.alias("_e"), F.count("*").alias("repeticiones")).select(F.col("_e")[0].alias("inferior"), F.col("_e")[1].alias("superior"), "repeticiones")
-
-
-def apply_stat(rows: DataFrame, value: str, stat: Callable[[Column], Column], *by: str) -> DataFrame:
-    """A statistic given as a Column function, by group (section on user functions)."""
-    return rows.groupBy(*by).agg(stat(F.col(value)).alias("estadistico"), F.count(value).alias("n"))

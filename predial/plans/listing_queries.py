@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,13 +32,15 @@ def r6(x):
     return F.round(x, 6)
 
 
-_REASON = """case when moneda is distinct from 'USD' then 'precio_en_pesos' when contains(lower(titulo), 'en pozo') then 'en_pozo'
-  when precio_usd < 20000 then 'precio_menor_a_minimo' when not coalesce(m2_final between 15 and 1000, false) then 'superficie_invalida'
-  when precio_usd / m2_final > 50000 then 'precio_imposible' when regexp_matches(lower(titulo), '\\bcompro\\b') then 'no_es_venta' end"""
+_SIZE = "case when m2_final between 15 and 1000 then m2_final when superficie_total between 15 and 1000 then superficie_total end"
+_REASON = f"""case when moneda is distinct from 'USD' then 'precio_en_pesos' when en_construccion then 'en_pozo'
+  when precio_usd < 20000 then 'precio_menor_a_minimo' when ({_SIZE}) is null then 'superficie_invalida'
+  when precio_usd / ({_SIZE}) > 50000 then 'precio_imposible' when regexp_matches(lower(titulo), '^\\s*(?:compro|compramos)\\b') then 'no_es_venta' end"""
 
 
 def _reason():
-    return clean.exclusion_reason(F.col("precio_usd"), F.col("moneda"), F.col("m2_final"), F.col("titulo"))
+    size, _ = clean.surface_choice(F.col("m2_final"), F.col("superficie_total"))
+    return clean.exclusion_reason(F.col("precio_usd"), F.col("moneda"), size, F.col("titulo"), F.col("en_construccion"))
 
 
 @query(f" select coalesce({_REASON}, 'en_alcance') as motivo, count(*) as n from listings group by 1")
@@ -142,10 +145,11 @@ _GAP = f"""{_DEDUP}, s as (select * from d where n = 1 and {_REASON} is null),
   f as (select p.*, dir_limpia || '|' || m2_final::bigint as unidad, case when m >= 50 then own else (select 1.5 * median(abs(brecha)) from p) end as umbral from p join t using (barrio))"""
 
 
-def gaps(spark, sf):
-    """Deduplicated listings in scope with their gap to the neighbourhood's median price and its threshold."""
+def gaps(spark, sf, low=False):
+    """Deduplicated listings in scope with their gap to the neighbourhood's median (low: first quartile) price and its
+    threshold."""
     rows = clean.deduplicate(listings(spark, sf), "id_aviso", F.col("barrio_oficial"), "link").filter("kept").filter(_reason().isNull())
-    zone = rows.groupBy("barrio").agg(F.median("precio_m2_usd").alias("zona"))
+    zone = rows.groupBy("barrio").agg(F.percentile("precio_m2_usd", F.lit(0.25 if low else 0.5)).alias("zona"))
     rows = rows.join(zone, "barrio").withColumn("brecha", F.col("precio_m2_usd") / F.col("zona") - 1)
     rows = stats.group_thresholds(rows, "brecha", "barrio", 1.5, 50)
     return rows.withColumn("unidad", F.concat_ws("|", "dir_limpia", F.col("m2_final").cast("long").cast("string")))
@@ -215,17 +219,17 @@ def survey_counts_outer(spark, sf):
 
 
 _COMPARE = """, c as (select * from (select *, row_number() over (partition by id_aviso order by link) as n from listings where antiguedad is not null) where n = 1),
-  q as (select * from c where partkey % 40 = 1)
-  select q.id_aviso, count(o.id_aviso) as comparables, round(median(o.precio_m2_usd), 3) as mediana from q left join c o on o.barrio = q.barrio and o.dir_limpia <> q.dir_limpia
+  q as (select * from c)
+  select q.id_aviso, count(o.id_aviso) as comparables, round(median(o.precio_m2_usd), 9) as mediana from q left join c o on o.barrio = q.barrio and o.dir_limpia <> q.dir_limpia
   and abs(o.ambientes - q.ambientes) <= 1 and abs(o.m2_final / q.m2_final - 1) <= 0.30 and abs(o.antiguedad - q.antiguedad) <= 15 group by 1"""
 
 
 @query(_COMPARE)
 def comparables_band_join(spark, sf):
     rows = clean.keep_one(listings(spark, sf).filter("antiguedad is not null"), ["id_aviso"], [F.col("link")])
-    rows = rows.select("id_aviso", "barrio", "dir_limpia", "ambientes", "m2_final", "antiguedad", "precio_m2_usd", "partkey")
+    rows = rows.select("id_aviso", "barrio", "dir_limpia", "ambientes", "m2_final", "antiguedad", "precio_m2_usd")
     # Rooms differ by at most one: each asking row looks into three rooms' groups, so the join has two equal keys.
-    asked = rows.filter("partkey % 40 = 1").select(*(F.col(c).alias(f"q_{c}") for c in rows.columns[:-1]), F.explode(F.array(*map(F.lit, (-1.0, 0.0, 1.0)))).alias("_d"))
+    asked = rows.select(*(F.col(c).alias(f"q_{c}") for c in rows.columns), F.explode(F.array(*map(F.lit, (-1.0, 0.0, 1.0)))).alias("_d"))
     asked = asked.withColumn("q_rooms", F.col("q_ambientes") + F.col("_d"))
     met = asked.join(
         rows,
@@ -233,7 +237,7 @@ def comparables_band_join(spark, sf):
         & (F.abs(F.col("m2_final") / F.col("q_m2_final") - 1) <= 0.30) & (F.abs(F.col("antiguedad") - F.col("q_antiguedad")) <= 15),
         "left",
     )
-    return met.groupBy(F.col("q_id_aviso").alias("id_aviso")).agg(F.count("id_aviso").alias("comparables"), F.round(F.median("precio_m2_usd"), 3).alias("mediana"))
+    return met.groupBy(F.col("q_id_aviso").alias("id_aviso")).agg(F.count("id_aviso").alias("comparables"), F.round(F.median("precio_m2_usd"), 9).alias("mediana"))
 
 
 _HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
@@ -333,8 +337,10 @@ def conformal_limits(spark, sf):
     return out.select("vuelta", "barrio", r6("limite_inf").alias("limite_inf"), r6("limite_sup").alias("limite_sup"))
 
 
-_STATE = """case when contains(titulo, 'a reciclar') then 'a_reciclar' when contains(titulo, 'a refaccionar') then 'a_refaccionar'
-  when contains(titulo, 'reciclado') then 'ya_reformado' when contains(titulo, 'a estrenar') then 'a_estrenar' else 'sin_marca' end"""
+_STATE = "case " + " ".join(f"when regexp_matches(lower(titulo), '{pattern}') then '{name}'" for name, pattern in text.STATES) + " else 'sin_marca' end"
+#: The second library has no look-behind: what the first one finds by it is "ocupad" not within "desocupad".
+_RISK = {name: f"regexp_matches(lower(titulo), '{pattern}')" if "(?<" not in pattern else "regexp_matches(replace(lower(titulo), 'desocupad', ''), 'ocupad')" for name, pattern, _ in text.RISKS}
+_DISCARD = "(" + " or ".join(_RISK[name] for name, _, discards in text.RISKS if discards) + ")"
 
 
 def _rule_sql(names: list[str]) -> str:
@@ -355,8 +361,8 @@ def _rule_sql(names: list[str]) -> str:
   v as (select *, (ganancia - income_tax * greatest(ganancia, 0)) / (precio_usd + costo_entrada + costo_refaccion) as brecha_neta from w)"""
 
 
-def ruled(spark, sf, which=None):
-    rows = gaps(spark, sf).withColumn("estado_titulo", text.first_rule(F.col("titulo"), rule.STATE_RULES, "sin_marca"))
+def ruled(spark, sf, which=None, low=False):
+    rows = gaps(spark, sf, low).withColumn("estado_titulo", text.first_rule(F.col("titulo"), text.STATES, "sin_marca"))
     rows = rows.join(F.broadcast(rule.scenarios(spark, which)), "estado_titulo")  # scenarios x states rows
     return rule.net_gap(rows, "zona", F.lit(-0.1))
 
@@ -372,13 +378,14 @@ def sensitivity_grid(spark, sf):
     return ruled(spark, sf).groupBy(F.col("name").alias("escenario")).agg(F.count_distinct(F.when(F.col("brecha_neta") >= 0.10, F.col("unidad"))).alias("unidades"), F.count("*").alias("avisos"))
 
 
-@query(f"""{_GAP}{_rule_sql(['base'])} select case when brecha < -0.25 and brecha_neta >= 0.10 and not contains(titulo, 'renta') then 'candidato' when brecha < -0.25 then 'senal' else '' end as nivel_decision,
-  case when brecha < -0.25 and contains(titulo, 'renta') then 'riesgo legal' when brecha < -0.25 and not brecha_neta >= 0.10 then 'brecha neta bajo umbral' end as motivo, count(*) as n from v group by 1, 2""")
+@query(f"""{_GAP}{_rule_sql(['base'])}, l as (select *, brecha < -0.25 as regla, round(brecha_neta, 9) >= 0.10 as pasa, {_DISCARD} as riesgo from v)
+  select case when regla and pasa and not riesgo then 'candidato' when regla then 'senal' else '' end as nivel_decision,
+  case when regla and riesgo then 'riesgo legal' when regla and not pasa then 'brecha neta ' || round_even(round(100 * brecha_neta, 7), 0)::int || '% < 10%' end as motivo, count(*) as n from l group by 1, 2""")
 def decision_levels(spark, sf):
-    flagged, risk = F.col("brecha") < -0.25, F.contains(F.col("titulo"), F.lit("renta"))
-    found, reason = rule.level(flagged, F.col("brecha_neta"), risk)
-    short = F.when(reason.startswith("brecha neta"), "brecha neta bajo umbral").otherwise(reason)
-    return ruled(spark, sf, [rule.BASE]).groupBy(found.alias("nivel_decision"), short.alias("motivo")).agg(F.count("*").alias("n"))
+    rows = ruled(spark, sf, [rule.BASE])
+    discard = reduce(lambda a, b: a | b, (text.risk_flags(F.col("titulo"))[f"riesgo_{name}"] for name, _, d in text.RISKS if d))
+    found, reason = rule.level(F.col("brecha") < -0.25, F.round("brecha_neta", 9), discard)
+    return rows.groupBy(found.alias("nivel_decision"), reason.alias("motivo")).agg(F.count("*").alias("n"))
 
 
 @query(""" select barrio, coalesce(ambientes::bigint, -1) as ambientes, count(*) as n from listings group by rollup(barrio, ambientes::bigint)""".replace("coalesce(ambientes::bigint, -1)", "case when grouping(ambientes::bigint) = 1 then -1 else ambientes::bigint end").replace("select barrio,", "select case when grouping(barrio) = 1 then 'total' else barrio end as barrio,"))
@@ -421,15 +428,21 @@ def table_differences(spark, sf):
     return quality.compare(a, b, "id_aviso")
 
 
+#: Twice the upper tail of the normal, by the same approximation as numeric.normal_cdf().
+_TWO_SIDED = """2 * exp(-z * z / 2) / sqrt(2 * pi()) * (1 / (1 + 0.2316419 * abs(z))) * (0.319381530 + (1 / (1 + 0.2316419 * abs(z))) * (-0.356563782
+  + (1 / (1 + 0.2316419 * abs(z))) * (1.781477937 + (1 / (1 + 0.2316419 * abs(z))) * (-1.821255978 + (1 / (1 + 0.2316419 * abs(z))) * 1.330274429))))"""
+
+
 _RANKS = """, r as (select barrio, antiguedad as g, rank() over (order by precio_usd) + (count(*) over (partition by precio_usd) - 1) / 2.0::double as rk, precio_usd from listings)"""
 
 
 @query(f"""{_RANKS}, s as (select barrio, sum(rk) as r, count(*) as m from r group by 1), o as (select sum(r * r / m) as s, sum(m)::double as n, count(*) as k from s),
-  t as (select sum(c::double * (c * c - 1)) as t from (select count(*) as c from r group by precio_usd))
-  select round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n * (n * n - 1))), 4) as h, k, n::bigint as n from o, t""")
+  t as (select sum(c::double * (c * c - 1)) as t from (select count(*) as c from r group by precio_usd)),
+  h as (select (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n * (n * n - 1))) as h, k, n from o, t), c as (select *, (pow(h / (k - 1), 1/3::double) - (1 - 2 / (9.0::double * (k - 1)))) / sqrt(2 / (9.0::double * (k - 1))) as z from h)
+  select round(h, 4) as h, k, n::bigint as n, round(case when z >= 0 then ({_TWO_SIDED}) / 2 else 1 - ({_TWO_SIDED}) / 2 end, 6) as p from c""")
 def kruskal_by_barrio(spark, sf):
     out = stats.kruskal(listings(spark, sf), "precio_usd", "barrio")
-    return out.select(F.round("h", 4).alias("h"), "k", F.col("n").cast("long").alias("n"))
+    return out.select(F.round("h", 4).alias("h"), "k", F.col("n").cast("long").alias("n"), r6("p").alias("p"))
 
 
 _WILCOX = """, d as (select barrio, precio_m2_usd - median(precio_m2_usd) over () as d from listings), z as (select barrio, round(d, 4) as d, abs(round(d, 4)) as a from d where round(d, 4) <> 0),
@@ -438,23 +451,24 @@ _WILCOX = """, d as (select barrio, precio_m2_usd - median(precio_m2_usd) over (
   round((sum(case when d > 0 then r else 0 end) - count(*)::double * (count(*) + 1) / 4) / sqrt(count(*)::double * (count(*) + 1) * (2 * count(*) + 1) / 24 - sum((t * t - 1)::double) / 48), 6) as z from k group by 1"""
 
 
-@query(_WILCOX)
+@query(f"{_WILCOX.replace('select barrio, count(*) as n, sum(case', ', y as (select barrio, count(*) as n, sum(case')}) select *, round({_TWO_SIDED}, 6) as p from y".replace("from z)\n  , y", "from z), y"))
 def wilcoxon_by_barrio(spark, sf):
     rows = listings(spark, sf).select("barrio", "precio_m2_usd")
     middle = rows.agg(F.median("precio_m2_usd").alias("_m"))  # one row
     rows = rows.crossJoin(F.broadcast(middle)).select("barrio", F.round(F.col("precio_m2_usd") - F.col("_m"), 4).alias("d"))
-    return stats.wilcoxon(rows, "d", "barrio").withColumn("z", r6("z"))
+    return stats.wilcoxon(rows, "d", "barrio").withColumn("z", r6("z")).withColumn("p", r6(numeric.two_sided(F.col("z"))))
 
 
 @query(f"""{_WILCOX.rsplit('select barrio, count(*) as n', 1)[0]}, w as (select barrio, count(*) as n, sum(case when d > 0 then r else 0 end) as w_mas, sum((t * t - 1)::double) as ties from k group by 1),
-  p as (select barrio, round(exp(-abs((w_mas - n::double * (n + 1) / 4) / sqrt(n::double * (n + 1) * (2 * n + 1) / 24 - ties / 48))), 9) as p from w),
-  s as (select *, (count(*) over () - row_number() over (order by p, barrio) + 1) * p as step, row_number() over (order by p, barrio) as i from p)
+  p as (select barrio, round((w_mas - n::double * (n + 1) / 4) / sqrt(n::double * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) as z from w),
+  q as (select barrio, round({_TWO_SIDED}, 7) as p from p),
+  s as (select *, (count(*) over () - row_number() over (order by p, barrio) + 1) * p as step, row_number() over (order by p, barrio) as i from q)
   select barrio, p, least(1.0, max(step) over (order by i)) as p_holm from s""")
 def holm_by_barrio(spark, sf):
     rows = listings(spark, sf).select("barrio", "precio_m2_usd")
     middle = rows.agg(F.median("precio_m2_usd").alias("_m"))
     rows = rows.crossJoin(F.broadcast(middle)).select("barrio", F.round(F.col("precio_m2_usd") - F.col("_m"), 4).alias("d"))
-    tests = stats.wilcoxon(rows, "d", "barrio").select("barrio", F.round(F.exp(-F.abs("z")), 9).alias("p"))
+    tests = stats.wilcoxon(rows, "d", "barrio").select("barrio", F.round(numeric.two_sided(F.round("z", 6)), 7).alias("p"))
     return stats.holm(tests, "p")
 
 

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TITLE_MARKS = (" a reciclar", " a estrenar", " con renta", " en pozo", " a refaccionar", " reciclado a nuevo", " compro urgente")
+TITLE_MARKS = (
+    " a reciclar", " a estrenar", " con renta", " en pozo", " a refaccionar", " reciclado a nuevo", " compro urgente", " ideal refacción",
+    " en alquiler", " oficina comercial", " tipo casa", " deptos unidos", " unidades en block", " anticipo y cuotas", " boleto", " ocupado",
+    " villa 31", " PH al frente", " calle Nation_7", " junto a Nation_11",
+)
 YES_NO = ("apto_credito", "balcon", "pileta", "gimnasio", "parrilla", "ascensor")
 
 
@@ -34,8 +38,8 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     unless = lambda key, n, value: F.when(F.col(key) % n != 0, value)
     mark = F.lit("")
     for i, words in enumerate(TITLE_MARKS):
-        mark = F.when(F.col("l_orderkey") % 11 == i, words).otherwise(mark)
-    title = F.concat("p_name", mark)
+        mark = F.when(F.col("l_orderkey") % 29 == i, words).otherwise(mark)
+    title = F.concat(F.when(F.col("l_orderkey") % 29 == 25, "Compro ").otherwise(""), "p_name", mark)
     yes_no = {
         name: F.when(F.col("l_partkey") % (3 + i) == 0, "Sí").when(F.col("l_partkey") % (3 + i) == 1, "No")
         for i, name in enumerate(YES_NO)
@@ -59,6 +63,9 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         unless("l_partkey", 6, double(20 + F.col("l_orderkey") % 180)).alias("expensas_usd"),
         *(expr.alias(name) for name, expr in yes_no.items()),
         title.alias("titulo"),
+        (F.col("l_orderkey") % 17 == 3).alias("en_construccion"),
+        F.when(F.col("l_partkey") % 3 == 0, "Frente").when(F.col("l_partkey") % 3 == 1, "Contrafrente").alias("disposicion"),
+        F.when(F.col("l_suppkey") % 2 == 0, double(F.col("l_quantity") + 12)).alias("superficie_total"),
         F.when(F.col("l_linenumber") == 7, "$").when(F.col("l_linenumber") < 6, "USD").alias("moneda"),
         double(F.lit(-34.70) + 0.004 * (F.col("l_suppkey") % 37)).alias("lat"),
         double(F.lit(-58.52) + 0.004 * (F.col("l_partkey") % 41)).alias("lon"),
@@ -83,7 +90,9 @@ LISTINGS_SQL = f"""listings as (
     case when l_suppkey % 3 <> 0 then (l_partkey % 23)::double end as piso, (l_suppkey % 19)::double as pisos_edificio,
     case when l_partkey % 5 <> 0 then (p_size * 2)::double end as antiguedad,
     case when l_partkey % 6 <> 0 then (20 + l_orderkey % 180)::double end as expensas_usd, {_YES_NO},
-    p_name || case l_orderkey % 11 {_MARKS} else '' end as titulo,
+    case l_orderkey % 29 when 25 then 'Compro ' else '' end || p_name || case l_orderkey % 29 {_MARKS} else '' end as titulo,
+    l_orderkey % 17 = 3 as en_construccion, case l_partkey % 3 when 0 then 'Frente' when 1 then 'Contrafrente' end as disposicion,
+    case when l_suppkey % 2 = 0 then (l_quantity + 12)::double end as superficie_total,
     case when l_linenumber = 7 then '$' when l_linenumber < 6 then 'USD' end as moneda,
     -34.70::double + 0.004::double * (l_suppkey % 37) as lat, -58.52::double + 0.004::double * (l_partkey % 41) as lon,
     l_suppkey % 2 = 0 as barrio_oficial, l_orderkey as orderkey, l_partkey as partkey, l_suppkey as suppkey,
