@@ -2,8 +2,12 @@
 
 Every window of `length` bytes holds an anchor: the smallest hash among its substrings of ANCHOR bytes. Equal windows have
 equal anchors, so blocks of neighbouring windows with one anchor can be dealt by it, and all copies of a window meet in one
-task. There, suffixes that start at windows are sorted, their common prefixes give an interval tree (scanned with a stack),
-and intervals whose left neighbours differ are maximal repeats with all their occurrences.
+task. There, suffixes that start at windows are sorted; their common prefixes give an interval tree, scanned with a stack. An
+interval whose suffixes are all preceded by the same byte is part of the longer one that begins there, and is passed over.
+
+Removal takes its spans from these intervals. A block that several documents have whole is such an interval before any
+sorting: identical suffixes up to the block's end; it is recognised by its hash, so that copies collapse before the shuffle.
+For the maximal repeats of whole texts, intervals that reach the end of what has been compared go on with longer slices.
 """
 
 from __future__ import annotations
@@ -16,15 +20,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from predial.llm.common import mix64, pack, partitions_for, powers, range_keys, runs, sorted_groups, staged, text_batches, text_bytes, unpack
+from predial.llm.common import (
+    discard, mix64, pack, partitions_for, powers, range_keys, runs, salted, sorted_groups, staged, text_batches, text_bytes, unpack, whole_ids,
+)
 
 LENGTH = 50
 ANCHOR = 20
 #: Windows in a block at most.
 BLOCK = 64
 _STEP = 1 << 19
-#: An anchor with more different blocks is dealt by single windows instead.
+#: Blocks of an anchor that are held in one task; those of one with more different ones pass through and are dealt by their
+#: single windows instead.
 HOT = 20_000
+#: Blocks that are held before equal ones are collapsed.
+HELD = 1 << 20
+#: Bytes that maximal repeats are compared by in the first round, and at most; different slices of a group in one task.
+FIRST_SLICE, LAST_SLICE, SLICES = 256, 1 << 16, 50_000
 _G = np.uint64((1 << 48) - 1)
 _LAST = np.int64(2**63 - 1)
 
@@ -83,7 +94,7 @@ _PRIME, _FACTOR = 2**31 - 1, 1540483477
 
 
 def _doc_part(doc: np.ndarray, mark: np.ndarray, n: int) -> np.ndarray:
-    return ((doc % _PRIME * _FACTOR + mark & 0xFFFFFFFF) * n >> 32).astype(np.int64)
+    return ((doc % _PRIME * _FACTOR + (mark & 0xFFFFFFFF) & 0xFFFFFFFF) * n >> 32).astype(np.int64)
 
 
 _ROW = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
@@ -116,30 +127,40 @@ def _spans(doc: np.ndarray, mark: np.ndarray, begin: np.ndarray, end: np.ndarray
     return doc[at], mark[at], begin[at], np.maximum.reduceat(end, at)
 
 
-KEYED, SPANS, NEEDED, BLOCKS = range(4)
+KEYED, SPANS, NEEDED, BLOCKS, OCCURS, STARTS = range(6)
 
 
-def _found_blocks(batches, parts: int, length: int, collapse: bool):
-    """Blocks of whole documents, dealt by anchor. Of equal blocks only the smallest document's are sent on; in the others
-    all their windows are known to be repeats already, which is sent as spans."""
+def _found_blocks(batches, parts: int, length: int, maximal: bool):
+    """Blocks of whole documents, dealt by anchor. Of equal blocks only the smallest document's are sent on. For removal, all
+    windows in the others are known to be repeats already, which is sent as spans. For maximal repeats, all occurrences are
+    sent apart, and with each block its number and the least and greatest byte before them (-1: a text's beginning)."""
     for table in text_batches(batches, 16 << 20):
         raw, offsets = _bytes_of(table.column("text").combine_chunks())
-        doc, mark = (table.column(c).to_numpy().astype(k) for c, k in (("doc", np.int64), ("mark", np.uint32)))
+        doc, mark = (table.column(c).to_numpy().astype(np.int64) for c in ("doc", "mark"))
         begin, count, anchor, whole = blocks(raw, offsets, length)
         row = np.searchsorted(offsets, begin, "right") - 1
+        left = np.where(begin > offsets[row], raw[np.maximum(begin - 1, 0)] if len(raw) else 0, 0).astype(np.int16) - (begin == offsets[row])
         begin = begin - offsets[row]
         order = np.lexsort((doc[row], whole, anchor))
-        row, begin, count, anchor, whole = (x[order] for x in (row, begin, count, anchor, whole))
-        if collapse and len(row):
+        row, begin, count, anchor, whole, left = (x[order] for x in (row, begin, count, anchor, whole, left))
+        more: list[np.ndarray] = []
+        if len(row):
             at = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]))))
-            least = np.repeat(doc[row[at]], np.diff(np.append(at, len(row))))
-            later = doc[row] > least
-            d = row[later]
-            spans = _spans(doc[d], mark[d], begin[later], begin[later] + count[later] + length - 1)
-            if len(spans[0]):
-                part = _deal(mix64(spans[0].view(np.uint64)), parts)  # any part will do: the next step passes them on
-                yield _split(part, SPANS, *spans)
-            row, begin, count, anchor, whole = (x[~later] for x in (row, begin, count, anchor, whole))
+            n = np.diff(np.append(at, len(row)))
+            if maximal:
+                part = _deal(anchor, parts)
+                for i, j in runs(part):
+                    yield _rows([int(part[i])], OCCURS, [pack(np.diff(anchor[i:j], prepend=np.uint64(0)), whole[i:j], doc[row[i:j]], mark[row[i:j]], begin[i:j].astype(np.uint32), left[i:j])])
+                more = [n, np.minimum.reduceat(left, at), np.maximum.reduceat(left, at)]
+                row, begin, count, anchor, whole = (x[at] for x in (row, begin, count, anchor, whole))
+            else:
+                later = doc[row] > np.repeat(doc[row[at]], n)
+                d = row[later]
+                spans = _spans(doc[d], mark[d], begin[later], begin[later] + count[later] + length - 1)
+                if len(spans[0]):
+                    part = _deal(mix64(spans[0].view(np.uint64)), parts)  # any part will do: the next step passes them on
+                    yield _split(part, SPANS, *spans)
+                row, begin, count, anchor, whole = (x[~later] for x in (row, begin, count, anchor, whole))
         part = _deal(anchor, parts)
         for i, j in runs(part):
             rows, place = np.unique(row[i:j], return_inverse=True)
@@ -149,62 +170,111 @@ def _found_blocks(batches, parts: int, length: int, collapse: bool):
             data = pack(
                 np.diff(anchor[i:j], prepend=np.uint64(0)), whole[i:j], rank[place].astype(np.uint32),
                 begin[i:j].astype(np.uint32), count[i:j].astype(np.uint8),
-                np.diff(doc[rows[by_doc]], prepend=np.int64(0)), mark[rows[by_doc]],
+                np.diff(doc[rows[by_doc]], prepend=np.int64(0)), mark[rows[by_doc]], *(x[i:j] for x in more),
             )
             yield _rows([int(part[i])], KEYED, [data])
 
 
-def _compare_blocks(batches, doc_parts: int, length: int, collapse: bool):
-    """Blocks with one anchor: equal ones of later documents become spans; where different blocks of several documents
-    remain, they are needed in full."""
+#: The arrays of a block: anchor, hash, document and mark of the one that stands for equal ones, begin, windows; for maximal
+#: repeats also the number of equal ones and the least and greatest byte before them.
+def _merged(held: list[list[np.ndarray]], maximal: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Blocks in the order of anchor, hash and document, of equal ones the first; and for removal the others."""
+    arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
+    order = np.lexsort((arrays[2], arrays[1], arrays[0]))
+    arrays = [x[order] for x in arrays]
+    anchor, whole, doc = arrays[:3]
+    at = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]))))
+    if maximal:
+        n, low, high = (f.reduceat(x, at) for f, x in zip((np.add, np.minimum, np.maximum), arrays[6:], strict=True))
+        return [*(x[at] for x in arrays[:6]), n, low, high], []
+    later = doc > np.repeat(doc[at], np.diff(np.append(at, len(doc))))
+    return [x[~later] for x in arrays], [x[later] for x in arrays]
+
+
+def _compare_blocks(batches, parts: int, doc_parts: int, length: int, maximal: bool):
+    """Blocks with one anchor. For removal, equal ones of later documents become spans; where different blocks of several
+    documents remain, they are needed in full. For maximal repeats, different blocks are needed, and a block that is the only
+    one of its anchor is the start of a repeat if it occurs behind different bytes.
+
+    An anchor with over HOT different blocks is not held: its blocks pass through, to be compared window by window."""
     held: list[list[np.ndarray]] = []
+    hot, size = np.zeros(0, np.uint64), 0
+
+    def needed(found: list[np.ndarray], is_hot: bool):
+        anchor, whole, doc, mark, begin, count, *more = found
+        if len(anchor):
+            more = [whole, *more] if maximal else more
+            yield _split(_doc_part(doc, mark, doc_parts), NEEDED, doc, mark, begin, count.astype(np.uint8), anchor, np.full(len(anchor), is_hot), *more)
+
+    def spans(later: list[np.ndarray]):
+        if later and len(later[0]):
+            _, _, doc, mark, begin, count = later
+            out = _spans(doc, mark, begin, begin + count + length - 1)
+            yield _split(_doc_part(out[0], out[1], doc_parts), SPANS, *out)
+
     for batch in batches:
         for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
             got = unpack(data.as_py())
             if kind == SPANS:
                 yield _split(_doc_part(got[0], got[1], doc_parts), SPANS, *got)
-            else:
-                steps, whole, place, begin, count, docs, marks = got
-                docs = np.cumsum(docs)
-                held.append([np.cumsum(steps), whole, docs[place], marks[place], begin.astype(np.int64), count.astype(np.int64)])
+                continue
+            if kind == OCCURS:
+                continue
+            steps, whole, place, begin, count, docs, marks, *more = got
+            docs = np.cumsum(docs)
+            found = [np.cumsum(steps), whole, docs[place], marks[place], begin.astype(np.int64), count.astype(np.int64), *more]
+            passing = np.isin(found[0], hot)
+            if passing.any():
+                yield from needed([x[passing] for x in found], True)
+                found = [x[~passing] for x in found]
+            held.append(found)
+            size += len(found[0])
+        if size > HELD:
+            found, later = _merged(held, maximal)
+            yield from spans(later)
+            at = sorted_groups(found[0])
+            many = np.diff(np.append(at, len(found[0]))) > HOT
+            hot = np.union1d(hot, found[0][at[many]])
+            passing = np.isin(found[0], hot)
+            yield from needed([x[passing] for x in found], True)
+            held = [[x[~passing] for x in found]]
+            size = len(held[0][0]) // 2  # what is different stays, so that it is not sorted again and again
     if not held:
         return
-    anchor, whole, doc, mark, begin, count = (np.concatenate(x) for x in zip(*held, strict=True))
+    found, later = _merged(held, maximal)
     held.clear()
-    order = np.lexsort((doc, whole, anchor))
-    anchor, whole, doc, mark, begin, count = (x[order] for x in (anchor, whole, doc, mark, begin, count))
+    yield from spans(later)
+    if not len(found[0]):
+        return
+    anchor, doc = found[0], found[2]
     at = sorted_groups(anchor)
-    size = np.diff(np.append(at, len(anchor)))
-    if collapse:
-        same = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]))))
-        later = doc > np.repeat(doc[same], np.diff(np.append(same, len(doc))))
-        if later.any():
-            spans = _spans(doc[later], mark[later], begin[later], begin[later] + count[later] + length - 1)
-            yield _split(_doc_part(spans[0], spans[1], doc_parts), SPANS, *spans)
-        anchor, whole, doc, mark, begin, count = (x[~later] for x in (anchor, whole, doc, mark, begin, count))
-        at = sorted_groups(anchor)
-        size = np.diff(np.append(at, len(anchor)))
-        several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at) if len(at) else size > 1
-    else:
-        several = size > 1
-    need = np.repeat(several, size)
-    hot = np.repeat(size > HOT, size)[need]
-    if need.any():
-        yield _split(_doc_part(doc[need], mark[need], doc_parts), NEEDED, doc[need], mark[need], begin[need], count[need].astype(np.uint8), anchor[need], hot)
+    n = np.diff(np.append(at, len(anchor)))
+    several = n > 1 if maximal else np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
+    is_hot = np.repeat(n > HOT, n)
+    several = np.repeat(several, n)
+    for h in (False, True):
+        yield from needed([x[several & (is_hot == h)] for x in found], h)
+    if maximal:
+        # A block that passed through has an entry of its own for each task that sent it; see _starts().
+        low, high = found[7], found[8]
+        alone = ~several & (found[6] > 1) & ((low != high) | (low < 0))
+        if alone.any():
+            a, w = anchor[alone], found[1][alone]
+            yield _split(_deal(a, parts), STARTS, mix64(a ^ mix64(w)), a, w, np.zeros(len(a), np.uint8), np.full(len(a), -2, np.int16))
 
 
 def _gather(table: pa.Table, kind: int, n: int) -> list[np.ndarray]:
     rows = table.filter(pc.equal(table.column("kind"), kind)).column("data").to_pylist()
     got = [unpack(x) for x in rows]
-    kinds = (np.int64, np.uint32, np.int64, np.int64 if n == 4 else np.uint8, np.uint64, bool)[:n]
+    kinds = (np.int64, np.int64, np.int64, np.int64 if n == 4 else np.uint8, np.uint64, bool, np.uint64, np.int64, np.int16, np.int16)[:n]
     return [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.zeros(0, k) for k in kinds]
 
 
 def _rows_of(texts: pa.Table, doc: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of an entry of (doc, mark) and a row of texts with the same key, however often rows repeat."""
-    d, m = (texts.column(c).to_numpy().astype(k) for c, k in (("doc", np.int64), ("mark", np.uint32)))
+    d, m = (texts.column(c).to_numpy().astype(np.int64) for c in ("doc", "mark"))
     order = np.lexsort((m, d))
-    known = np.zeros(len(d), [("d", "<i8"), ("m", "<u4")])
+    known = np.zeros(len(d), [("d", "<i8"), ("m", "<i8")])
     known["d"], known["m"] = d[order], m[order]
     asked = np.zeros(len(doc), known.dtype)
     asked["d"], asked["m"] = doc, mark
@@ -227,36 +297,53 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _fetch_blocks(needed: pa.Table, texts: pa.Table, parts: int, length: int):
-    """The bytes of needed blocks, and the byte before each, dealt by anchor; blocks of hot anchors as single windows."""
-    doc, mark, begin, count, anchor, hot = _gather(needed, NEEDED, 6)
+def _fetch_blocks(needed: pa.Table, texts: pa.Table, parts: int, length: int, maximal: bool):
+    """The bytes of needed blocks, and the byte before each, dealt by anchor; blocks of hot anchors as single windows, dealt by
+    their bytes, of which for removal only the smallest document's is sent on and the others become spans."""
+    found = _gather(needed, NEEDED, 10 if maximal else 6)
     raw, offsets = _bytes_of(_texts_of(texts))
     # Of rows that are equal in doc and mark, one is enough.
-    entry, row = _rows_of(texts, doc, mark)
+    entry, row = _rows_of(texts, found[0], found[1])
     first = np.concatenate(([True], entry[1:] != entry[:-1])) if len(entry) else np.zeros(0, bool)
     entry, row = entry[first], row[first]
-    doc, mark, begin, count, anchor, hot = (x[entry] for x in (doc, mark, begin, count, anchor, hot))
+    doc, mark, begin, count, anchor, hot, *more = (x[entry] for x in found)
     count = count.astype(np.int64)
     times = np.where(hot, count, 1)
     pick = np.repeat(np.arange(len(doc)), times)
     nth = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
-    doc, mark, anchor, hot, row = (x[pick] for x in (doc, mark, anchor, hot, row))
+    block_anchor = anchor[pick]
+    doc, mark, anchor, hot, row, *more = (x[pick] for x in (doc, mark, anchor, hot, row, *more))
     begin, count = begin[pick] + np.where(hot, nth, 0), np.where(hot, 1, count[pick])
     source = offsets[row] + begin
-    if hot.any():
-        for at in np.flatnonzero(hot).tolist():
-            digest = hashlib.blake2b(raw[source[at] : source[at] + length].tobytes(), digest_size=8).digest()
-            anchor[at] = np.frombuffer(digest, np.uint64)[0]
+    for at in np.flatnonzero(hot).tolist():
+        digest = hashlib.blake2b(raw[source[at] : source[at] + length].tobytes(), digest_size=8).digest()
+        anchor[at] = np.frombuffer(digest, np.uint64)[0]
     before = np.where(begin > 0, raw[np.maximum(source - 1, 0)] if len(raw) else 0, 0).astype(np.int16) - (begin == 0)
+    out = []
+    if maximal:
+        # Which block a window is of, and its place there; what comes before a block's first window is known of all its copies.
+        n, low, high = more[1:]
+        inner = np.where(hot, nth, 0) > 0
+        more = [block_anchor, more[0], np.where(hot, nth, 0).astype(np.uint8), n, np.where(inner, before, low), np.where(inner, before, high)]
+    elif hot.any():
+        h = np.flatnonzero(hot)
+        h = h[np.lexsort((doc[h], anchor[h]))]
+        at = sorted_groups(anchor[h])
+        later = h[doc[h] > np.repeat(doc[h[at]], np.diff(np.append(at, len(h))))]
+        spans = _spans(doc[later], mark[later], begin[later], begin[later] + length)
+        if len(spans[0]):
+            out.append(_split(_deal(mix64(spans[0].view(np.uint64)), parts), SPANS, *spans))
+        keep = np.ones(len(doc), bool)
+        keep[later] = False
+        doc, mark, anchor, begin, count, source, before = (x[keep] for x in (doc, mark, anchor, begin, count, source, before))
     part = _deal(anchor, parts)
     order = np.lexsort((anchor, part))
-    out = []
     for i, j in runs(part[order]):
         o = order[i:j]
         size = count[o] + length - 1
         data = pack(
             np.diff(anchor[o], prepend=np.uint64(0)), doc[o], mark[o], begin[o].astype(np.uint32), count[o].astype(np.uint8),
-            before[o].astype(np.int16), raw[_ranges(source[o], size)],
+            before[o].astype(np.int16), raw[_ranges(source[o], size)], *(x[o] for x in more),
         )
         out.append(_rows([int(part[o[0]])], BLOCKS, [data]))
     return pa.Table.from_batches(out, _ROW)
@@ -294,7 +381,7 @@ def intervals(common: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """All intervals [a, b) of the suffix array whose suffixes share a prefix of at least `least` bytes that none of a larger
     interval share: (a, b, length), by one scan with a stack."""
     found, stack = [], []
-    ends = np.flatnonzero(np.append(common[1:], 0) < least) + 1 if len(common) else []
+    ends = np.flatnonzero(np.append(common[1:], -1) < least) + 1 if len(common) else []
     begin = 0
     for end in ends:
         if end - begin > 1:  # a run whose neighbours share least bytes; the tree above it
@@ -313,104 +400,243 @@ def intervals(common: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def _windows(held: list[list[np.ndarray]], length: int):
-    """Blocks as unpacked, and their windows that occur in several blocks of the same anchor."""
-    anchor, doc, mark, begin, count, before, raw = (np.concatenate(x) for x in zip(*held, strict=True))
-    count, begin = count.astype(np.int64), begin.astype(np.int64)
-    size = count + length - 1
-    at = np.cumsum(size) - size
-    block = np.repeat(np.arange(len(count)), count)
-    nth = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
-    start = at[block] + nth
-    keys = range_keys(raw, start, start + length)
-    keys = mix64(keys ^ anchor[block])
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    twin = np.zeros(len(k), bool)
-    if len(k) > 1:
-        twin[1:] = k[1:] == k[:-1]
-        twin[:-1] |= k[1:] == k[:-1]
-    pick = np.sort(order[twin])
-    block, nth, start = block[pick], nth[pick], start[pick]
-    left = np.where(nth > 0, raw[np.maximum(start - 1, 0)] if len(raw) else 0, before[block])
-    return doc[block], mark[block], begin[block] + nth, start, (at + size)[block], anchor[block], left, raw
-
-
-def _tree(batches, length: int):
-    held = []
+class Windows:
+    """The windows of blocks that meet in a task: those that occur in several blocks of the same anchor, and those picked
+    by `also`, in the order of their suffixes; common: the common prefix of each with the one before."""
+
+    def __init__(self, held: list[list[np.ndarray]], length: int, also=None):
+        anchor, doc, mark, begin, count, before, raw, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+        count, begin = count.astype(np.int64), begin.astype(np.int64)
+        size = count + length - 1
+        at = np.cumsum(size) - size
+        block = np.repeat(np.arange(len(count)), count)
+        nth = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+        start = at[block] + nth
+        keys = mix64(range_keys(raw, start, start + length) ^ anchor[block])
+        order = np.argsort(keys, kind="stable")
+        k = keys[order]
+        twin = np.zeros(len(k), bool)
+        if len(k) > 1:
+            twin[1:] = k[1:] == k[:-1]
+            twin[:-1] |= k[1:] == k[:-1]
+        picked = np.zeros(len(k), bool)
+        picked[order[twin]] = True
+        if also is not None:
+            picked |= also(block, nth, *more)
+        pick = np.flatnonzero(picked)
+        block, nth, start = block[pick], nth[pick], start[pick]
+        order, self.common = suffix_array(raw, start, (at + size)[block], anchor[block], BLOCK + length - 1)
+        self.block, self.nth, self.start = block[order], nth[order], start[order]
+        self.doc, self.mark, self.begin = doc[self.block], mark[self.block], begin[self.block] + self.nth
+        self.left = np.where(self.nth > 0, raw[np.maximum(self.start - 1, 0)] if len(raw) else 0, before[self.block]).astype(np.int64)
+        self.raw, self.more = raw, more
+
+
+def _held(batches):
+    held, passed = [], []
     for batch in batches:
-        for data in batch.column("data"):
-            steps, *rest = unpack(data.as_py())
-            held.append([np.cumsum(steps), *rest])
-    if held:
-        doc, mark, begin, start, end, anchor, left, raw = _windows(held, length)
-        order, common = suffix_array(raw, start, end, anchor, BLOCK + length - 1)
-        yield doc[order], mark[order], begin[order], left[order], common
+        for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+            got = unpack(data.as_py())
+            if kind == SPANS:
+                passed.append(got)
+            else:
+                held.append([np.cumsum(got[0]), *got[1:]])
+    return held, passed
 
 
 def _compare_windows(batches, doc_parts: int, length: int):
-    """Spans of windows that a smaller document has as well."""
-    for doc, mark, begin, _, common in _tree(batches, length):
-        at = sorted_groups(np.cumsum(common < length))
-        if not len(at):
-            continue
-        least = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(doc))))
-        later = doc > least
-        spans = _spans(doc[later], mark[later], begin[later], begin[later] + length)
-        if len(spans[0]):
-            yield _split(_doc_part(spans[0], spans[1], doc_parts), SPANS, *spans)
+    """Spans of the intervals of suffixes: what a document has of a smaller one."""
+    held, passed = _held(batches)
+    for got in passed:
+        yield _split(_doc_part(got[0], got[1], doc_parts), SPANS, *got)
+    if not held:
+        return
+    w = Windows(held, length)
+    # An interval that only continues others is preceded by one byte, within its blocks: those others cover it.
+    changes = np.concatenate(([0], np.cumsum(w.left[1:] != w.left[:-1]))) if len(w.left) else np.zeros(0, np.int64)
+    firsts = np.concatenate(([0], np.cumsum(w.nth == 0)))
+    reach = np.zeros(len(w.doc), np.int64)
+    for a, b, size in intervals(w.common, length):
+        if changes[b - 1] > changes[a] or firsts[b] > firsts[a]:
+            docs = w.doc[a:b]
+            reach[a:b] = np.maximum(reach[a:b], np.where(docs > docs.min(), size, 0))
+    later = reach > 0
+    spans = _spans(w.doc[later], w.mark[later], w.begin[later], w.begin[later] + reach[later])
+    if len(spans[0]):
+        yield _split(_doc_part(spans[0], spans[1], doc_parts), SPANS, *spans)
+
+
+def _starts(batches, parts: int, length: int):
+    """Windows that begin maximal repeats: those that occur behind different bytes, or at a text's beginning. Each is told by
+    its block and its place there, so that all occurrences can be found."""
+    held, _ = _held(batches)
+    if not held:
+        return
+    # Alone, a block's first window begins a repeat if what comes before the block's copies differs.
+    w = Windows(held, length, lambda block, nth, a, h, place, n, low, high: (nth == 0) & (n[block] > 1) & ((low[block] != high[block]) | (low[block] < 0)))
+    if not len(w.doc):
+        return
+    anchor, whole, place, n, low, high = w.more
+    low, high = (np.where(w.nth > 0, w.left, x[w.block]) for x in (low, high))
+    at = sorted_groups(np.cumsum(w.common < length))
+    size = np.diff(np.append(at, len(w.doc)))
+    total, least, most = np.add.reduceat(n[w.block], at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+    good = np.repeat((total > 1) & ((least != most) | (least < 0)), size)
+    group = np.repeat(range_hashes(w.raw, w.start[at], length), size)[good]
+    a, h, nth = anchor[w.block][good], whole[w.block][good], (place[w.block] + w.nth)[good]
+    left = np.where(nth > 0, w.left[good], -2).astype(np.int16)  # -2: each copy's own
+    yield _split(_deal(a, parts), STARTS, group, a, h, nth.astype(np.uint8), left)
+
+
+def range_hashes(raw: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of byte ranges in any order."""
+    return np.array([int.from_bytes(hashlib.blake2b(raw[i : i + length].tobytes(), digest_size=8).digest(), "little") for i in start.tolist()], np.uint64)
+
+
+def _occurrences(starts: pa.Table, occurs: pa.Table) -> pa.Table:
+    """All occurrences of the windows that begin maximal repeats: group, doc, mark, begin, left."""
+    kinds = (np.uint64, np.uint64, np.uint64, np.uint8, np.int16)
+    got = [unpack(x) for x in starts.column("data").to_pylist()]
+    group, anchor, whole, nth, left = [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.zeros(0, k) for k in kinds]
+    key = np.rec.fromarrays([anchor, whole, nth, group], names="a,h,n,g")
+    _, first = np.unique(key, return_index=True)
+    group, anchor, whole, nth, left = (x[first] for x in (group, anchor, whole, nth, left))
+    asked = np.rec.fromarrays([anchor, whole], names="a,h")
+    out = [[], [], [], [], []]
+    for data in occurs.column("data").to_pylist():
+        steps, hashes, doc, mark, begin, before = unpack(data)
+        known = np.rec.fromarrays([np.cumsum(steps), hashes], names="a,h")  # sorted
+        i, j = np.searchsorted(known, asked, "left"), np.searchsorted(known, asked, "right")
+        n = j - i
+        ends = np.cumsum(n)
+        of = np.repeat(np.arange(len(asked)), n)
+        at = np.repeat(i - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        values = (group[of].view(np.int64), doc[at], mark[at], begin[at].astype(np.int64) + nth[of], np.where(left[of] == -2, before[at], left[of]).astype(np.int32))
+        for column, x in zip(out, values, strict=True):
+            column.append(x)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    return pa.Table.from_arrays([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, types, strict=True)], ["group", "doc", "mark", "begin", "left"])
+
+
+_MEMBER = "group long, doc long, mark long, begin long, left int"
+
+
+def _slices(members: pa.Table, texts: pa.Table, depth: int, size: int) -> pa.Table:
+    """members with what their texts go on with: size bytes from depth bytes behind their beginning on."""
+    raw, offsets = _bytes_of(_texts_of(texts))
+    entry, row = _rows_of(texts, *(members.column(c).to_numpy() for c in ("doc", "mark")))
+    first = np.concatenate(([True], entry[1:] != entry[:-1])) if len(entry) else np.zeros(0, bool)
+    entry, row = entry[first], row[first]
+    members = members.select(["group", "doc", "mark", "begin", "left"]).take(pa.array(entry))
+    a = np.minimum(offsets[row] + members.column("begin").to_numpy() + depth, offsets[row + 1])
+    b = np.minimum(a + size, offsets[row + 1])
+    return members.append_column("slice", pa.array([raw[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary()))
+
+
+_NODE = "group long, slice binary, repeat long, length long, next long"
+
+
+def _group_tree(table: pa.Table, depth: int, size: int, least: int) -> pa.Table:
+    """The intervals of one group's slices, whose texts agree in depth bytes before: a row for each slice of each interval that
+    is a maximal repeat (repeat, length), and one for each slice that goes on in a group of its own (next)."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("slice", "n", "low", "high")), strict=True))
+    group = table.column("group")[0].as_py()
+    n, low, high = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
+    common = np.zeros(len(rows), np.int64)
+    for i in range(1, len(rows)):
+        x, y = (np.frombuffer(rows[k][0], np.uint8) for k in (i - 1, i))
+        m = min(len(x), len(y))
+        differ = np.flatnonzero(x[:m] != y[:m])
+        common[i] = differ[0] if len(differ) else m
+    out, serial = [], 0
+
+    def name() -> int:
+        nonlocal serial
+        serial += 1
+        return int.from_bytes(hashlib.blake2b(f"{group}|{depth}|{serial}".encode(), digest_size=8).digest(), "little", signed=True)
+
+    def diverse(a: int, b: int) -> bool:
+        return low[a:b].min() != high[a:b].max() or low[a:b].min() < 0
+
+    for a, b, shared in intervals(common, max(least - depth, 0)):
+        if diverse(a, b):
+            repeat = name()
+            out += [(rows[i][0], repeat, depth + shared, None) for i in range(a, b)]
+    edges = np.append(common, 0)
+    for i, (piece, *_) in enumerate(rows):
+        if n[i] > 1 and diverse(i, i + 1):
+            if len(piece) == size:
+                out.append((piece, None, None, name()))
+            elif len(piece) > max(edges[i] if i else -1, edges[i + 1] if i + 1 < len(rows) else -1) and depth + len(piece) >= least:
+                out.append((piece, name(), depth + len(piece), None))  # copies that end with their texts
+    piece, repeat, length, following = zip(*out, strict=True) if out else ((), (), (), ())
+    return pa.Table.from_arrays(
+        [pa.array([group] * len(out), pa.int64()), pa.array(piece, pa.binary()), *(pa.array(x, pa.int64()) for x in (repeat, length, following))], ["group", "slice", "repeat", "length", "next"]
+    )
 
 
-def _groups(batches, length: int):
-    """Maximal repeats: intervals whose occurrences are preceded by different bytes, or by the beginning of a text."""
-    for doc, _, begin, left, common in _tree(batches, length):
-        for a, b, size in intervals(common, length):
-            if len(np.unique(left[a:b])) > 1 or (left[a:b] < 0).any():
-                n = b - a
-                name = hashlib.blake2b(np.sort(doc[a:b]).tobytes() + begin[a:b][np.argsort(doc[a:b], kind="stable")].tobytes(), digest_size=8).hexdigest()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * n), pa.array([size] * n, pa.int64()), pa.array([n] * n, pa.int64()), pa.array(doc[a:b]), pa.array(begin[a:b])],
-                    ["repeat_id", "length", "n_occurrences", "doc", "start"],
-                )
+def _tree_maker(depth: int, size: int, least: int):
+    return lambda table: _group_tree(table, depth, size, least)
 
 
 class Job:
     """The documents with their keys, and the sizes of the parts that they and the blocks are dealt into."""
 
-    def __init__(self, docs: DataFrame, length: int):
-        self.length = length
-        n_bytes = text_bytes(docs)
+    def __init__(self, docs: DataFrame, length: int, maximal: bool = False):
+        self.length, self.maximal = length, maximal
+        n_bytes = text_bytes(whole_ids(docs))
         self.parts = partitions_for(docs.sparkSession, n_bytes, 20 << 20)
         self.doc_parts = partitions_for(docs.sparkSession, n_bytes, 8 << 20)
         doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST)))
-        mark = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
-        self.texts = docs.select(F.struct("*").alias("row"), doc.alias("doc"), mark.alias("mark"))
+        self.texts = docs.select(F.struct("*").alias("row"), doc.alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
 
-    def compared(self, collapse: bool) -> DataFrame:
-        """Spans that equal blocks give, and the blocks that are needed in full; written once, read twice."""
-        parts, doc_parts, length = self.parts, self.doc_parts, self.length
-        keyed = self.texts.select("doc", "mark", "row.text").mapInArrow(lambda b: _found_blocks(b, parts, length, collapse), _SCHEMA)
-        compared = keyed.repartitionById(parts, "part").mapInArrow(lambda b: _compare_blocks(b, doc_parts, length, collapse), _SCHEMA)
-        return staged(compared, "repeat-blocks")
+    def keyed(self) -> DataFrame:
+        parts, length, maximal = self.parts, self.length, self.maximal
+        return self.texts.select("doc", "mark", "row.text").mapInArrow(lambda b: _found_blocks(b, parts, length, maximal), _SCHEMA)
+
+    def compared(self, keyed: DataFrame) -> DataFrame:
+        """Spans or starts that equal blocks give, and the blocks that are needed in full; written once, read twice."""
+        parts, doc_parts, length, maximal = self.parts, self.doc_parts, self.length, self.maximal
+        found = keyed.repartitionById(parts, "part").mapInArrow(lambda b: _compare_blocks(b, parts, doc_parts, length, maximal), _SCHEMA)
+        return staged(found, "repeat-blocks")
 
     def dealt(self):
         """The documents in groups by the part that their spans and needs are dealt to; see _doc_part()."""
-        mixed = (F.pmod("doc", F.lit(_PRIME)) * F.lit(_FACTOR) + F.col("mark")).bitwiseAND(F.lit(0xFFFFFFFF))
-        return self.texts.withColumn("part", F.shiftright(mixed * F.lit(self.doc_parts), 32).cast("int")).groupBy("part")
+        return self.texts.withColumn("part", self._part()).groupBy("part")
+
+    def _part(self):
+        mixed = (F.pmod("doc", F.lit(_PRIME)) * F.lit(_FACTOR) + F.col("mark").bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.shiftright(mixed * F.lit(self.doc_parts), 32).cast("int")
 
     def fetched(self, compared: DataFrame) -> DataFrame:
         """The bytes of needed blocks, dealt by anchor."""
-        parts, length = self.parts, self.length
+        parts, length, maximal = self.parts, self.length, self.maximal
         needed = compared.filter(F.col("kind") == NEEDED).groupBy("part")
-        found = needed.cogroup(self.dealt()).applyInArrow(lambda a, b: _fetch_blocks(a, b, parts, length), _SCHEMA)
+        found = needed.cogroup(self.dealt()).applyInArrow(lambda a, b: _fetch_blocks(a, b, parts, length, maximal), _SCHEMA)
         return found.repartitionById(parts, "part")
 
     def spans(self) -> DataFrame:
-        compared = self.compared(True)
+        compared = self.compared(self.keyed())
         doc_parts, length = self.doc_parts, self.length
         inner = self.fetched(compared).mapInArrow(lambda b: _compare_windows(b, doc_parts, length), _SCHEMA)
         return compared.filter(F.col("kind") == SPANS).unionByName(inner)
 
+    def members(self) -> DataFrame:
+        """All occurrences of the windows that begin maximal repeats; those of equal windows share a group."""
+        parts, length = self.parts, self.length
+        keyed = staged(self.keyed(), "repeat-keys")
+        compared = self.compared(keyed)
+        inner = self.fetched(compared).mapInArrow(lambda b: _starts(b, parts, length), _SCHEMA)
+        starts = compared.filter(F.col("kind") == STARTS).unionByName(inner)
+        found = starts.groupBy("part").cogroup(keyed.filter(F.col("kind") == OCCURS).groupBy("part")).applyInArrow(_occurrences, _MEMBER)
+        out = staged(found.distinct(), "repeat-members")
+        discard(keyed, compared)
+        return out
+
+    def sliced(self, members: DataFrame, depth: int, size: int) -> DataFrame:
+        dealt = members.withColumn("part", self._part()).groupBy("part").cogroup(self.dealt())
+        return dealt.applyInArrow(lambda a, b: _slices(a, b, depth, size), f"{_MEMBER}, slice binary")
+
 
 def _cut(spans: pa.Table, texts: pa.Table):
     """For each row of texts, its bytes and the sorted spans to take out of them."""
@@ -435,7 +661,7 @@ def _without(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """What removal of repeated bytes does to each document.
 
-    docs: doc_id (null: behind all others), text (null: empty) and any other columns. A byte goes if a string of length
+    docs: doc_id (an integer type, others raise; null: behind all others), text (null: empty) and any other columns. A byte goes if a string of length
     bytes that covers it also starts in a document with a smaller doc_id; rows with equal ids don't take from each other.
     Texts shorter than length keep all. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row per row.
     """
@@ -490,16 +716,43 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Groups of equal passages of at least length bytes with all their occurrences.
+    """Maximal repeats of at least length bytes, each with all its occurrences.
+
+    docs: doc_id (an integer type; may be null or repeat), text (null: empty); other columns are ignored. A maximal repeat is
+    a string that occurs at least twice, in one text or in several, and of which no longer one on either side occurs as often:
+    its occurrences are not all preceded by the same byte, nor all followed by one; a text's beginning and end differ from all
+    bytes. Rows that are equal in doc_id and text count once. Returns repeat_id, length, n_occurrences, doc_id, start (in
+    bytes), one row per occurrence.
 
-    docs: doc_id, text (null: empty). A group is an interval of the suffix array: passages as long as all its occurrences
-    agree (within a block of windows with one anchor, so longer passages come as groups of neighbouring blocks), not all
-    preceded by the same byte. Returns repeat_id, length, n_occurrences, doc_id, start (in bytes), one row per occurrence,
-    also for occurrences within one document.
+    Windows that begin repeats are found block by block. Their texts are then compared in slices that double: groups of
+    equal slices go on as groups of their own, until none agree. A group with over SLICES different slices goes on by two
+    bytes, which makes up to 65,536 groups of it; equal slices collapse before they meet.
     """
-    job = Job(docs.select("doc_id", "text"), length)
-    found = job.fetched(job.compared(False)).mapInArrow(
-        lambda b: _groups(b, length), "repeat_id string, length long, n_occurrences long, doc long, start long"
-    )
+    job = Job(docs.select("doc_id", "text"), length, True)
+    members, depth, size, found = job.members(), 0, FIRST_SLICE, []
+    while not members.isEmpty():
+        sliced = staged(job.sliced(members, depth, size), "repeat-slices")
+        hot = sliced.select("group", "slice").distinct().groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > SLICES).select("group")
+        if not hot.isEmpty():
+            # All groups take the short step then, so that every group of a round has the same depth.
+            size = 2
+            short = staged(sliced.withColumn("slice", F.substring("slice", 1, size)), "repeat-slices")
+            discard(sliced)
+            sliced = short
+        kinds = sliced.groupBy("group", "slice").agg(F.count("*").alias("n"), F.min("left").alias("low"), F.max("left").alias("high"))
+        nodes = kinds.groupBy("group").applyInArrow(_tree_maker(depth, size, length), _NODE)
+        nodes = staged(nodes, "repeat-nodes")
+        ended = nodes.filter("repeat is not null").join(sliced, ["group", "slice"]).select("repeat", "length", "doc", F.col("begin").alias("start"))
+        found.append(staged(ended, "repeat-found"))
+        going = salted(sliced, nodes.filter("next is not null").select("group", "slice", "next"), ["group", "slice"], F.struct("doc", "mark", "begin"))
+        before, members = members, staged(going.select(F.col("next").alias("group"), "doc", "mark", "begin", "left"), "repeat-members")
+        discard(before, sliced, nodes)
+        depth, size = depth + size, min(max(2 * size, FIRST_SLICE), LAST_SLICE)
+    spark = docs.sparkSession
+    out = spark.createDataFrame([], "repeat long, length long, doc long, start long")
+    for part in found:
+        out = out.unionByName(part)
+    counts = out.groupBy("repeat").agg(F.count("*").alias("n_occurrences"))
     doc_id = F.when(F.col("doc") != int(_LAST), F.col("doc")).alias("doc_id")
-    return found.select("repeat_id", "length", "n_occurrences", doc_id, "start")
+    named = out.join(counts, "repeat")
+    return named.select(F.lower(F.hex("repeat")).alias("repeat_id"), "length", "n_occurrences", doc_id, "start")
