@@ -2,8 +2,8 @@
 
 Texts are dealt into shards. Each shard sends the hashes of its distinct word pairs, with their training counts, to the tasks
 that own them; those add up the counts of all shards and answer every shard with the totals of just the pairs that it asked
-for. One shard for each pair then counts it for its context and its word; words are totalled and answered in the same way. A
-shard keeps its answers as sorted arrays in a memory-mapped file while it scores its texts.
+for. One shard for each pair then counts it for its context and its word; words are totalled and answered in the same way. To
+score its texts, a shard writes what it was answered as arrays sorted by hash, maps them into memory and looks its tokens up.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ def _word_part(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def _pair_part(keys: np.ndarray, n: int) -> np.ndarray:
-    """In the order of the keys, which have 48 bits."""
-    return ((keys >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """In the order of the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 class Shard:
@@ -74,14 +74,13 @@ class Shard:
         self.words, self.word_counts, self.word_owner = words[order], counts[order], owner[order]
         self.word_of, self.begin_word = self.word_of[:-1], self.word_of[-1]
         # Pairs, in the order of their hashes.
-        keys = mix64(before * np.uint64(0x9E3779B97F4A7C15) + mix64(tokens)) >> np.uint64(16)
+        keys = mix64(before * np.uint64(0x9E3779B97F4A7C15) + mix64(tokens))
+        self.tokens, self.before, self.keys = tokens, before, keys
         self.pair_of, self.pairs = pd.factorize(keys)
         self.first = np.empty(len(self.pairs), np.int64)
         self.first[self.pair_of[::-1]] = np.arange(len(tokens) - 1, -1, -1)
         counts = np.bincount(self.pair_of, weights=self.train, minlength=len(self.pairs)).astype(np.int64)
         order = np.argsort(self.pairs)
-        self.pair_rank = np.empty(len(order), np.int64)
-        self.pair_rank[order] = np.arange(len(order))
         self.pairs, self.first, self.pair_counts = self.pairs[order], self.first[order], counts[order]
 
     def before_rank(self) -> np.ndarray:
@@ -194,7 +193,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 
 class Mapped:
-    """Arrays in a file of this task's own temporary folder, memory-mapped; the file goes with the object."""
+    """Arrays in a file of this task's own temporary folder, memory-mapped; the file goes with the object, so that nothing is
+    left and a task that runs again makes its own."""
 
     def __init__(self, **arrays: np.ndarray):
         self.file = tempfile.TemporaryFile()
@@ -216,8 +216,10 @@ def _score(answers: pa.Table, rows: pa.Table, parts: int, pair_numbers: dict[str
         g |= {_NUMBERS[x["part"]]: x["n"] for x in found or []}
     words = _answers(answers, WORD_TOTALS)
     names = ("count", "context", "once", "twice", "often", "follows")
-    model = Mapped(pairs=_joined(_answers(answers, PAIR_TOTALS), 0), **{name: _joined(words, i) for i, name in enumerate(names)})
-    word, before = shard.word_rank[shard.word_of], shard.before_rank()
+    by_hash = np.argsort(shard.words)
+    columns = {name: _joined(words, i)[by_hash] for i, name in enumerate(names)}
+    model = Mapped(word_hash=shard.words[by_hash], pair_hash=shard.pairs, pairs=_joined(_answers(answers, PAIR_TOTALS), 0), **columns)
+    word, before, pair = (np.searchsorted(known, asked) for known, asked in ((model.word_hash, shard.tokens), (model.word_hash, shard.before), (model.pair_hash, shard.keys)))
     n, v = g["tokens"], g["distinct"]
     count = model.count[word]
     base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
@@ -229,7 +231,7 @@ def _score(answers: pa.Table, rows: pa.Table, parts: int, pair_numbers: dict[str
         lower = np.maximum(follows - e[np.minimum(follows, 3)], 0) / g["pairs"] + rest * uniform
     else:
         lower = np.full(len(word), uniform)
-    pair, context = model.pairs[shard.pair_rank[shard.pair_of]], model.context[before]
+    pair, context = model.pairs[pair], model.context[before]
     some = np.maximum(context, 1)
     left = (d[1] * model.once[before] + d[2] * model.twice[before] + d[3] * model.often[before]) / some
     chance = np.where(context > 0, np.maximum(pair - d[np.minimum(pair, 3)], 0) / some + left * lower, lower)
@@ -250,7 +252,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     docs: doc_id, text (null: empty); other columns only serve train. Tokens: runs of anything but ASCII white space, A-Z
     in lower case, then one end. Returns doc_id, held_out (not train), n_tokens, n_known (tokens seen in training),
     train_tokens, base_score (add-0.1 unigrams), score; one row per row. Without training texts all words are equally
-    likely. Hashes of 64 bits stand for words, of 48 bits for pairs.
+    likely. Hashes of 64 bits stand for words and pairs.
     """
     spark = docs.sparkSession
     n_bytes = text_bytes(docs)
