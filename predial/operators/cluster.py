@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from predial.operators.stats import exact_quantiles
+
 MAX_K, ROWS_PER_CLUSTER = 5, 30
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Without a configured one, a local session gets a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"file://{tempfile.gettempdir()}/predial-shared").rstrip("/")
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, which cuts lineage between iterations."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/predial-shared"
-    path = f"{base.rstrip('/')}/cluster-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def unwritten(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def group_kmeans(points: DataFrame, group: str, key: str, x: str = "x", y: str = "y", max_iter: int = 20) -> DataFrame:
@@ -73,3 +93,65 @@ def correspondence_scores(rows: DataFrame, key: str, columns: list[str]) -> Data
         axis = -axis
     scores = rows.sparkSession.createDataFrame([(n, float(a)) for n, a in zip(names, axis, strict=True)], "cat string, v double")
     return long.join(F.broadcast(scores), "cat").groupBy(key).agg((F.avg("v") / float(np.sqrt(max(np.sqrt(max(values[-1], 0)), 1e-12)))).alias("indice"), F.count("*").alias("declaradas"))
+
+
+def stability(points: DataFrame, group: str, key: str, labels: DataFrame, reps: int = 20, share: float = 0.8) -> DataFrame:
+    """How well clusters hold up when some points are left out (C2): (group, ari_mediano, ari_p10, inestable).
+
+    labels: (key, group, cluster) of all points. Each replicate keeps the points whose hash with its number is under share;
+    all replicates of all groups are clustered in one job, and compared with the labels by the adjusted Rand index.
+    """
+    kept = points.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).filter(F.pmod(F.xxhash64("_rep", key), F.lit(1000)) < int(1000 * share))
+    kept = kept.withColumns({"_group": F.concat_ws("|", F.col("_rep").cast("string"), group), "_key": F.concat_ws("|", F.col("_rep").cast("string"), F.col(key).cast("string"))})
+    again = group_kmeans(kept, "_group", "_key").join(kept.select("_key", "_rep", group, key), "_key").select("_rep", group, key, F.col("cluster").alias("_new"))
+    both = again.join(labels.select(key, "cluster"), key)
+    per = rand_index(both, "cluster", "_new", "_rep", group)
+    out = per.groupBy(group).agg(F.median("ari").alias("ari_mediano"), F.percentile("ari", F.lit(0.1)).alias("ari_p10"))
+    return out.withColumn("inestable", F.col("ari_mediano") < 0.7)
+
+
+def rand_index(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
+    """The adjusted Rand index of two labelings by group (C6); 1 where both have one label."""
+    pairs = lambda c: F.col(c).cast("double") * (F.col(c) - 1) / 2
+    cells = rows.groupBy(*by, a, b).agg(F.count("*").alias("n"))
+    out = cells.groupBy(*by).agg(F.sum(pairs("n")).alias("s"), F.sum("n").alias("n"))
+    for name, label in (("sa", a), ("sb", b)):
+        out = out.join(cells.groupBy(*by, label).agg(F.sum("n").alias("m")).groupBy(*by).agg(F.sum(pairs("m")).alias(name)), list(by))
+    expected = F.try_divide(F.col("sa") * F.col("sb"), pairs("n"))
+    top = (F.col("sa") + F.col("sb")) / 2 - expected
+    return out.select(*by, F.when(top == 0, 1.0).otherwise(F.try_divide(F.col("s") - expected, top)).alias("ari"))
+
+
+def silhouette(rows: DataFrame, vector: str, label: str, key: str, most: int = 5_000) -> DataFrame:
+    """The mean Euclidean silhouette over at most `most` rows, those with the least hashes (C4): the bounded sample is part of
+    the measure. Distances are summed by row and cluster, so no matrix is held."""
+    some = rows.select(key, label, vector).orderBy(F.xxhash64(key), key).limit(most)
+    some = written(some)
+    other = some.select(F.col(key).alias("_k"), F.col(label).alias("_l"), F.col(vector).alias("_v"))
+    d = F.sqrt(F.aggregate(F.zip_with(vector, "_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    per = some.crossJoin(F.broadcast(other)).filter(F.col(key) != F.col("_k")).groupBy(key, label, "_l").agg(F.avg(d).alias("d"))
+    own = per.groupBy(key).agg(F.min(F.when(F.col(label) == F.col("_l"), F.col("d"))).alias("a"), F.min(F.when(F.col(label) != F.col("_l"), F.col("d"))).alias("b"))
+    return own.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silueta"))
+
+
+def imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with nulls replaced by the median of the column, and <column>_falta."""
+    for c in columns:
+        middle = exact_quantiles(rows, c, [0.5]).select(F.col("q")[0].alias("_m"))
+        rows = rows.crossJoin(F.broadcast(middle)).withColumns({f"{c}_falta": F.col(c).isNull(), c: F.coalesce(F.col(c), F.col("_m"))}).drop("_m")
+    return rows
+
+
+def named_segments(centres: DataFrame, label: str, rooms: str, equipment: str) -> DataFrame:
+    """(label, segmento): four clusters by what stands out of their centres (C9): most rooms, then most equipment, then fewest
+    rooms of those left, then the rest. Raises if they are not four."""
+    found = centres.select(label, rooms, equipment).collect()  # four rows
+    if len(found) != 4:
+        raise ValueError("four clusters are needed")
+    left, names = {r[label]: r for r in found}, []
+    for name, pick in (("familiares", lambda r: -r[rooms]), ("equipados", lambda r: -r[equipment]), ("chicos", lambda r: r[rooms])):
+        best = min(left.values(), key=lambda r: (pick(r), r[label]))
+        names.append((best[label], name))
+        del left[best[label]]
+    names += [(k, "intermedios") for k in left]
+    return centres.sparkSession.createDataFrame(names, f"{label} int, segmento string")

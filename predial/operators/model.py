@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from predial.functions.numeric import fold_of
@@ -63,17 +63,21 @@ def fit_within(rows: DataFrame, y: str, xs: list[str], zone: str, fold: str, k:
     Spark. Only one k x k matrix for each fold reaches the driver.
     """
     slim = training_rows(rows.select(*xs, y, zone, fold).dropna(), fold, k)
-    per = gram(slim, y, xs, "para", zone)
+    return _solved(gram(slim, y, xs, "para", zone).withColumnRenamed("para", fold), xs, y, fold, zone, ridge)
+
+
+def _solved(per: DataFrame, xs: list[str], y: str, fold: str, zone: str, ridge: float = 0.0) -> tuple[dict[int, np.ndarray], DataFrame]:
+    """Coefficients by fold and zone means from sums of products by fold and zone."""
     names = [*xs, y]
     within = [F.sum(F.col(f"`{a}*{b}`") - F.col(a) * F.col(b) / F.col("n")).alias(f"{i}_{i + j}") for i, a in enumerate(names) for j, b in enumerate(names[i:])]
     found = {}
-    for row in per.groupBy("para").agg(*within).collect():  # one row per fold
+    for row in per.groupBy(fold).agg(*within).collect():  # one row per fold
         m = np.zeros((len(names), len(names)))
         for i in range(len(names)):
             for j in range(i, len(names)):
                 m[i, j] = m[j, i] = row[f"{i}_{j}"]
-        found[row["para"]] = np.linalg.pinv(m[:-1, :-1] + ridge * np.eye(len(xs)), hermitian=True) @ m[:-1, -1]
-    means = per.select(F.col("para").alias(fold), zone, *((F.col(c) / F.col("n")).alias(f"_mean_{c}") for c in names))
+        found[row[fold]] = np.linalg.pinv(m[:-1, :-1] + ridge * np.eye(len(xs)), hermitian=True) @ m[:-1, -1]
+    means = per.select(fold, zone, *((F.col(c) / F.col("n")).alias(f"_mean_{c}") for c in names))
     return found, means
 
 
@@ -108,31 +112,52 @@ def explanation(rows: DataFrame, key: str, y: str, xs: dict[str, str], zone: str
     return long.groupBy(key, "variable").agg(F.sum("aporte").alias("aporte"))
 
 
-def cluster_robust(rows: DataFrame, y: str, xs: list[str], cluster: str) -> DataFrame:
-    """Least squares with an intercept and standard errors robust to clusters (I1): variable, coef, se, z.
+def zone_of(rows: DataFrame, choice: DataFrame, fold: str, barrio: str, subzona: str, counts: DataFrame | None = None, least: int = 10) -> DataFrame:
+    """rows with zona: the subzone where it is chosen, known and has `least` training rows in the fold, else the neighbourhood
+    (LM4). choice: (fold, barrio, usa_subzona); counts: (fold, subzona, n) of training rows, else those of rows."""
+    if counts is None:
+        counts = rows.filter(F.col(subzona).isNotNull()).groupBy(fold, subzona).agg(F.count("*").alias("_n"))
+    out = rows.join(choice, [fold, barrio], "left").join(counts.withColumnRenamed("n", "_n"), [fold, subzona], "left")
+    use = F.col("usa_subzona") & F.col(subzona).isNotNull() & (F.col("_n") >= least)
+    return out.withColumn("zona", F.when(F.coalesce(use, F.lit(False)), F.col(subzona)).otherwise(F.col(barrio))).drop("usa_subzona", "_n")
+
 
-    Two passes of sums: products for the fit, then outer products of the clusters' score sums.
+def leak_free(rows: DataFrame, y: str, xs: list[str], barrio: str, subzona: str, unit: str, fold: str, excluded: list[str] | None = None, k: int = K) -> tuple[DataFrame, dict[int, np.ndarray], DataFrame]:
+    """rows with zona and prediccion, coefficients by fold and zone means, where nothing of a fold is known to its model
+    (LM5, LM6): for each fold, zones are chosen on its training rows, outliers of those (on the scale of y, by zone) are left
+    out of the fit. excluded: neighbourhoods that never use subzones. y: logarithms; rows: also the value itself, as exp(y).
     """
-    rows = rows.select(cluster, y, *xs).dropna().withColumn("_1", F.lit(1.0))
-    names = ["_1", *xs]
-    g = gram(rows, y, names).first()
-    k = len(names)
-    xx, xy = np.zeros((k, k)), np.zeros(k)
-    for i, a in enumerate(names):
-        xy[i] = g[f"{a}*{y}"] or 0
-        for j in range(i, k):
-            xx[i, j] = xx[j, i] = g[f"{a}*{names[j]}"] or 0
-    inverse = np.linalg.pinv(xx, hermitian=True)
-    beta = inverse @ xy
-    e = F.col(y) - reduce(lambda a, b: a + b, (F.col(c) * float(b) for c, b in zip(names, beta, strict=True)))
-    scores = rows.withColumn("_e", e).groupBy(cluster).agg(*(F.sum(F.col(c) * F.col("_e")).alias(f"s{i}") for i, c in enumerate(names)))
-    m = scores.agg(F.count("*").alias("g"), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    meat = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            meat[i, j] = meat[j, i] = m[f"m{i}_{j}"] or 0
-    n, groups = g["n"], m["g"]
-    scale = groups / max(groups - 1, 1) * (n - 1) / max(n - k, 1)
-    se = np.sqrt(np.maximum(np.diag(scale * inverse @ meat @ inverse), 0))
-    out = [("intercepto" if c == "_1" else c, float(b), float(s), float(b / s) if s else None) for c, b, s in zip(names, beta, se, strict=True)]
-    return rows.sparkSession.createDataFrame(out, "variable string, coef double, se double, z double")
+    value = rows.withColumn("_value", F.exp(y))
+    choice = zone_choice(value, "_value", fold, barrio, subzona, unit, k)
+    if excluded:
+        choice = choice.withColumn("usa_subzona", F.col("usa_subzona") & ~F.col(barrio).isin(excluded))
+    long = training_rows(rows.select(*xs, y, barrio, subzona, fold).dropna(subset=[*xs, y]), fold, k).drop(fold).withColumnRenamed("para", fold)
+    counts = long.filter(F.col(subzona).isNotNull()).groupBy(fold, subzona).agg(F.count("*").alias("n"))
+    long = zone_of(long, choice, fold, barrio, subzona, counts)
+    q = F.percentile(y, F.array(F.lit(0.25), F.lit(0.75)))
+    limits = long.groupBy(fold, "zona").agg(q.alias("_q"), F.count(y).alias("_m"))
+    span = F.col("_q")[1] - F.col("_q")[0]
+    inside = F.col(y).between(F.col("_q")[0] - 1.5 * span, F.col("_q")[1] + 1.5 * span) | (F.col("_m") < 10)
+    long = long.join(limits, [fold, "zona"]).filter(inside).drop("_q", "_m")
+    betas, means = _solved(gram(long, y, xs, fold, "zona"), xs, y, fold, "zona")
+    placed = zone_of(rows, choice, fold, barrio, subzona, counts)
+    return predict_within(placed, y, xs, "zona", fold, betas, means), betas, means
+
+
+def fold_relative(rows: DataFrame, value: str, zone: str, fold: str, name: str, k: int = K) -> DataFrame:
+    """rows with name: log(value) less its zone's training median of it, 0 where either is missing, and name_falta (LM8)."""
+    slim = training_rows(rows.select(F.log(value).alias("_l"), zone, fold), fold, k)
+    middle = slim.groupBy(F.col("para").alias(fold), zone).agg(F.median("_l").alias("_m"))
+    found = F.log(value) - F.col("_m")
+    return rows.join(middle, [fold, zone], "left").withColumns({name: F.coalesce(found, F.lit(0.0)), f"{name}_falta": found.isNull().cast("double")}).drop("_m")
+
+
+def block_importance(contributions: DataFrame, key: str, fold: str) -> tuple[DataFrame, DataFrame]:
+    """Importance of each variable, the mean size of its contribution, and the rank correlation of importances between folds
+    (LM15). contributions: key, fold, variable, aporte."""
+    per = contributions.filter("variable != 'base'").groupBy(fold, "variable").agg(F.avg(F.abs("aporte")).alias("v"))
+    every = contributions.filter("variable != 'base'").groupBy("variable").agg(F.avg(F.abs("aporte")).alias("importancia"))
+    ranks = per.withColumn("r", F.rank().over(Window.partitionBy(fold).orderBy("v")))  # a row per variable and fold
+    pairs = ranks.alias("a").join(ranks.alias("b"), "variable").filter(F.col(f"a.{fold}") < F.col(f"b.{fold}"))
+    stable = pairs.groupBy(F.col(f"a.{fold}").alias("vuelta_a"), F.col(f"b.{fold}").alias("vuelta_b")).agg(F.corr("a.r", "b.r").alias("rho"))
+    return every, stable

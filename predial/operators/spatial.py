@@ -142,7 +142,7 @@ def edge_distances(points: DataFrame, edges: DataFrame, name: str, ring: float =
 
 def polygon_distance(points: DataFrame, edges: DataFrame, cell: float, name: str) -> DataFrame:
     """Distinct points with the distance to the nearest polygon, 0 inside."""
-    away = edge_distances(points, edges, "_d")
+    away = edge_distances(points.dropna(subset=["x", "y"]), edges, "_d")
     inside = point_in_polygon(points, edges, cell).select("x", "y").distinct().withColumn("_in", F.lit(True))
     out = points.join(away, ["x", "y"], "left").join(inside, ["x", "y"], "left")
     return out.withColumn(name, F.when(F.col("_in"), F.lit(0.0)).otherwise(F.col("_d"))).drop("_d", "_in")
@@ -171,3 +171,13 @@ def covered_area(points: DataFrame, edges: DataFrame, metres: float, step: float
     met = met.filter(F.pow(F.col("x") - F.col("_gx"), 2) + F.pow(F.col("y") - F.col("_gy"), 2) <= metres * metres)
     found = met.groupBy("x", "y").agg((F.count("*") * step * step / 10_000).alias(name))
     return points.join(found, ["x", "y"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
+def distance_to_own(rows: DataFrame, edges: DataFrame, area: str, name: str) -> DataFrame:
+    """rows (x, y, area) with the distance to the polygons of their own area (poly_id), 0 inside, null where it has none."""
+    places = rows.select("x", "y", area).distinct()
+    met = places.join(edges.select(F.col("poly_id").alias(area), "x1", "y1", "x2", "y2"), area)
+    x, y = F.col("x"), F.col("y")
+    per = met.groupBy("x", "y", area).agg(F.min(edge_distance(x, y)).alias("_d"), F.sum(crossings(x, y).cast("int")).alias("_n"))
+    per = per.withColumn(name, F.when(F.col("_n") % 2 == 1, 0.0).otherwise(F.col("_d"))).drop("_d", "_n")
+    return rows.join(per, ["x", "y", area], "left")

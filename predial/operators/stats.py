@@ -265,21 +265,41 @@ def winsor_z(rows: DataFrame, columns: list[str], low: float = 0.01, high: float
     return out.drop(*(f"{p}{c}" for c in columns for p in ("_", "_c_", "_m_", "_s_")))
 
 
-def cluster_bootstrap(rows: DataFrame, value: str, unit: str, reps: int, level: float = 0.95) -> DataFrame:
-    """A confidence interval of the mean of value, units resampled with replacement (BS1).
-
-    Units get a Poisson(1) weight in each replicate, from the MD5 of (replicate, unit): the usual distributed form of
-    resampling, which needs no list of units. Sums and counts by unit are formed first, so rows are read once.
-    """
-    units = rows.filter(F.col(value).isNotNull()).groupBy(unit).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
-    drawn = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col(unit))), 1, 8), 16, 10).cast("double") / 4294967296.0
+def poisson_weight(rep: Column, unit: Column, most: int = 8) -> Column:
+    """A Poisson(1) number from the MD5 of (replicate, unit), at most `most`: how often the unit is drawn."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", rep.cast("string"), unit)), 1, 8), 16, 10).cast("double") / 4294967296.0
     cdf, weight = 0.36787944117144233, F.lit(0)
     term = cdf
-    for k in range(1, 9):
+    for k in range(1, most + 1):
         weight = weight + F.when(u >= cdf, 1).otherwise(0)
         term = term / k
         cdf += term
-    means = drawn.withColumn("_w", weight).groupBy("rep").agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_n"))).alias("m"))
+    return weight
+
+
+def cluster_bootstrap(rows: DataFrame, value: str, unit: str, reps: int = 300, level: float = 0.95, by: tuple[str, ...] = (), median: bool = False) -> DataFrame:
+    """A confidence interval of the mean of value, or of the median of the units' medians, units resampled with replacement,
+    by group (BS1): inferior, superior, repeticiones.
+
+    Units get a Poisson(1) weight in each replicate, from the MD5 of (replicate, unit): the usual distributed form of
+    resampling, which needs no list of units. Sums and counts by unit are formed first, so rows are read once.
+    """
+    rows = rows.filter(F.col(value).isNotNull()).groupBy(*by, unit)
+    units = rows.agg(F.median(value).alias("_m")) if median else rows.agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    drawn = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_w", poisson_weight(F.col("rep"), F.col(unit)))
+    if median:
+        found = drawn.filter("_w > 0").groupBy(*by, "rep").agg(F.percentile("_m", F.lit(0.5), F.col("_w").cast("long")).alias("m"))
+    else:
+        found = drawn.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_n"))).alias("m"))
+    ends = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    return found.groupBy(*by).agg(ends.alias("_e"), F.count("*").alias("repeticiones")).select(*by, F.col("_e")[0].alias("inferior"), F.col("_e")[1].alias("superior"), "repeticiones")
+
+
+def bootstrap_median_difference(rows: DataFrame, a: str, b: str, unit: str, reps: int = 300, level: float = 0.95) -> DataFrame:
+    """A confidence interval of median(a) - median(b) over the same resampled units, by their medians (BS2)."""
+    units = rows.dropna(subset=[a, b]).groupBy(unit).agg(F.median(a).alias("_a"), F.median(b).alias("_b"))
+    drawn = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_w", poisson_weight(F.col("rep"), F.col(unit)).cast("long")).filter("_w > 0")
+    middle = lambda c: F.percentile(c, F.lit(0.5), F.col("_w"))
     ends = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    return means.agg(ends.alias("_e"), F.count("*").alias("repeticiones")).select(F.col("_e")[0].alias("inferior"), F.col("_e")[1].alias("superior"), "repeticiones")
+    found = drawn.groupBy("rep").agg((middle("_a") - middle("_b")).alias("m"))
+    return found.agg(ends.alias("_e"), F.count("*").alias("repeticiones")).select(F.col("_e")[0].alias("inferior"), F.col("_e")[1].alias("superior"), "repeticiones")

@@ -506,9 +506,9 @@ def _poisson_sql(u: str) -> str:
 
 
 @query(f""", n as (select {_UNIT} as unidad, sum(precio_m2_usd) as s, count(*) as n from listings group by 1),
-  d as (select rep, s, n, ('0x' || substr(md5(rep || '|' || unidad), 1, 8))::ubigint::double / 4294967296.0 as u from n, range(1, 41) r(rep)),
+  d as (select rep, s, n, ('0x' || substr(md5(rep || '|' || unidad), 1, 8))::ubigint::double / 4294967296.0 as u from n, range(1, 301) r(rep)),
   m as (select rep, sum(({_poisson_sql('u')}) * s) / sum(({_poisson_sql('u')}) * n) as m from d group by 1)
   select round(quantile_cont(m, 0.025), 6) as inferior, round(quantile_cont(m, 0.975), 6) as superior, count(*) as repeticiones from m""")
 def cluster_bootstrap(spark, sf):
-    out = stats.cluster_bootstrap(with_unit(spark, sf), "precio_m2_usd", "unidad", 40)
+    out = stats.cluster_bootstrap(with_unit(spark, sf), "precio_m2_usd", "unidad", 300)
     return out.select(r6("inferior").alias("inferior"), r6("superior").alias("superior"), "repeticiones")

@@ -53,17 +53,28 @@ def name_equivalence(spark, sf):
     return rows.groupBy("barrio").agg(F.count_if("igual").alias("coinciden"), F.count_if(F.col("o").isNull()).alias("sin_oficial"), F.count("*").alias("n"))
 
 
-@query(f""", n as (select {_UNIT} as unidad, sum(precio_m2_usd) as a, sum(precio_usd / m2_final * 1.1) as b, count(*) as n from listings group by 1),
-  d as (select rep, a, b, n, ('0x' || substr(md5(rep || '|' || unidad), 1, 8))::ubigint::double / 4294967296.0 as u from n, range(1, 31) r(rep)),
-  m as (select rep, sum(({_poisson_sql('u')}) * b) / sum(({_poisson_sql('u')}) * n) - sum(({_poisson_sql('u')}) * a) / sum(({_poisson_sql('u')}) * n) as m from d group by 1)
+@query(f""", n as (select {_UNIT} as unidad, median(precio_m2_usd) as a, median(precio_m2_usd * (1 + linenumber / 20.0::double)) as b from listings group by 1),
+  d as (select rep, a, b, ('0x' || substr(md5(rep || '|' || unidad), 1, 8))::ubigint::double / 4294967296.0 as u from n, range(1, 301) r(rep)),
+  w as (select rep, a, b, unnest(range({_poisson_sql('u')})) from d), m as (select rep, median(b) - median(a) as m from w group by 1)
   select round(quantile_cont(m, 0.025), 6) as inferior, round(quantile_cont(m, 0.975), 6) as superior, count(*) as repeticiones from m""")
 def bootstrap_difference(spark, sf):
-    """A confidence interval of the difference of two columns' means over the same resampled units (BS2)."""
-    rows = with_unit(spark, sf).withColumn("d", F.col("precio_usd") / F.col("m2_final") * 1.1 - F.col("precio_m2_usd"))
-    out = stats.cluster_bootstrap(rows, "d", "unidad", 30)
+    """A confidence interval of the difference of two columns' medians over the same resampled units (BS2)."""
+    rows = with_unit(spark, sf).withColumn("otro", F.col("precio_m2_usd") * (1 + F.col("linenumber") / 20.0))
+    out = stats.bootstrap_median_difference(rows, "otro", "precio_m2_usd", "unidad")
     return out.select(r6("inferior").alias("inferior"), r6("superior").alias("superior"), "repeticiones")
 
 
+@query(f"""{_SURVEYS}, x as (select length(clave_unidad) % 3 as grupo, clave_unidad, ((case when same is not null then 'sigue' when again is not null then 'republicado' else 'salio' end) = 'salio')::int::double as v from j),
+  n as (select grupo, clave_unidad, sum(v) as s, count(*) as n from x group by 1, 2), d as (select grupo, rep, s, n, ('0x' || substr(md5(rep || '|' || clave_unidad), 1, 8))::ubigint::double / 4294967296.0 as u from n, range(1, 301) r(rep)),
+  m as (select grupo, rep, sum(({_poisson_sql('u')}) * s) / sum(({_poisson_sql('u')}) * n) as m from d group by 1, 2)
+  select grupo::int as grupo, round(quantile_cont(m, 0.025), 6) as inferior, round(quantile_cont(m, 0.975), 6) as superior, count(*) as repeticiones from m group by 1""")
+def exit_rate_limits(spark, sf):
+    """Limits of exit rates by group, units resampled."""
+    rows = clean.snapshot_diff(*surveys(spark, sf)).filter("clave_unidad is not null")
+    rows = rows.select("clave_unidad", (F.length("clave_unidad") % 3).alias("grupo"), (F.col("estado") == "salio").cast("double").alias("v"))
+    return stats.cluster_bootstrap(rows, "v", "clave_unidad", by=("grupo",)).select("grupo", r6("inferior").alias("inferior"), r6("superior").alias("superior"), "repeticiones")
+
+
 @query(""", s as (select distinct id_aviso from listings order by md5(id_aviso || '42'), id_aviso limit 500) select * from s""")
 def seeded_sample(spark, sf):
     """500 ids drawn by hash (T6): the sample is the feature."""

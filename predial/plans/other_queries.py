@@ -193,9 +193,11 @@ def gram_sums(spark, sf):
 @query()
 def hedonic_ols(spark, sf):
     """Out-of-fold expected price, gap and interval flag by least squares with zone effects (LM6, LM12, LM19)."""
-    rows = _model_rows(spark, sf)
-    betas, means = model.fit_within(rows, "y", list(_XS), "barrio", "vuelta")
-    out = model.predict_within(rows, "y", list(_XS), "barrio", "vuelta", betas, means).withColumn("residuo", F.col("y") - F.col("prediccion"))
+    from predial.plans.model_queries import FEATURES, model_rows
+
+    rows = model_rows(spark, sf)
+    out, _, _ = model.leak_free(rows, "y", FEATURES, "barrio", "subzona", "unidad", "vuelta")
+    out = cluster.written(out.withColumn("residuo", F.col("y") - F.col("prediccion")).select("id_aviso", "barrio", "vuelta", "precio_m2_usd", "prediccion", "residuo"))
     limits = stats.conformal_limits(out, "residuo", "barrio", "vuelta")
     out = out.join(limits, ["vuelta", "barrio"], "left")
     return out.select("id_aviso", "vuelta", F.exp("prediccion").alias("precio_m2_esperado"), (F.col("precio_m2_usd") / F.exp("prediccion") - 1).alias("brecha"), truth(F.col("residuo") < F.col("limite_inf")).alias("bajo_intervalo"))
@@ -209,12 +211,6 @@ def hedonic_explanation(spark, sf):
     return model.explanation(rows, "id_aviso", "y", _XS, "barrio", "vuelta", betas, means)
 
 
-@query()
-def cluster_robust_ols(spark, sf):
-    """A regression with errors robust to units."""
-    return model.cluster_robust(_model_rows(spark, sf), "y", ["f_log_m2", "f_ambientes", "f_cochera", "f_apto_credito"], "unidad")
-
-
 @query()
 def kmeans_subzones(spark, sf):
     """Subzones by k-means within each neighbourhood, over distinct coordinates."""
@@ -284,7 +280,7 @@ def model_comparison(spark, sf):
     # Written once: each fold of each learner reads these few columns again.
     out = cluster.written(out.select("id_aviso", "vuelta", "y", *xs, "lineal", "mediana_zona", "lat", "lon"))
     out = cluster.written(learn.ridge(out, xs, "y", "vuelta").withColumnRenamed("prediccion_ridge", "ridge"))
-    out = learn.boosted(out, [*xs, "lat", "lon", "mediana_zona"], "y", "vuelta", trees=5).withColumnRenamed("prediccion_gbm", "gbm")
+    out = learn.boosted(out, [*xs, "lat", "lon", "mediana_zona"], "y", "vuelta", trees=20).withColumnRenamed("prediccion_gbm", "gbm")
     return learn.model_metrics(out, "y", ["mediana_zona", "lineal", "ridge", "gbm"])
 
 
