@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -122,13 +123,12 @@ def rand_index(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     return out.select(*by, F.when(top == 0, 1.0).otherwise(F.try_divide(F.col("s") - expected, top)).alias("ari"))
 
 
-def silhouette(rows: DataFrame, vector: str, label: str, key: str, most: int = 5_000) -> DataFrame:
+def silhouette(rows: DataFrame, columns: list[str], label: str, key: str, most: int = 5_000) -> DataFrame:
     """The mean Euclidean silhouette over at most `most` rows, those with the least hashes (C4): the bounded sample is part of
     the measure. Distances are summed by row and cluster, so no matrix is held."""
-    some = rows.select(key, label, vector).orderBy(F.xxhash64(key), key).limit(most)
-    some = written(some)
-    other = some.select(F.col(key).alias("_k"), F.col(label).alias("_l"), F.col(vector).alias("_v"))
-    d = F.sqrt(F.aggregate(F.zip_with(vector, "_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    some = written(rows.select(key, label, *columns).orderBy(F.xxhash64(key), key).limit(most))
+    other = some.select(F.col(key).alias("_k"), F.col(label).alias("_l"), *(F.col(c).alias(f"_o_{c}") for c in columns))
+    d = F.sqrt(reduce(lambda a, b: a + b, ((F.col(c) - F.col(f"_o_{c}")) * (F.col(c) - F.col(f"_o_{c}")) for c in columns)))
     per = some.crossJoin(F.broadcast(other)).filter(F.col(key) != F.col("_k")).groupBy(key, label, "_l").agg(F.avg(d).alias("d"))
     own = per.groupBy(key).agg(F.min(F.when(F.col(label) == F.col("_l"), F.col("d"))).alias("a"), F.min(F.when(F.col(label) != F.col("_l"), F.col("d"))).alias("b"))
     return own.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silueta"))

@@ -85,10 +85,11 @@ def _lgamma(x: Column) -> Column:
     return series - reduce(lambda a, b: a + b, (F.log(x + i) for i in range(8)))
 
 
-def iqr_outliers(rows: DataFrame, value: str, group: str, k: float = 1.5, least: int = 10) -> DataFrame:
-    """rows with atipico: outside k interquartile ranges of a group with at least `least` values."""
+def iqr_outliers(rows: DataFrame, value: str, group: str, k: float = 1.5, least: int = 10, limits_of: DataFrame | None = None) -> DataFrame:
+    """rows with atipico: outside k interquartile ranges of a group with at least `least` values (W3), of rows or of
+    limits_of."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    limits = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(q.alias("_q"), F.count(value).alias("_n"))
+    limits = (rows if limits_of is None else limits_of).filter(F.col(group).isNotNull()).groupBy(group).agg(q.alias("_q"), F.count(value).alias("_n"))
     span = F.col("_q")[1] - F.col("_q")[0]
     out = (F.col(value) < F.col("_q")[0] - k * span) | (F.col(value) > F.col("_q")[1] + k * span)
     return rows.join(limits, group, "left").withColumn("atipico", truth(out & (F.col("_n") >= least))).drop("_q", "_n")
@@ -265,16 +266,28 @@ def winsor_z(rows: DataFrame, columns: list[str], low: float = 0.01, high: float
     return out.drop(*(f"{p}{c}" for c in columns for p in ("_", "_c_", "_m_", "_s_")))
 
 
-def poisson_weight(rep: Column, unit: Column, most: int = 8) -> Column:
-    """A Poisson(1) number from the MD5 of (replicate, unit), at most `most`: how often the unit is drawn."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", rep.cast("string"), unit)), 1, 8), 16, 10).cast("double") / 4294967296.0
+def drawn(units: DataFrame, unit: str, reps: int, first: int = 1, most: int = 8) -> DataFrame:
+    """units for each replicate from first to reps, with _w: how often the unit is drawn, a Poisson(1) number from the MD5 of
+    (replicate, unit), at most `most`."""
+    rows = units.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(reps))))
+    # A column of its own, so that the digest is formed once.
+    rows = rows.withColumn("_u", F.conv(F.substring(F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col(unit))), 1, 8), 16, 10).cast("double") / 4294967296.0)
     cdf, weight = 0.36787944117144233, F.lit(0)
     term = cdf
     for k in range(1, most + 1):
-        weight = weight + F.when(u >= cdf, 1).otherwise(0)
+        weight = weight + F.when(F.col("_u") >= cdf, 1).otherwise(0)
         term = term / k
         cdf += term
-    return weight
+    return rows.withColumn("_w", weight).drop("_u")
+
+
+def weighted_median(rows: DataFrame, value: str, weight: str, by: list[str]) -> DataFrame:
+    """(by, m): the median of value, each row counted weight times."""
+    w = Window.partitionBy(*by)
+    rows = rows.filter(F.col(weight) > 0).select(*by, value, F.sum(weight).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.sum(weight).over(w).alias("_all"))
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value)))
+    middle = (F.col("_all") - 1) / 2
+    return rows.groupBy(*by).agg(((at(F.floor(middle)) + at(F.ceil(middle))) / 2).alias("m"))
 
 
 def cluster_bootstrap(rows: DataFrame, value: str, unit: str, reps: int = 300, level: float = 0.95, by: tuple[str, ...] = (), median: bool = False) -> DataFrame:
@@ -286,20 +299,20 @@ def cluster_bootstrap(rows: DataFrame, value: str, unit: str, reps: int = 300, l
     """
     rows = rows.filter(F.col(value).isNotNull()).groupBy(*by, unit)
     units = rows.agg(F.median(value).alias("_m")) if median else rows.agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
-    drawn = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_w", poisson_weight(F.col("rep"), F.col(unit)))
+    many = drawn(units, unit, reps)
     if median:
-        found = drawn.filter("_w > 0").groupBy(*by, "rep").agg(F.percentile("_m", F.lit(0.5), F.col("_w").cast("long")).alias("m"))
+        found = weighted_median(many, "_m", "_w", [*by, "rep"])
     else:
-        found = drawn.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_n"))).alias("m"))
+        found = many.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_n"))).alias("m"))
     ends = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     return found.groupBy(*by).agg(ends.alias("_e"), F.count("*").alias("repeticiones")).select(*by, F.col("_e")[0].alias("inferior"), F.col("_e")[1].alias("superior"), "repeticiones")
 
 
-def bootstrap_median_difference(rows: DataFrame, a: str, b: str, unit: str, reps: int = 300, level: float = 0.95) -> DataFrame:
+def bootstrap_median_difference(rows: DataFrame, a: str, b: str, unit: str, reps: int = 100, level: float = 0.95) -> DataFrame:
     """A confidence interval of median(a) - median(b) over the same resampled units, by their medians (BS2)."""
     units = rows.dropna(subset=[a, b]).groupBy(unit).agg(F.median(a).alias("_a"), F.median(b).alias("_b"))
-    drawn = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_w", poisson_weight(F.col("rep"), F.col(unit)).cast("long")).filter("_w > 0")
-    middle = lambda c: F.percentile(c, F.lit(0.5), F.col("_w"))
+    many = drawn(units, unit, reps)
+    first, second = (weighted_median(many, c, "_w", ["rep"]).withColumnRenamed("m", c) for c in ("_a", "_b"))
     ends = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    found = drawn.groupBy("rep").agg((middle("_a") - middle("_b")).alias("m"))
+    found = first.join(second, "rep").withColumn("m", F.col("_a") - F.col("_b"))
     return found.agg(ends.alias("_e"), F.count("*").alias("repeticiones")).select(F.col("_e")[0].alias("inferior"), F.col("_e")[1].alias("superior"), "repeticiones")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -218,26 +219,40 @@ def survey_counts_outer(spark, sf):
     return first.join(second, "clave_unidad", "full_outer").groupBy(most.alias("maximo")).agg(F.count("*").alias("unidades"))
 
 
-_COMPARE = """, c as (select * from (select *, row_number() over (partition by id_aviso order by link) as n from listings where antiguedad is not null) where n = 1),
-  q as (select * from c)
-  select q.id_aviso, count(o.id_aviso) as comparables, round(median(o.precio_m2_usd), 9) as mediana from q left join c o on o.barrio = q.barrio and o.dir_limpia <> q.dir_limpia
+_COMPARE = f"""{_GAP}, lim as (select barrio, quantile_cont(precio_m2_usd, 0.25) as a, quantile_cont(precio_m2_usd, 0.75) as b from f group by 1),
+  c as (select f.* from f join lim using (barrio) where antiguedad is not null and precio_m2_usd between a - 1.5 * (b - a) and b + 1.5 * (b - a)), q as (select * from f where brecha < -umbral)
+  select q.id_aviso, count(o.id_aviso) as comparables, round(median(o.precio_m2_usd), 9) as mediana from q left join c o on o.barrio = q.barrio and o.unidad <> q.unidad
   and abs(o.ambientes - q.ambientes) <= 1 and abs(o.m2_final / q.m2_final - 1) <= 0.30 and abs(o.antiguedad - q.antiguedad) <= 15 group by 1"""
 
 
-@query(_COMPARE)
-def comparables_band_join(spark, sf):
-    rows = clean.keep_one(listings(spark, sf).filter("antiguedad is not null"), ["id_aviso"], [F.col("link")])
-    rows = rows.select("id_aviso", "barrio", "dir_limpia", "ambientes", "m2_final", "antiguedad", "precio_m2_usd")
-    # Rooms differ by at most one: each asking row looks into three rooms' groups, so the join has two equal keys.
-    asked = rows.select(*(F.col(c).alias(f"q_{c}") for c in rows.columns), F.explode(F.array(*map(F.lit, (-1.0, 0.0, 1.0)))).alias("_d"))
-    asked = asked.withColumn("q_rooms", F.col("q_ambientes") + F.col("_d"))
-    met = asked.join(
-        rows,
-        (F.col("barrio") == F.col("q_barrio")) & (F.col("ambientes") == F.col("q_rooms")) & (F.col("dir_limpia") != F.col("q_dir_limpia"))
+def comparables(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id_aviso, comparables, mediana) for each of asked: how many rows are like it, of another unit, and their median price
+    (J12, A21); 0 and null for none, also where its rooms or age are unknown.
+
+    Rooms differ by at most one and sizes by 30 %: an asking row looks into three rooms' and three sizes' groups, so that the
+    join has three equal keys.
+    """
+    width = math.log(1 / 0.7)
+    size = F.floor(F.log("m2_final") / width)
+    given = rows.select("barrio", "unidad", "ambientes", "m2_final", "antiguedad", "precio_m2_usd", size.alias("_s")).withColumn("_hay", F.lit(True))
+    around = lambda *x: F.explode(F.array(*map(F.lit, x)))
+    q = asked.select("id_aviso", *(F.col(c).alias(f"q_{c}") for c in ("barrio", "unidad", "m2_final", "antiguedad", "ambientes")), around(-1.0, 0.0, 1.0).alias("_d"), size.alias("_z"))
+    q = q.withColumn("_t", around(-1, 0, 1)).withColumns({"q_rooms": F.col("q_ambientes") + F.col("_d"), "q_s": F.col("_z") + F.col("_t")})
+    met = q.join(
+        given,
+        (F.col("barrio") == F.col("q_barrio")) & (F.col("ambientes") == F.col("q_rooms")) & (F.col("_s") == F.col("q_s")) & (F.col("unidad") != F.col("q_unidad"))
         & (F.abs(F.col("m2_final") / F.col("q_m2_final") - 1) <= 0.30) & (F.abs(F.col("antiguedad") - F.col("q_antiguedad")) <= 15),
         "left",
     )
-    return met.groupBy(F.col("q_id_aviso").alias("id_aviso")).agg(F.count("id_aviso").alias("comparables"), F.round(F.median("precio_m2_usd"), 9).alias("mediana"))
+    return met.groupBy("id_aviso").agg(F.count("_hay").alias("comparables"), F.median("precio_m2_usd").alias("mediana"))
+
+
+@query(_COMPARE)
+def comparables_band_join(spark, sf):
+    """Comparables of every ad that is flagged."""
+    rows = gaps(spark, sf)
+    given = stats.iqr_outliers(rows.filter("antiguedad is not null"), "precio_m2_usd", "barrio", limits_of=rows).filter(~F.col("atipico"))
+    return comparables(given, rows.filter(F.col("brecha") < -F.col("umbral"))).withColumn("mediana", F.round("mediana", 9))
 
 
 _HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"

@@ -303,7 +303,7 @@ def segment_features(spark, sf):
 def vectors(spark, sf) -> DataFrame:
     """Winsorised z-scores of the segment numbers as arrays."""
     rows = stats.winsor_z(segment_rows(spark, sf), [*_NUMBERS, "indice"])
-    return cluster.written(rows.select("id_aviso", *_NUMBERS, "indice", F.array(*(F.col(f"z_{c}") for c in (*_NUMBERS, "indice"))).alias("z")))
+    return cluster.written(rows.select("id_aviso", *_NUMBERS, "indice", *(f"z_{c}" for c in (*_NUMBERS, "indice")), F.array(*(F.col(f"z_{c}") for c in (*_NUMBERS, "indice"))).alias("z")))
 
 
 def segmented(rows: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, float]:
@@ -318,7 +318,7 @@ def segment_choice(spark, sf):
     rows, found = vectors(spark, sf), None
     for k in range(2, 11):
         labels, cost = segmented(rows, k)
-        one = cluster.silhouette(labels, "z", "cluster", "id_aviso").select(F.lit(k).alias("k"), F.lit(cost).alias("inercia"), "silueta")
+        one = cluster.silhouette(labels, [f"z_{c}" for c in (*_NUMBERS, "indice")], "cluster", "id_aviso").select(F.lit(k).alias("k"), F.lit(cost).alias("inercia"), "silueta")
         found = one if found is None else found.unionByName(one)
     return found
 

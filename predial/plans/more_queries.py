@@ -54,7 +54,7 @@ def name_equivalence(spark, sf):
 
 
 @query(f""", n as (select {_UNIT} as unidad, median(precio_m2_usd) as a, median(precio_m2_usd * (1 + linenumber / 20.0::double)) as b from listings group by 1),
-  d as (select rep, a, b, ('0x' || substr(md5(rep || '|' || unidad), 1, 8))::ubigint::double / 4294967296.0 as u from n, range(1, 301) r(rep)),
+  d as (select rep, a, b, ('0x' || substr(md5(rep || '|' || unidad), 1, 8))::ubigint::double / 4294967296.0 as u from n, range(1, 101) r(rep)),
   w as (select rep, a, b, unnest(range({_poisson_sql('u')})) from d), m as (select rep, median(b) - median(a) as m from w group by 1)
   select round(quantile_cont(m, 0.025), 6) as inferior, round(quantile_cont(m, 0.975), 6) as superior, count(*) as repeticiones from m""")
 def bootstrap_difference(spark, sf):
