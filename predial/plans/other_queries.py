@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from predial.functions import numeric, text
 from predial.operators import clean, cluster, learn, model, stats
 from predial.operators.clean import truth
-from predial.plans.listing_queries import _DEDUP, _FOLD, _REASON, _UNIT, QUERIES as _listed, r6, surveys as _surveys, with_unit
+from predial.plans.listing_queries import _DEDUP, _FOLD, _reason, _REASON, _UNIT, QUERIES as _listed, r6, surveys as _surveys, with_unit
 from predial.sources.listings import LISTINGS_SQL, listings, tables
 from predial.streaming.dedup import windowed_counts
 
@@ -246,7 +246,7 @@ def nested_units(spark, sf):
 def cheapest_ranking(spark, sf):
     """The 60 cheapest listings by square metre with their place (SNK2, T2, T3, T5)."""
     rows = clean.deduplicate(listings(spark, sf), "id_aviso", F.col("barrio_oficial"), "link").filter("kept")
-    rows = rows.filter(clean.exclusion_reason(F.col("precio_usd"), F.col("moneda"), F.col("m2_final"), F.col("titulo")).isNull())
+    rows = rows.filter(_reason().isNull())
     top = rows.select("id_aviso", "link", "barrio", "precio_m2_usd").orderBy("precio_m2_usd", "id_aviso").limit(60)
     return top.withColumn("posicion", F.row_number().over(Window.orderBy("precio_m2_usd", "id_aviso")).cast("long")).drop("precio_m2_usd")
 
