@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import math
 import re
 import tempfile
@@ -84,6 +85,13 @@ def _discard_all() -> None:
             _delete(spark, path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished jobs now: it does so once the driver's garbage collectors, Python's and the
+    JVM's, have found that no plan refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """name, with underscores before it until no column is called so."""
     taken = {c.lower() for c in columns}

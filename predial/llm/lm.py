@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from predial.llm.common import SPACES, Words, mix64, pack, partitions_for, runs, sorted_groups, staged, text_bytes, unpack
+from predial.llm.common import SPACES, Words, free_shuffles, mix64, pack, partitions_for, runs, sorted_groups, staged, text_bytes, unpack
 
 SHARD_BYTES = 8 << 20
 #: Text for each task that owns triples, pairs and words.
@@ -262,7 +262,9 @@ def _score(answers: pa.Table, rows: pa.Table, pair_numbers: dict[str, int], sche
     for i, name in enumerate(("context", "once", "twice", "often")):
         columns |= {f"pair_{name}": _joined(told[PAIR_TOTALS], i), f"word_{name}": _joined(told[WORD_TOTALS], i + 1)}
     model = Mapped(**hashes, **columns)
+    del hashes, told, columns, answers
     triple, pair, word = (np.searchsorted(known, asked) for known, asked in ((model.triple_hash, triples), (model.pair_hash, pairs), (model.word_hash, words)))
+    del triples, pairs, words
     two_before, before = (_shifted(x[:-1], shard.begins, x[-1]) for x in (pair, word))
     pair, word = pair[:-1], word[:-1]
     n, v = g["tokens"], g["distinct"]
@@ -300,6 +302,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     all words are equally likely. Hashes of 64 bits stand for words, pairs and triples.
     """
     spark = docs.sparkSession
+    free_shuffles(spark)
     n_bytes = text_bytes(docs)
     parts = partitions_for(spark, n_bytes, OWNER_BYTES)
     row = F.struct("doc_id", "text")
@@ -310,9 +313,13 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     of_kind = lambda table, *kinds: table.filter(F.col("kind").isin(*kinds))
     asked = dealt.applyInArrow(lambda key, table: _ask_triples(key, table, parts), _SCHEMA)
     triples = staged(asked.repartitionById(parts, "part").mapInArrow(lambda b: _total_triples(b, parts), _SCHEMA), "lm-triples")
+    del asked
+    free_shuffles(spark)
     totals = of_kind(triples, TRIPLE_TOTALS)
     asked = totals.groupBy("part").cogroup(dealt).applyInArrow(lambda key, a, b: _ask_pairs(key, a, b, parts), _SCHEMA)
     pairs = staged(asked.repartitionById(parts, "part").mapInArrow(lambda b: _total_pairs(b, parts), _SCHEMA), "lm-pairs")
+    del asked
+    free_shuffles(spark)
     found = of_kind(triples.unionByName(pairs), NUMBER).groupBy("part").agg(F.sum("n").alias("n")).collect()  # nine numbers
     numbers = {_NUMBERS[r.part]: r.n for r in found}
     # From here on one plan, so that the texts are shuffled once for both of their passes.
