@@ -87,7 +87,7 @@ def _discard_all() -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished jobs now: it does so once the driver's garbage collectors, Python's and the
-    JVM's, have found that no plan refers to them."""
+    JVM's, have found that no plan refers to them. The last plan of all is still held by Spark's listeners."""
     gc.collect()
     spark._jvm.System.gc()
 

@@ -293,6 +293,13 @@ def _score(answers: pa.Table, rows: pa.Table, pair_numbers: dict[str, int], sche
     )
 
 
+def _summed(told: DataFrame) -> dict[str, int]:
+    """The few numbers of a staged table; the shuffles that made it are not needed from here on."""
+    found = told.filter(F.col("kind") == NUMBER).groupBy("part").agg(F.sum("n").alias("n")).collect()
+    free_shuffles(told.sparkSession)
+    return {_NUMBERS[r.part]: r.n for r in found}
+
+
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """Log10 probabilities of texts under the model of those texts for which train is true (null: false).
 
@@ -302,8 +309,8 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     all words are equally likely. Hashes of 64 bits stand for words, pairs and triples.
     """
     spark = docs.sparkSession
-    free_shuffles(spark)
     n_bytes = text_bytes(docs)
+    free_shuffles(spark)
     parts = partitions_for(spark, n_bytes, OWNER_BYTES)
     row = F.struct("doc_id", "text")
     rows = docs.select(row.alias("row"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -314,14 +321,12 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     asked = dealt.applyInArrow(lambda key, table: _ask_triples(key, table, parts), _SCHEMA)
     triples = staged(asked.repartitionById(parts, "part").mapInArrow(lambda b: _total_triples(b, parts), _SCHEMA), "lm-triples")
     del asked
-    free_shuffles(spark)
+    numbers = _summed(triples)
     totals = of_kind(triples, TRIPLE_TOTALS)
     asked = totals.groupBy("part").cogroup(dealt).applyInArrow(lambda key, a, b: _ask_pairs(key, a, b, parts), _SCHEMA)
     pairs = staged(asked.repartitionById(parts, "part").mapInArrow(lambda b: _total_pairs(b, parts), _SCHEMA), "lm-pairs")
     del asked
-    free_shuffles(spark)
-    found = of_kind(triples.unionByName(pairs), NUMBER).groupBy("part").agg(F.sum("n").alias("n")).collect()  # nine numbers
-    numbers = {_NUMBERS[r.part]: r.n for r in found}
+    numbers |= _summed(pairs)
     # From here on one plan, so that the texts are shuffled once for both of their passes.
     about_words = of_kind(pairs, PAIR_FOLLOWS).groupBy("part").cogroup(dealt).applyInArrow(lambda key, a, b: _ask_words(key, a, b, parts), _SCHEMA)
     words = about_words.repartitionById(parts, "part").mapInArrow(lambda b: _total_words(b, parts), _SCHEMA)
