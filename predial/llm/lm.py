@@ -170,9 +170,11 @@ def _told(found: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _statistics(context: np.ndarray, total: np.ndarray, end: np.ndarray, n: int) -> list[np.ndarray]:
-    """For each of n contexts the sum of totals and how many are 1, 2 and more; for each end how many it has."""
-    sums = [np.bincount(context, weights=total, minlength=n).astype(np.int64), *(np.bincount(context[x], minlength=n) for x in (total == 1, total == 2, total > 2))]
-    return [*sums, np.bincount(end, minlength=n)]
+    """For each of n contexts how many totals are 1, 2 and more, and the sum of the latter, which is mostly 0 and so takes less
+    room than that of all; for each end how many it has."""
+    often = total > 2
+    more = np.bincount(context[often], weights=total[often], minlength=n).astype(np.int64)
+    return [*(np.bincount(context[x], minlength=n) for x in (total == 1, total == 2, often)), more, np.bincount(end, minlength=n)]
 
 
 def _ask_pairs(key, totals: pa.Table, rows: pa.Table, parts: int) -> pa.Table:
@@ -259,7 +261,7 @@ def _score(answers: pa.Table, rows: pa.Table, pair_numbers: dict[str, int], sche
     hashes = {f"{name}_hash": np.unique(x) for name, x in (("triple", triples), ("pair", pairs), ("word", words))}
     told = {kind: _answers(answers, kind) for kind in (TRIPLE_TOTALS, PAIR_TOTALS, PAIR_FOLLOWS, WORD_TOTALS)}
     columns = {"triples": _joined(told[TRIPLE_TOTALS], 0), "pairs": _joined(told[PAIR_FOLLOWS], 0), "count": _joined(told[WORD_TOTALS], 0), "follows": _joined(told[WORD_TOTALS], 5)}
-    for i, name in enumerate(("context", "once", "twice", "often")):
+    for i, name in enumerate(("once", "twice", "often", "more")):
         columns |= {f"pair_{name}": _joined(told[PAIR_TOTALS], i), f"word_{name}": _joined(told[WORD_TOTALS], i + 1)}
     model = Mapped(**hashes, **columns)
     del hashes, told, columns, answers
@@ -278,10 +280,10 @@ def _score(answers: pa.Table, rows: pa.Table, pair_numbers: dict[str, int], sche
         lower = np.maximum(follows - h[np.minimum(follows, 3)], 0) / g["pairs"] + rest * uniform
     else:
         lower = np.full(len(word), uniform)
-    left = e[1] * model.word_once[before] + e[2] * model.word_twice[before] + e[3] * model.word_often[before]
-    lower = _level(model.pairs[pair], e, model.word_context[before], left, lower)
-    left = d[1] * model.pair_once[two_before] + d[2] * model.pair_twice[two_before] + d[3] * model.pair_often[two_before]
-    chance = _level(model.triples[triple], d, model.pair_context[two_before], left, lower)
+    once, twice, often, more = (x[before] for x in (model.word_once, model.word_twice, model.word_often, model.word_more))
+    lower = _level(model.pairs[pair], e, once + 2 * twice + more, e[1] * once + e[2] * twice + e[3] * often, lower)
+    once, twice, often, more = (x[two_before] for x in (model.pair_once, model.pair_twice, model.pair_often, model.pair_more))
+    chance = _level(model.triples[triple], d, once + 2 * twice + more, d[1] * once + d[2] * twice + d[3] * often, lower)
     total = lambda x: np.add.reduceat(x, shard.begins) if len(shard.begins) else x
     known = total((count > 0).astype(np.int64))
     size = np.diff(np.append(shard.begins, len(word)))
