@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from predial.llm import decontam, fingerprint, langid, lm, neardup, packing, quality, repeats, tokens, toxicity
+from predial.llm import align, bpe, decontam, fingerprint, langid, lm, neardup, packing, quality, repeats, tokens, toxicity
 from predial.llm.common import held_out, ship
 
 
@@ -76,9 +76,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and the bytes decoded from them, as digests."""
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256")
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers go together in every document."""
+    found = align.alignments(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
 def queries() -> dict:
     found = (
-        op1_token_counts, op2_fingerprints, op3_toxicity, op4_repeats, op5_language, op6_packing, op7_language_model, op8_near_duplicates, op9_quality, op10_decontamination,
+        op1_token_counts, op2_fingerprints, op3_toxicity, op4_repeats, op5_language, op6_packing, op7_language_model, op8_near_duplicates, op9_quality, op10_decontamination, op12_byte_bpe, op13_alignment,
     )
     return {f.__name__: f for f in found}
 
