@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from predial.llm import align, bpe, decontam, fingerprint, langid, lm, neardup, packing, quality, repeats, tokens, toxicity
+from predial.llm import align, bpe, decontam, fingerprint, langid, lm, neardup, packing, phrases, quality, repeats, tokens, toxicity
 from predial.llm.common import held_out, ship
 
 
@@ -76,6 +76,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of each language whose words stand together most unusually often."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and the bytes decoded from them, as digests."""
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -94,7 +99,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        op1_token_counts, op2_fingerprints, op3_toxicity, op4_repeats, op5_language, op6_packing, op7_language_model, op8_near_duplicates, op9_quality, op10_decontamination, op12_byte_bpe, op13_alignment,
+        op1_token_counts, op2_fingerprints, op3_toxicity, op4_repeats, op5_language, op6_packing, op7_language_model, op8_near_duplicates, op9_quality, op10_decontamination, op11_collocations, op12_byte_bpe, op13_alignment,
     )
     return {f.__name__: f for f in found}
 
@@ -118,4 +123,29 @@ with d as (select distinct id, least(n, 5) as k, s from ({docs})),
 select d.id as doc_id, b.id as item_id, count(*)::double / any_value(total.n) as containment
 from d join b on d.s = b.s and d.k = b.k join total on total.id = b.id
 group by d.id, b.id having count(*)::double / any_value(total.n) >= 0.8""",
+        "op11_collocations": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces),
+total as (select lang, sum(len(w))::hugeint as n from w group by lang),
+grams as (
+  select lang, size, array_to_string(w[i:i+size-1], ' ') as phrase, count(*)::hugeint as f
+  from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from w, range(1, 6) sizes(size) where len(w) >= size)
+  group by all having count(*) >= 100),
+cand as (select * from grams where size > 1),
+kept as (
+  select * from cand c where not exists (
+    select 1 from cand d where d.lang = c.lang and d.size > c.size and 100 * d.f >= 100 * c.f
+      and contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts as (
+  select lang, phrase, f, k, array_to_string(w[1:k], ' ') as a, array_to_string(w[k+1:size], ' ') as b, size
+  from (select *, string_split(phrase, ' ') as w, unnest(range(1, size)) as k from kept)),
+scored as (
+  select c.lang, c.phrase, c.f as a, x.f as l, y.f as r, n, k, (1000 * c.f * n) // (x.f * y.f) as score
+  from cuts c join grams x on x.lang = c.lang and x.phrase = c.a and x.size = k
+    join grams y on y.lang = c.lang and y.phrase = c.b and y.size = c.size - k join total on total.lang = c.lang),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest) where rank <= 2000""",
     }
