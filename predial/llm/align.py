@@ -32,9 +32,11 @@ from predial.llm.common import pack, ship, staged, text_batches, unpack
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text in one batch, whose distinct segments are encoded once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 12 << 20
 #: Characters of distinct segments that are encoded at a time; a longer segment is encoded alone.
 CHUNK_CHARS = 1 << 17
+#: Segments that are linked and spelled at a time.
+SLICE = 1 << 14
 _CUT = re.compile(r"(?<=\S) (?=.)", re.S)
 _WHITE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 _B_BITS = 20
@@ -73,6 +75,9 @@ class Pair:
         spec = model.normalizer_spec
         if not spec.add_dummy_prefix or spec.remove_extra_whitespaces or spec.precompiled_charsmap or any(" " in x.lstrip(b" ").decode(errors="ignore") for x in self.b_bytes):
             raise ValueError(f"{pieces}: pieces across words, or a normalisation that changes texts")
+        # Ids as texts with what goes before them: A's first id of a segment, of a group, others; B's first id of a group, others.
+        ids = (list(map(str, range(len(x)))) for x in (self.a_bytes, self.b_bytes))
+        self.words = [mark + i for marks, texts in zip(("\n;,", "|,"), ids, strict=True) for mark in marks for i in texts]
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
 
 
@@ -171,23 +176,33 @@ class Segments:
     def common_ends(self) -> np.ndarray:
         return np.intersect1d(self.a_ends, self.b_ends, assume_unique=True)
 
-    def texts(self) -> list[str]:
+    def texts(self, own: Pair) -> list[str]:
         """Each segment's groups as `a1,a2|b1;a3|b2,b3`."""
         cuts = self.common_ends()
-        words, places = [], []
-        for side, (ids, ends) in enumerate(((self.a_ids, self.a_ends), (self.b_ids, self.b_ends))):
-            group = np.searchsorted(cuts, ends)
-            first = np.concatenate(([True], group[1:] != group[:-1])) if len(group) else group.astype(bool)
-            marks = np.where(first, "|" if side else ";", ",")
-            if not side:
-                segment = np.searchsorted(self.ends, ends)
-                marks[np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])) if len(segment) else [])] = "\n"
-            words += map("".join, zip(marks.tolist(), map(str, ids.tolist()), strict=True))
-            places.append(2 * group + side)
-        order = np.argsort(np.concatenate(places), kind="stable")
-        found = iter("".join(map(words.__getitem__, order.tolist())).split("\n")[1:])
+        starts = lambda at: np.concatenate(([True], at[1:] != at[:-1])) if len(at) else at.astype(bool)
+        group_a, group_b = np.searchsorted(cuts, self.a_ends), np.searchsorted(cuts, self.b_ends)
+        kind_a = np.where(starts(group_a), 1, 2)
+        kind_a[starts(np.searchsorted(self.ends, self.a_ends))] = 0
+        kind_b = np.where(starts(group_b), 0, 1)
+        n_a, n_b = len(own.a_bytes), len(own.b_bytes)
+        words = np.concatenate((kind_a * n_a + self.a_ids, 3 * n_a + kind_b * n_b + self.b_ids))
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        found = iter("".join(map(own.words.__getitem__, words[order].tolist())).split("\n")[1:])
         return [next(found) if ok else "" for ok in self.valid.tolist()]
 
+    def slices(self):
+        """The same in ranges of SLICE segments, each laid out from 0."""
+        for i in range(0, len(self.ends), SLICE):
+            begin, ends = self.ends[i - 1] if i else 0, self.ends[i : i + SLICE]
+            out = Segments.__new__(Segments)
+            out.valid, out.ends = self.valid[i : i + SLICE], ends - begin
+            for side in "ab":
+                where = getattr(self, f"{side}_ends")
+                a, b = np.searchsorted(where, (begin, ends[-1]), "right")
+                setattr(out, f"{side}_ids", getattr(self, f"{side}_ids")[a:b])
+                setattr(out, f"{side}_ends", where[a:b] - begin)
+            yield i, out
+
 
 def _chunks(parts: list[str]):
     """Ranges of parts that are encoded together. A part that ends in white space would not be cut off again where it is
@@ -241,9 +256,12 @@ def _code_batches(batches, byte_level: str, pieces: str, schema: pa.Schema):
         found = [x if coded.valid[x].all() else x[:0] for x in found]
         sequence = np.concatenate(found)
         often = np.bincount(sequence, minlength=len(coded.valid))
-        keys, many = coded.links()
-        keys, at = np.unique(keys, return_inverse=True)
-        counts = np.bincount(at, np.repeat(often, many), len(keys)).astype(np.int64)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for begin, part in coded.slices():
+            more, many = part.links()
+            keys, at = np.unique(np.concatenate((keys, more)), return_inverse=True)
+            counts = np.concatenate((counts, np.repeat(often[begin : begin + SLICE], many)))
+            counts = np.bincount(at, counts, len(keys)).astype(np.int64)
         sizes = np.diff(coded.ends, prepend=0)
         narrow = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (np.array(list(map(len, found))), sequence, coded.a_ids, coded.b_ids, sizes)]
         values = [[TaskContext.get().partitionId() << 33 | i], [table.column("doc_id").to_pylist()], [pack(*narrow)], [keys], [counts]]
@@ -260,20 +278,24 @@ def _describe(answers: pa.Table, rows: pa.Table, byte_level: str, pieces: str, s
     found = Segments.stored(own, *coded)
     keys = answers.column("pair").to_numpy()
     order = np.argsort(keys)
-    links, many = found.links()
-    asked = order[np.searchsorted(keys, links, sorter=order)]
-    ends = np.append(0, np.cumsum(many))
-    summed = lambda name: np.diff(np.concatenate(([0], np.cumsum(answers.column(name).to_numpy()[asked].astype(np.int64))))[ends])
-    table = np.stack((*map(found.per_segment, (found.a_ends, found.b_ends, found.common_ends())), many, summed("best"), summed("count")), axis=1)
-    groups = found.texts()
-    out, texts = np.zeros((len(lengths), len(_COLUMNS)), np.int64), []
-    upto = np.cumsum(lengths.astype(np.int64)).tolist()
-    for i, (a, b) in enumerate(zip([0, *upto], upto, strict=False)):
-        at = sequence[a:b]
-        out[i] = table[at].sum(axis=0)
-        texts.append(";".join(map(groups.__getitem__, at.tolist())))
+    keys, count, best = keys[order], answers.column("count").to_numpy()[order], answers.column("best").to_numpy()[order].astype(np.int64)
+    numbers, groups = [np.zeros((0, len(_COLUMNS)), np.int64)], []
+    for _, part in found.slices():
+        links, many = part.links()
+        asked, ends = np.searchsorted(keys, links), np.append(0, np.cumsum(many))
+        summed = lambda x, asked=asked, ends=ends: np.diff(np.concatenate(([0], np.cumsum(x[asked])))[ends])
+        numbers.append(np.stack((*map(part.per_segment, (part.a_ends, part.b_ends, part.common_ends())), many, summed(best), summed(count)), axis=1))
+        groups += part.texts(own)
+    numbers = np.concatenate(numbers)
     ids = rows.column("doc_ids").combine_chunks().flatten()
-    return pa.Table.from_arrays([ids, *(pa.array(out[:, i]) for i in range(len(_COLUMNS))), pa.array(texts, pa.string())], schema=schema)
+    upto = np.append(0, np.cumsum(lengths.astype(np.int64))).tolist()
+    tables = [schema.empty_table()]
+    for i in range(0, len(lengths), 256):
+        spans_ = list(zip(upto[i : i + 256], upto[i + 1 : i + 257], strict=False))
+        out = np.stack([numbers[sequence[a:b]].sum(axis=0) for a, b in spans_])
+        texts = [";".join(map(groups.__getitem__, sequence[a:b].tolist())) for a, b in spans_]
+        tables.append(pa.Table.from_arrays([ids[i : i + 256], *(pa.array(out[:, j]) for j in range(len(_COLUMNS))), pa.array(texts, pa.string())], schema=schema))
+    return pa.concat_tables(tables)
 
 
 def alignments(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
