@@ -41,15 +41,18 @@ def unwritten(*tables: DataFrame) -> None:
         place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
-def group_kmeans(points: DataFrame, group: str, key: str, x: str = "x", y: str = "y", max_iter: int = 20) -> DataFrame:
+def group_kmeans(points: DataFrame, group: str, key: str, x: str = "x", y: str = "y", max_iter: int = 20, k_of: DataFrame | None = None) -> DataFrame:
     """(key, group, cluster) for k-means within each group, all groups in one job per iteration.
 
-    k is one for each ROWS_PER_CLUSTER rows, 1 to MAX_K. Starts are spread over each group's x order, so results do not
+    k is one for each ROWS_PER_CLUSTER rows, or the k of k_of (group, k), from 1 to MAX_K. Starts are spread over each group's x order, so results do not
     depend on chance; clusters are numbered by their centre. Only counts of changed centres reach the driver.
     """
     rows = written(points.select(key, group, F.col(x).alias("x"), F.col(y).alias("y")).dropna())
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.percentile("x", F.array(*(F.lit((2 * i + 1) / (2 * MAX_K)) for i in range(MAX_K)))).alias("q"), F.avg("y").alias("my"))
-    k = F.least(F.lit(MAX_K), F.greatest(F.lit(1), F.floor(F.col("n") / ROWS_PER_CLUSTER))).cast("int")
+    wanted = F.floor(F.col("n") / ROWS_PER_CLUSTER)
+    if k_of is not None:
+        sizes, wanted = sizes.join(k_of.select(group, F.col("k").alias("_k")), group), F.col("_k")
+    k = F.least(F.lit(MAX_K), F.greatest(F.lit(1), wanted)).cast("int")
     starts = sizes.select(group, "my", "q", k.alias("k")).select(group, "my", "q", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
     centres = starts.select(group, "c", F.element_at("q", (F.floor((F.col("c") * 2 + 1) * MAX_K / (2 * F.col("k"))) + 1).cast("int")).alias("cx"), F.col("my").alias("cy"))
     centres = written(centres)
@@ -96,19 +99,31 @@ def correspondence_scores(rows: DataFrame, key: str, columns: list[str]) -> Data
     return long.join(F.broadcast(scores), "cat").groupBy(key).agg((F.avg("v") / float(np.sqrt(max(np.sqrt(max(values[-1], 0)), 1e-12)))).alias("indice"), F.count("*").alias("declaradas"))
 
 
-def stability(points: DataFrame, group: str, key: str, labels: DataFrame, reps: int = 20, share: float = 0.8) -> DataFrame:
-    """How well clusters hold up when some points are left out (C2): (group, ari_mediano, ari_p10, inestable).
+def stability(points: DataFrame, group: str, key: str, labels: DataFrame, reps: int = 20, share: float = 0.8, least: float = 0.7) -> DataFrame:
+    """How well the clusters of each group hold up when points are left out (C2): (group, puntos, subzonas, ari_mediano, ari_p10,
+    inestable); groups with one cluster are left out.
 
-    labels: (key, group, cluster) of all points. Each replicate keeps the points whose hash with its number is under share;
-    all replicates of all groups are clustered in one job, and compared with the labels by the adjusted Rand index.
+    points: key, group, x, y; labels: (key, cluster) of points, those without one don't count. Each replicate clusters the
+    points whose hash with its number is under share, with as many clusters as the labels have, then puts *all* points to
+    their nearest centre and compares with the labels by the adjusted Rand index. All replicates of all groups are clustered in
+    one job per iteration.
     """
-    kept = points.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).filter(F.pmod(F.xxhash64("_rep", key), F.lit(1000)) < int(1000 * share))
-    kept = kept.withColumns({"_group": F.concat_ws("|", F.col("_rep").cast("string"), group), "_key": F.concat_ws("|", F.col("_rep").cast("string"), F.col(key).cast("string"))})
-    again = group_kmeans(kept, "_group", "_key").join(kept.select("_key", "_rep", group, key), "_key").select("_rep", group, key, F.col("cluster").alias("_new"))
-    both = again.join(labels.select(key, "cluster"), key)
-    per = rand_index(both, "cluster", "_new", "_rep", group)
+    rows = written(points.select(group, F.col(key).alias("_point"), "x", "y").join(labels.select(F.col(key).alias("_point"), F.col("cluster").alias("_label")), "_point").filter("_label is not null"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("puntos"), F.count_distinct("_label").alias("k")).filter("k > 1")
+    rows = rows.join(sizes.select(group, "k"), group)
+    of = F.concat_ws("|", F.col("_rep").cast("string"), group)
+    some = rows.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).filter(F.pmod(F.xxhash64("_rep", "_point"), F.lit(1000)) < int(1000 * share))
+    some = written(some.withColumns({"_group": of, "_key": F.concat_ws("|", F.col("_rep").cast("string"), F.col("_point").cast("string"))}))
+    found = group_kmeans(some, "_group", "_key", k_of=some.groupBy("_group").agg(F.first("k").alias("k")))
+    found = found.join(some.select("_key", "_rep", group, "x", "y"), "_key")
+    centres = found.groupBy("_rep", group, F.col("cluster").alias("c")).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    centres = written(centres.groupBy("_rep", group).agg(F.collect_list(F.struct("c", "cx", "cy")).alias("all")))  # MAX_K at most
+    near = F.array_min(F.transform("all", lambda a: F.struct((F.pow(F.col("x") - a["cx"], 2) + F.pow(F.col("y") - a["cy"], 2)).alias("d"), a["c"].alias("c"))))
+    again = rows.join(centres, group).select("_rep", group, "_label", near["c"].alias("_new"))
+    per = rand_index(again, "_label", "_new", "_rep", group)
     out = per.groupBy(group).agg(F.median("ari").alias("ari_mediano"), F.percentile("ari", F.lit(0.1)).alias("ari_p10"))
-    return out.withColumn("inestable", F.col("ari_mediano") < 0.7)
+    out = out.join(sizes.select(group, "puntos", F.col("k").alias("subzonas")), group)
+    return out.select(group, "puntos", "subzonas", "ari_mediano", "ari_p10", (F.col("ari_mediano") < least).alias("inestable"))
 
 
 def rand_index(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
@@ -143,15 +158,17 @@ def imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def named_segments(centres: DataFrame, label: str, rooms: str, equipment: str) -> DataFrame:
-    """(label, segmento): four clusters by what stands out of their centres (C9): most rooms, then most equipment, then fewest
-    rooms of those left, then the rest. Raises if they are not four."""
+    """(label, segmento): four clusters by what stands out of their centres (C9): the one with most rooms, with most equipment
+    and with fewest rooms, each chosen among all four, and the rest. Raises if they are not four, or if one would get two
+    names: then the rule does not tell them apart."""
     found = centres.select(label, rooms, equipment).collect()  # four rows
     if len(found) != 4:
         raise ValueError("four clusters are needed")
-    left, names = {r[label]: r for r in found}, []
+    names: dict[int, str] = {}
     for name, pick in (("familiares", lambda r: -r[rooms]), ("equipados", lambda r: -r[equipment]), ("chicos", lambda r: r[rooms])):
-        best = min(left.values(), key=lambda r: (pick(r), r[label]))
-        names.append((best[label], name))
-        del left[best[label]]
-    names += [(k, "intermedios") for k in left]
-    return centres.sparkSession.createDataFrame(names, f"{label} int, segmento string")
+        best = min(found, key=lambda r: (pick(r), r[label]))[label]
+        if best in names:
+            raise ValueError(f"cluster {best} would be both {names[best]} and {name}: the naming rule is ambiguous")
+        names[best] = name
+    names |= {r[label]: "intermedios" for r in found if r[label] not in names}
+    return centres.sparkSession.createDataFrame(list(names.items()), f"{label} int, segmento string")

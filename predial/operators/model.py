@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from predial.functions.numeric import fold_of
+from predial.operators.cluster import written
 from predial.operators.stats import group_quantiles
 
 K = 5
@@ -122,26 +124,97 @@ def zone_of(rows: DataFrame, choice: DataFrame, fold: str, barrio: str, subzona:
     return out.withColumn("zona", F.when(F.coalesce(use, F.lit(False)), F.col(subzona)).otherwise(F.col(barrio))).drop("usa_subzona", "_n")
 
 
-def leak_free(rows: DataFrame, y: str, xs: list[str], barrio: str, subzona: str, unit: str, fold: str, excluded: list[str] | None = None, k: int = K) -> tuple[DataFrame, dict[int, np.ndarray], DataFrame]:
-    """rows with zona and prediccion, coefficients by fold and zone means, where nothing of a fold is known to its model
-    (LM5, LM6): for each fold, zones are chosen on its training rows, outliers of those (on the scale of y, by zone) are left
-    out of the fit. excluded: neighbourhoods that never use subzones. y: logarithms; rows: also the value itself, as exp(y).
+@dataclass
+class Fit:
+    """Linear models of all folds. rows: all rows with zona, what their fold's training rows tell of it, and prediccion; train:
+    (fold, features) for each fold that learns from a row; xs: the features, those made within folds too."""
+
+    rows: DataFrame
+    train: DataFrame
+    xs: list[str]
+    betas: dict[int, np.ndarray]
+    means: DataFrame
+
+
+def leak_free_fit(
+    rows: DataFrame, y: str, xs: list[str], barrio: str, subzona: str, unit: str, fold: str, excluded: DataFrame | None = None, expenses: str | None = None,
+    more: tuple[str, ...] = (), k: int = K, least: int = 10,
+) -> Fit:
+    """Linear models where nothing of a fold is known to its own (LM5, LM6): for each fold, zones are chosen on its training
+    rows, and outliers of those (y by zone, 1.5 interquartile ranges) are left out of the fit.
+
+    y: logarithms. excluded: neighbourhoods (a column named as barrio) that never use subzones. expenses: a column of
+    logarithms, which counts as the difference from its zone's training median, 0 where it is unknown, with a mark
+    (gasto_rel, gasto_falta; LM8). rows also get zona_log_mediana, the logarithm of the zone's median training value (null for
+    a zone without training rows), and log_mediana, that or the city's (LM7). more: further columns that train keeps.
     """
     value = rows.withColumn("_value", F.exp(y))
-    choice = zone_choice(value, "_value", fold, barrio, subzona, unit, k)
-    if excluded:
-        choice = choice.withColumn("usa_subzona", F.col("usa_subzona") & ~F.col(barrio).isin(excluded))
-    long = training_rows(rows.select(*xs, y, barrio, subzona, fold).dropna(subset=[*xs, y]), fold, k).drop(fold).withColumnRenamed("para", fold)
-    counts = long.filter(F.col(subzona).isNotNull()).groupBy(fold, subzona).agg(F.count("*").alias("n"))
-    long = zone_of(long, choice, fold, barrio, subzona, counts)
+    choice = zone_choice(value, "_value", fold, barrio, subzona, unit, k, least)
+    if excluded is not None:
+        names = excluded.select(barrio).distinct().withColumn("_never", F.lit(True))
+        choice = choice.join(names, barrio, "left").withColumn("usa_subzona", F.col("usa_subzona") & F.col("_never").isNull()).drop("_never")
+    choice = written(choice)
+    kept = dict.fromkeys([*xs, *more, y, barrio, subzona, fold, *([expenses] if expenses else [])])
+    long = training_rows(rows.select(*kept).dropna(subset=[*xs, y]), fold, k).drop(fold).withColumnRenamed("para", fold)
+    counts = written(long.filter(F.col(subzona).isNotNull()).groupBy(fold, subzona).agg(F.count("*").alias("n")))
+    long = zone_of(long, choice, fold, barrio, subzona, counts, least)
     q = F.percentile(y, F.array(F.lit(0.25), F.lit(0.75)))
     limits = long.groupBy(fold, "zona").agg(q.alias("_q"), F.count(y).alias("_m"))
     span = F.col("_q")[1] - F.col("_q")[0]
-    inside = F.col(y).between(F.col("_q")[0] - 1.5 * span, F.col("_q")[1] + 1.5 * span) | (F.col("_m") < 10)
-    long = long.join(limits, [fold, "zona"]).filter(inside).drop("_q", "_m")
-    betas, means = _solved(gram(long, y, xs, fold, "zona"), xs, y, fold, "zona")
-    placed = zone_of(rows, choice, fold, barrio, subzona, counts)
-    return predict_within(placed, y, xs, "zona", fold, betas, means), betas, means
+    inside = F.col(y).between(F.col("_q")[0] - 1.5 * span, F.col("_q")[1] + 1.5 * span) | (F.col("_m") < least)
+    train = written(long.join(limits, [fold, "zona"]).filter(inside).drop("_q", "_m"))
+    told = [F.log(F.median(F.exp(y))).alias("zona_log_mediana"), *([F.median(expenses).alias("_g")] if expenses else [])]
+    zones = written(train.groupBy(fold, "zona").agg(*told))
+    city = group_quantiles(train.withColumn("_value", F.exp(y)), "_value", [fold], [0.5]).select(fold, F.log(F.col("q")[0]).alias("_c"))
+    city = written(city)
+
+    def placed(some: DataFrame) -> DataFrame:
+        out = some.join(zones, [fold, "zona"], "left").join(F.broadcast(city), fold, "left").withColumn("log_mediana", F.coalesce("zona_log_mediana", "_c")).drop("_c")
+        if expenses is None:
+            return out
+        return out.withColumns({"gasto_rel": F.coalesce(F.col(expenses) - F.col("_g"), F.lit(0.0)), "gasto_falta": F.col(expenses).isNull().cast("double")}).drop("_g")
+
+    names = [*xs, *(("gasto_rel", "gasto_falta") if expenses else ())]
+    train = placed(train)
+    betas, means = _solved(gram(train, y, names, fold, "zona"), names, y, fold, "zona")
+    out = predict_within(placed(zone_of(rows, choice, fold, barrio, subzona, counts, least)), y, names, "zona", fold, betas, means)
+    return Fit(out, train, names, betas, means)
+
+
+def leak_free(rows: DataFrame, y: str, xs: list[str], barrio: str, subzona: str, unit: str, fold: str, excluded: DataFrame | None = None, k: int = K) -> tuple[DataFrame, dict[int, np.ndarray], DataFrame]:
+    """rows with zona and prediccion, coefficients by fold and zone means of leak_free_fit()."""
+    fit = leak_free_fit(rows, y, xs, barrio, subzona, unit, fold, excluded, k=k)
+    return fit.rows.drop("zona_log_mediana", "log_mediana"), fit.betas, fit.means
+
+
+def premiums(betas: dict[int, np.ndarray], xs: list[str], prefix: str) -> dict[str, float]:
+    """The mean coefficient over folds of each x whose name begins with prefix, by the rest of the name (R2)."""
+    return {x[len(prefix) :]: float(np.mean([b[i] for b in betas.values()])) for i, x in enumerate(xs) if x.startswith(prefix)}
+
+
+def check_explanation(contributions: DataFrame, predictions: DataFrame, key: str, prediction: str, tolerance: float = 1e-8) -> None:
+    """Raise if the contributions of a key don't add up to its prediction."""
+    sums = contributions.groupBy(key).agg(F.sum("aporte").alias("_s"))
+    off = sums.join(predictions.select(key, prediction), key).agg(F.max(F.abs(F.col("_s") - F.col(prediction))).alias("d")).first().d
+    if off is not None and off > tolerance:
+        raise RuntimeError(f"an explanation is {off} off its prediction")
+
+
+def explanation_table(contributions: DataFrame, key: str, n: int = 3) -> DataFrame:
+    """One row per key (W14): the reference and expected value, the n variables that raise it most and the n that lower it most
+    with their effects in percent, and the effect of the rest; reference x (1 + effects) = expected value.
+
+    contributions: key, variable, aporte, with the variable base; a key has as many rows as there are variables.
+    """
+    pair = F.struct(F.col("aporte").alias("aporte"), F.col("variable").alias("variable"))
+    per = contributions.groupBy(key).agg(F.max(F.when(F.col("variable") == "base", F.col("aporte"))).alias("_base"), F.array_sort(F.collect_list(F.when(F.col("variable") != "base", pair))).alias("_p"))
+    up = F.slice(F.reverse(F.filter("_p", lambda x: x["aporte"] > 0)), 1, n)
+    down = F.slice(F.filter("_p", lambda x: x["aporte"] < 0), 1, n)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x["aporte"])
+    percent = lambda x: 100 * (F.exp(x) - 1)
+    per = per.withColumns({"_up": up, "_down": down})
+    shown = [c for side, a in (("sube", "_up"), ("baja", "_down")) for i in range(n) for c in (F.get(F.col(a), F.lit(i))["variable"].alias(f"{side}_{i + 1}"), percent(F.get(F.col(a), F.lit(i))["aporte"]).alias(f"{side}_{i + 1}_pct"))]
+    return per.select(key, F.exp("_base").alias("precio_m2_referencia_zona"), F.exp(F.col("_base") + total(F.col("_p"))).alias("precio_m2_esperado"), *shown, percent(total(F.col("_p")) - total(F.col("_up")) - total(F.col("_down"))).alias("resto_pct"))
 
 
 def fold_relative(rows: DataFrame, value: str, zone: str, fold: str, name: str, k: int = K) -> DataFrame:

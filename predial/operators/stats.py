@@ -129,12 +129,15 @@ def unit_contrast(rows: DataFrame, value: str, flag: Column, unit: str) -> DataF
     return units.filter("n = 1").groupBy("marca").agg(F.median("v").alias("mediana"), F.count("*").alias("unidades"))
 
 
-def group_thresholds(rows: DataFrame, gap: str, group: str, times: float, least: int) -> DataFrame:
-    """rows with umbral: times the median absolute gap of the group, or of all rows for small groups."""
-    city = exact_quantiles(rows.select(F.abs(gap).alias("_g")), "_g", [0.5]).select((times * F.col("q")[0]).alias("_city"))
-    per = rows.groupBy(group).agg((times * F.median(F.abs(gap))).alias("_own"), F.count(gap).alias("_n"))
-    out = rows.join(per, group, "left").crossJoin(F.broadcast(city))
-    return out.withColumn("umbral", F.when(F.col("_n") >= least, F.col("_own")).otherwise(F.col("_city"))).drop("_own", "_n", "_city")
+def group_thresholds(rows: DataFrame, gap: str, group: str, times: float | None, least: int, threshold: float | None = None) -> DataFrame:
+    """rows with umbral: times the median absolute gap of the group, or of all rows for small groups (W10). With a threshold
+    (a gap, under 0) and times None, times is how often the median of all rows goes into it, and the column veces tells it."""
+    middle = exact_quantiles(rows.select(F.abs(gap).alias("_g")), "_g", [0.5]).select(F.col("q")[0].alias("_all"))
+    factor = F.lit(times) if threshold is None else F.lit(-threshold) / F.col("_all")
+    per = rows.groupBy(group).agg(F.median(F.abs(gap)).alias("_own"), F.count(gap).alias("_n"))
+    out = rows.join(per, group, "left").crossJoin(F.broadcast(middle))
+    out = out.withColumn("umbral", factor * F.when(F.col("_n") >= least, F.col("_own")).otherwise(F.col("_all")))
+    return (out if threshold is None else out.withColumn("veces", factor)).drop("_own", "_n", "_all")
 
 
 def funnel(rows: DataFrame, steps: list[tuple[str, Column]], unit: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from predial.functions import numeric, text
-from predial.operators import clean, cluster, inference, learn, model, profile, rule, spatial, stats
+from predial.operators import boost, clean, cluster, inference, learn, model, profile, rule, spatial, stats
 from predial.operators.clean import truth
 from predial.plans.listing_queries import _FOLD, _TWO_SIDED, _UNIT, _WILCOX, r6, squares, stations, surveys, with_unit
 from predial.plans.survey_queries import _OOF2, terciles, two_errors
@@ -70,75 +70,206 @@ def fold_expenses(spark, sf):
 # --- the analysis ----------------------------------------------------------------------------------------------------
 
 
-def analysis(spark, sf, xs: list[str] | None = None, excluded: list[str] | None = None) -> dict[str, DataFrame]:
-    """The whole analysis of listings (LM18): doubtful places to null, expected prices without leaks, gaps and limits, flags of
-    two models, signs of wrong entries, cost rule, units, funnel and explanations, as tables by name."""
-    xs = xs or FEATURES
+STATES = [f"f_estado_{n}" for n, _ in text.STATES]
+#: The official model: features of the flat and what its title says (P12); expenses are added within folds.
+OFFICIAL = [*FEATURES, *STATES, "f_inquilino", "f_titulo_casa", "f_titulo_tipo_casa"]
+VARIABLES = GROUPS | {x: "estado_titulo" for x in STATES} | {"gasto_rel": "expensas", "gasto_falta": "expensas"}
+LOCATION = ["lat", "lon", "barrio", "zona_log_mediana"]
+THRESHOLD = -0.25
+
+
+def analysis_rows(spark, sf, *more: str) -> DataFrame:
+    """Ads in scope, once each, without doubtful places, with features, fold and unit; written, as all steps read them again."""
     rows = clean.deduplicate(with_unit(spark, sf), "id_aviso", F.col("barrio_oficial"), "link").filter("kept")
     size, origin = clean.surface_choice(F.col("m2_final"), F.col("superficie_total"))
     rows = rows.withColumns({"m2_final": size, "m2_origen": origin})
     reason = clean.exclusion_reason(F.col("precio_usd"), F.col("moneda"), F.col("m2_final"), F.col("titulo"), F.col("en_construccion"))
     rows = clean.without_doubtful_geocodes(rows.filter(reason.isNull()), F.col("suppkey") % 11 == 0)
     rows = clean.extended_features(clean.incoherences(rows)).withColumns({"vuelta": numeric.fold_of(F.col("unidad")), "y": F.log(F.col("precio_usd") / F.col("m2_final"))})
-    kept = ["id_aviso", "link", "barrio", "subzona", "unidad", "vuelta", "y", "precio_usd", "m2_final", "precio_m2_usd", "titulo", "ambientes", "dormitorios", "antiguedad", "expensas_usd", "lat", "m2_origen", "incoherencia_ambientes", "incoherencia_piso", *xs]
-    rows = cluster.written(rows.select(*dict.fromkeys(kept)))
-    out, betas, means = model.leak_free(rows, "y", xs, "barrio", "subzona", "unidad", "vuelta", excluded)
-    out = model.zone_medians(out.withColumn("_v", F.exp("y")), "_v", "zona", "vuelta").withColumnRenamed("esperado", "mediana_zona").drop("_v")
-    out = cluster.written(out.withColumn("residuo", F.col("y") - F.col("prediccion")))
-    limits = stats.conformal_limits(out, "residuo", "barrio", "vuelta")
-    out = out.join(limits, ["vuelta", "barrio"], "left")
+    rows = rows.withColumns({"gasto": F.log(F.col("expensas_usd") / F.col("m2_final")), "precio_m2_usd": F.col("precio_usd") / F.col("m2_final")})
+    kept = ["id_aviso", "link", "barrio", "subzona", "unidad", "vuelta", "y", "gasto", "precio_usd", "m2_final", "precio_m2_usd", "titulo", "ambientes", "dormitorios", "antiguedad", "piso", "expensas_usd", "disposicion", "cocheras", "lat", "lon"]
+    return cluster.written(rows.select(*dict.fromkeys([*kept, "m2_origen", "incoherencia_ambientes", "incoherencia_piso", *YES_NO, *OFFICIAL, *more])))
+
+
+def unstable_places(rows: DataFrame, reps: int = 100, least: float = 0.7) -> DataFrame:
+    """(barrio, ari_mediano, ...) of neighbourhoods whose subzones don't hold up."""
+    points = rows.filter("subzona is not null and lat is not null").groupBy("barrio", "subzona", "lat", "lon").agg(F.count("*").alias("n"))
+    points = points.withColumn("punto", F.concat_ws("|", "barrio", "subzona", F.col("lat").cast("string"), F.col("lon").cast("string")))
+    points = cluster.written(points.withColumns({"x": F.col("lat"), "y": F.col("lon")}))
+    return cluster.stability(points, "barrio", "punto", points.withColumn("cluster", F.col("subzona")), reps, least=least).filter("inestable")
+
+
+def fitted(rows: DataFrame, xs: list[str] | None = None, excluded: DataFrame | None = None) -> model.Fit:
+    """The official model's fits (LM5, LM6, LM8)."""
+    return model.leak_free_fit(rows, "y", xs or OFFICIAL, "barrio", "subzona", "unidad", "vuelta", excluded, "gasto", ("lat", "lon"))
+
+
+def boosted(fit: model.Fit, rounds: int = 600) -> boost.Boosted:
+    """The other model (LM10): trees over the official model's columns and the place, on the same training rows of each fold."""
+    return boost.fit(fit.train, "y", [*fit.xs, *LOCATION], "vuelta", fit.rows, ("barrio",), rounds)
+
+
+def followed(spark, sf) -> DataFrame:
+    """Ads of the first survey with whether they left by the second (J5), rooms and unit."""
+    first, second = surveys(spark, sf)
+    state = clean.snapshot_diff(first, second).select("id_aviso", "clave_unidad", (F.col("estado") == "salio").alias("salio"))
+    rooms = listings(spark, sf).filter("orderkey % 2 = 1").select(
+        F.concat(F.lit("A"), F.col("partkey").cast("string"), F.lit("-"), (F.floor(F.col("orderkey") / 4) % 50).cast("string")).alias("id_aviso"),
+        F.coalesce("ambientes", F.col("dormitorios") + 1).alias("ambientes"), "link",
+    )
+    rooms = clean.keep_one(rooms, ["id_aviso"], [F.col("link")]).drop("link")
+    return state.join(rooms, "id_aviso").join(first.select("id_aviso", F.log("precio_usd").alias("lp")), "id_aviso")
+
+
+def valued(spark, sf, rows: DataFrame, fit: model.Fit, other: DataFrame | None, threshold: float = THRESHOLD) -> DataFrame:
+    """Ads with expected prices, limits, gaps and flags (LM12, LM19, W10); other: (id_aviso, otro), the other model's predictions."""
+    out = fit.rows.withColumn("residuo", F.col("y") - F.col("prediccion"))
+    out = out.join(other, "id_aviso", "left") if other is not None else out.withColumn("otro", F.lit(None).cast("double"))
+    out = cluster.written(out)
+    out = out.join(stats.conformal_limits(out, "residuo", "barrio", "vuelta"), ["vuelta", "barrio"], "left")
     expected = F.exp("prediccion")
     out = out.withColumns({
-        "precio_m2_esperado": expected, "esperado_inf": expected * F.exp("limite_inf"), "esperado_sup": expected * F.exp("limite_sup"), "brecha": F.exp(F.col("y") - F.col("prediccion")) - 1,
-        "brecha_otro": F.exp("y") / F.col("mediana_zona") - 1, "debajo_del_intervalo": truth(F.col("residuo") < F.col("limite_inf")),
-    }).withColumns({"marcado": F.col("brecha") < -0.25, "marcado_otro": F.col("brecha_otro") < -0.25})
+        "precio_m2_esperado": expected, "precio_m2_mediana_zona": F.exp("log_mediana"), "esperado_inf": expected * F.exp("limite_inf"), "esperado_sup": expected * F.exp("limite_sup"),
+        "brecha": F.exp(F.col("y") - F.col("prediccion")) - 1, "brecha_otro": F.exp(F.col("y") - F.col("otro")) - 1, "debajo_del_intervalo": truth(F.col("residuo") < F.col("limite_inf")),
+    }).withColumns({"marcado": truth(F.col("brecha") < threshold), "marcado_otro": truth(F.col("brecha_otro") < threshold)})
     out = out.withColumn("consenso", F.col("marcado") & F.col("marcado_otro"))
-    out = stats.group_thresholds(cluster.written(out), "brecha", "barrio", 1.5, 50)
+    out = stats.group_thresholds(cluster.written(out), "brecha", "barrio", None, 50, threshold)
+    return out.withColumn("marcado_barrio", F.col("marcado") & truth(F.col("brecha") < -F.col("umbral")))
+
+
+def decided(spark, sf, out: DataFrame, fit: model.Fit, which: rule.Scenario = rule.BASE) -> DataFrame:
+    """valued() ads with signs of wrong entries, title, premium, costs and decision."""
     edges = stats.exact_quantiles(out.select(clean.m2_per_room().alias("_v")), "_v", [0.01, 0.99])
     out = clean.entry_errors(out.crossJoin(F.broadcast(edges)), (F.col("q")[0], F.col("q")[1])).drop("q")
+    out = out.withColumn("cumple_regla", F.col("marcado_barrio") & ~F.col("senal_error_carga"))
     out = out.withColumn("estado_titulo", text.first_rule(F.col("titulo"), text.STATES, "sin_marca"))
-    out = rule.net_gap(out.join(F.broadcast(rule.scenarios(spark, [rule.BASE])), "estado_titulo"), "precio_m2_esperado", F.lit(-0.1))
-    discard = text.risk_labels(F.col("titulo"), True) != ""
-    follows = F.col("marcado") & (F.col("brecha") < -F.col("umbral")) & ~F.col("senal_error_carga")
-    level, why = rule.level(follows, F.col("brecha_neta"), discard)
-    out = out.withColumns({"cumple_regla": follows, "nivel_decision": level, "motivo_decision": why, "riesgo_descartar": text.risk_labels(F.col("titulo"), True), "riesgo_revisar": text.risk_labels(F.col("titulo"), False)})
-    prices = cluster.written(out)
-    steps = [("analizados", F.lit(True)), ("marcado", F.col("marcado")), ("consenso", F.col("consenso")), ("marcado_barrio", F.col("brecha") < -F.col("umbral")), ("sin_error_carga", ~F.col("senal_error_carga")), ("candidato", F.col("nivel_decision") == "candidato")]
-    step = reduce(lambda a, b: a + b, (F.col(c).cast("int") for c in ("marcado", "consenso", "cumple_regla")))
-    units = stats.roll_up(prices.withColumn("paso", step), "unidad", "paso", "precio_usd", "brecha", "id_aviso", {"marcado": F.col("marcado"), "candidato": F.col("nivel_decision") == "candidato"})
+    out = out.withColumn("prima_estado", rule.premium_of(F.col("estado_titulo"), model.premiums(fit.betas, fit.xs, "f_estado_")))
+    out = rule.net_gap(out.join(F.broadcast(rule.scenarios(spark, [which])), "estado_titulo"), "precio_m2_esperado", F.col("prima_estado"))
+    out = out.withColumns({"riesgo_descartar": text.risk_labels(F.col("titulo"), True), "riesgo_revisar": text.risk_labels(F.col("titulo"), False)})
+    candidate, level, why = rule.decision(F.col("cumple_regla"), F.col("brecha_neta"), F.col("riesgo_descartar"))
+    out = out.withColumns({"candidato": candidate, "nivel_decision": level, "motivo_decision": why})
+    middle = Window.partitionBy("zona")
+    relative = F.col("gasto") - F.median("gasto").over(middle)
+    complete = clean.completeness([*YES_NO, "antiguedad", "cocheras", "piso", "disposicion", "expensas_usd"])
+    out = out.withColumns({"tasa_completitud": complete, "expensas_usd_m2": F.col("expensas_usd") / F.col("m2_final"), "expensas_rel_zona": relative})
+    rates = rule.exit_rates(followed(spark, sf), F.col("ambientes"), "salio")
+    rooms = rule.room_group(F.coalesce("ambientes", F.col("dormitorios") + 1))
+    out = out.withColumn("grupo_ambientes", rooms).join(F.broadcast(rates), "grupo_ambientes", "left")  # five rows
+    floor = clean.effective_floor(out, "unidad", "piso", "_piso")
+    return floor.withColumn("unidad", F.concat_ws("|", "unidad", F.coalesce(F.col("_piso").cast("string"), F.lit("")))).drop("_piso")
+
+
+PASSED = ("marcado", "marcado_barrio", "cumple_regla", "candidato")
+
+
+def analysis(spark, sf, xs: list[str] | None = None, compare: bool = True, rounds: int = 600) -> dict[str, DataFrame]:
+    """The whole analysis of listings (LM18), as tables by name: doubtful places to null; neighbourhoods with unstable subzones
+    compared as a whole; expected prices by the official model and boosted trees, without leaks; limits, gaps and flags; signs
+    of wrong entries; the cost rule with each state's premium from the folds' coefficients; units by floor, funnel, official
+    list and explanations of flagged ads, which are checked against the predictions. Without compare there is no other model,
+    and nothing is flagged by it."""
+    rows = analysis_rows(spark, sf)
+    fit = fitted(rows, xs, cluster.written(unstable_places(rows)))
+    fit.rows = cluster.written(fit.rows)
+    other = boosted(fit, rounds).predict(fit.rows.select("id_aviso", "vuelta", *fit.xs, *LOCATION), "vuelta", "otro").select("id_aviso", "otro") if compare else None
+    prices = cluster.written(decided(spark, sf, valued(spark, sf, rows, fit, other), fit))
+    steps = [("analizados", F.lit(True)), *((c, F.col(c)) for c in PASSED)]
+    step = reduce(lambda a, b: a + b, (F.col(c).cast("int") for c in PASSED))
+    units = stats.roll_up(prices.withColumn("paso", step), "unidad", "paso", "precio_usd", "brecha", "id_aviso", {c: F.col(c) for c in PASSED}).filter("marcado")
+    flagged = fit.rows.join(prices.filter("marcado").select("id_aviso"), "id_aviso", "left_semi")
+    told = cluster.written(model.explanation(flagged, "id_aviso", "y", {x: VARIABLES.get(x, x) for x in fit.xs}, "zona", "vuelta", fit.betas, fit.means))
+    model.check_explanation(told, flagged, "id_aviso", "prediccion")
     return {
-        "precios": prices, "embudo": stats.funnel(prices, steps, "unidad"), "unidades": units,
-        "explicacion": model.explanation(rows.join(prices.select("id_aviso", "zona"), "id_aviso"), "id_aviso", "y", {x: GROUPS.get(x, x) for x in xs}, "zona", "vuelta", betas, means),
-        "oficial": profile.official(units.filter("candidato").select("unidad", "representante", "avisos", "brecha_min", "brecha_max"), "brecha_min", "unidad", ["brecha_min", "brecha_max"]),
+        "precios": prices, "embudo": stats.funnel(prices, steps, "unidad"), "unidades": units, "explicacion": told, "fichas": model.explanation_table(told, "id_aviso"),
+        "oficial": profile.official(units.filter("cumple_regla").select("unidad", "representante", "avisos", "brecha_min", "brecha_max", "candidato"), "brecha_min", "unidad", ["brecha_min", "brecha_max"]),
     }
 
 
+PRICE_COLUMNS = [
+    "id_aviso", "unidad", "barrio", "zona", "vuelta", "precio_usd", "m2_final", "precio_m2_usd", "precio_m2_esperado", "esperado_inf", "esperado_sup", "precio_m2_mediana_zona", "brecha", "brecha_otro", "debajo_del_intervalo",
+    "marcado", "marcado_otro", "consenso", "umbral", "veces", "marcado_barrio", "senal_m2_por_ambiente", "senal_superficie_recuperada", "senal_dormitorios", "senal_piso", "senal_alquiler", "senal_error_carga", "cumple_regla",
+    "estado_titulo", "tasa_completitud", "expensas_usd_m2", "expensas_rel_zona", "prima_estado", "nivel", "costo_entrada", "costo_refaccion", "costo_total", "valor_salida", "venta_cierre", "costo_salida", "impuesto", "resultado", "brecha_neta",
+    "riesgo_descartar", "riesgo_revisar", "candidato", "nivel_decision", "motivo_decision", "tasa_salida",
+]
+
+
 @query()
 def full_analysis(spark, sf):
-    """Every ad with expected price, limits, gap, flags, signs and decision (LM18, LM5, LM6, LM19, P14, P15, R4)."""
-    out = analysis(spark, sf)["precios"]
-    return out.select("id_aviso", "unidad", "barrio", "zona", "vuelta", "precio_m2_esperado", "esperado_inf", "esperado_sup", "brecha", "brecha_otro", "debajo_del_intervalo", "marcado", "marcado_otro", "consenso", "umbral", "senal_error_carga", "brecha_neta", "nivel_decision", "motivo_decision", "riesgo_descartar", "riesgo_revisar")
+    """Every ad with expected prices of both models, limits, gap, flags, signs, costs and decision (LM18, LM5, LM6, LM10, LM19, P14,
+    P15, R2-R5)."""
+    return analysis(spark, sf)["precios"].select(*PRICE_COLUMNS)
 
 
 @query()
 def analysis_official(spark, sf):
-    """The official list of the whole analysis (LM18, SNK2)."""
-    return analysis(spark, sf)["oficial"]
+    """The official list of the whole analysis: units with an ad that follows the rule (LM18, SNK2)."""
+    return analysis(spark, sf, compare=False)["oficial"]
+
+
+@query()
+def analysis_funnel(spark, sf):
+    """Ads and units that pass each step of the whole analysis (A12, LM18)."""
+    return analysis(spark, sf, compare=False)["embudo"]
+
+
+@query()
+def analysis_sheets(spark, sf):
+    """For each flagged ad what raises and lowers its expected price most (W14, LM13)."""
+    return analysis(spark, sf, compare=False)["fichas"]
 
 
 @query()
 def analysis_explanations(spark, sf):
     """Mean size of each group's contribution, and how its rank agrees between folds (LM13, LM15)."""
-    found = analysis(spark, sf)
+    found = analysis(spark, sf, compare=False)
     long = found["explicacion"].join(found["precios"].select("id_aviso", "vuelta"), "id_aviso")
     every, stable = model.block_importance(cluster.written(long), "id_aviso", "vuelta")
     return every.crossJoin(F.broadcast(stable.agg(F.min("rho").alias("rho_min"), F.avg("rho").alias("rho_medio"))))
 
 
+def explained(rows: DataFrame, fit: model.Fit, trees: boost.Boosted, n: int, evaluations: int, seed: int) -> DataFrame:
+    """Shares of the boosted trees' predictions by variable, against n training rows of the city (LM14)."""
+    groups: dict[str, list[str]] = {}
+    for x in trees.xs:
+        groups.setdefault("ubicacion" if x in LOCATION else VARIABLES.get(x, x), []).append(x)
+    key = F.concat_ws("|", F.col("zona"), *(F.col(x).cast("string") for x in trees.xs))
+    background = boost.background_of(fit.train, "vuelta", F.concat(F.lit(str(seed)), key), n)
+    return boost.shapley(rows, "id_aviso", "vuelta", trees, groups, background, evaluations, seed)
+
+
+@query()
+def shares_by_trees(spark, sf):
+    """Shares of each variable in the boosted trees' prediction of flagged ads (LM14); with base they add up to it."""
+    fit = fitted(analysis_rows(spark, sf))
+    fit.rows = cluster.written(fit.rows)
+    flagged = fit.rows.filter(F.exp(F.col("y") - F.col("prediccion")) - 1 < THRESHOLD)
+    return explained(flagged, fit, boosted(fit), 50, 300, 42).select("id_aviso", "variable", "aporte")
+
+
+@query()
+def shares_compared(spark, sf):
+    """Quick shares (50 rows behind, 300 evaluations) against precise ones (200, 1,000) for the 40 first flagged ads: their mean
+    relative difference, and how often the same three variables come first (N24)."""
+    fit = fitted(analysis_rows(spark, sf))
+    fit.rows = cluster.written(fit.rows)
+    some = cluster.written(fit.rows.filter(F.exp(F.col("y") - F.col("prediccion")) - 1 < THRESHOLD).orderBy("id_aviso").limit(40))
+    trees = boosted(fit)
+    quick, precise = (cluster.written(explained(some, fit, trees, n, m, seed).filter("variable != 'base'")) for n, m, seed in ((50, 300, 42), (200, 1_000, 1)))
+    return compared_shares(quick, precise)
+
+
+def compared_shares(quick: DataFrame, precise: DataFrame, top: int = 3) -> DataFrame:
+    both = quick.select("id_aviso", "variable", F.col("aporte").alias("q")).join(precise.select("id_aviso", "variable", F.col("aporte").alias("p")), ["id_aviso", "variable"])
+    order = lambda c: F.row_number().over(Window.partitionBy("id_aviso").orderBy(F.desc(F.abs(c)), "variable")) <= top
+    both = both.withColumns({"_q": order("q"), "_p": order("p")})
+    per = both.groupBy("id_aviso").agg(F.avg(F.abs(F.col("q") - F.col("p"))).alias("d"), F.avg(F.abs("p")).alias("m"), F.bool_and(F.col("_q") == F.col("_p")).alias("iguales"))
+    return per.agg((100 * F.sum("d") / F.sum("m")).alias("diferencia_pct"), (100 * F.avg(F.col("iguales").cast("double"))).alias("mismas_tres_pct"), F.count("*").alias("avisos"))
+
+
 @query()
 def interval_coverage(spark, sf):
     """Share of prices inside their limits: in all, and the least of a neighbourhood (N22, LM19)."""
-    out = analysis(spark, sf)["precios"].withColumn("dentro", truth(F.col("residuo").between(F.col("limite_inf"), F.col("limite_sup"))).cast("double"))
+    out = analysis(spark, sf, compare=False)["precios"].withColumn("dentro", truth(F.col("residuo").between(F.col("limite_inf"), F.col("limite_sup"))).cast("double"))
     per = out.groupBy("barrio").agg(F.avg("dentro").alias("d"), F.count("*").alias("n"), F.median(F.col("esperado_sup") / F.col("esperado_inf") - 1).alias("ancho"))
     return per.agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("cobertura"), F.min("d").alias("barrio_minimo"), F.percentile("d", F.lit(0.1)).alias("barrio_p10"), F.median("ancho").alias("ancho_mediano"))
 
@@ -224,15 +355,15 @@ def block_wald(spark, sf):
 
 
 def exits(spark, sf) -> DataFrame:
-    first, second = surveys(spark, sf)
-    state = clean.snapshot_diff(first, second).select("id_aviso", "clave_unidad", (F.col("estado") == "salio").cast("double").alias("salio"))
-    return cluster.written(state.join(first.select("id_aviso", F.log("precio_usd").alias("lp"), (F.length("clave_unidad") % 2).cast("double").alias("par")), "id_aviso"))
+    """followed() with numbers to explain it by."""
+    rows = followed(spark, sf)
+    return cluster.written(rows.select("id_aviso", "clave_unidad", F.col("salio").cast("double").alias("salio"), "lp", rule.room_group(F.col("ambientes")).cast("double").alias("ambientes")))
 
 
 @query()
 def exit_logit(spark, sf):
     """What makes ads leave: a logistic regression with errors robust to units, as odds ratios."""
-    return inference.logit(exits(spark, sf), "salio", ["lp", "par"], "clave_unidad").table(spark, "odds")
+    return inference.logit(exits(spark, sf), "salio", ["lp", "ambientes"], "clave_unidad").table(spark, "odds")
 
 
 @query()
@@ -240,7 +371,7 @@ def exit_log_loss(spark, sf):
     """Log losses of sets of explanations out of fold, with limits of their difference (LM16, F27, N29)."""
     rows = exits(spark, sf).withColumn("vuelta", numeric.fold_of(F.col("clave_unidad")))
     loss = lambda df, name: df.select("id_aviso", "clave_unidad", numeric.log_loss(F.col("salio"), F.col("probabilidad")).alias(name))
-    base, full = loss(learn.logistic(rows, ["par"], "salio", "vuelta"), "base"), loss(learn.logistic(rows, ["lp", "par"], "salio", "vuelta"), "completo")
+    base, full = loss(learn.logistic(rows, ["ambientes"], "salio", "vuelta"), "base"), loss(learn.logistic(rows, ["lp", "ambientes"], "salio", "vuelta"), "completo")
     both = cluster.written(base.join(full.drop("clave_unidad"), "id_aviso").withColumn("d", F.col("completo") - F.col("base")))
     limits = stats.cluster_bootstrap(both, "d", "clave_unidad")
     return both.agg(F.avg("base").alias("perdida_base"), F.avg("completo").alias("perdida_completa")).crossJoin(F.broadcast(limits))
