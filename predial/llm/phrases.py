@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from predial.llm.common import mix64, pack, partitions_for, ship, sorted_groups, staged, text_batches, text_bytes, unpack
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Text for each range of phrases.
 RANGE_BYTES = 8 << 20
 #: Words that choose a phrase's range; shorter phrases are chosen by all of theirs.
@@ -231,32 +231,39 @@ def _code_batches(batches):
         raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
         at = at - at[0]
         inside = ~_GAPS[raw]
-        begin = inside.copy()
-        begin[1:] &= ~inside[:-1]
-        text_starts = at[:-1][at[:-1] < len(raw)]
-        begin[text_starts] = inside[text_starts]
-        starts = np.flatnonzero(begin)
+        cut = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(raw))]
+        edge = np.empty(len(raw) + 1, bool)  # where a word may begin or end
+        edge[0] = edge[-1] = True
+        np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
+        edge[cut] = True
+        edges = np.flatnonzero(edge)
+        del edge
+        word = inside[edges[:-1]] if len(raw) else np.zeros(0, bool)
+        starts, ends = edges[:-1][word], edges[1:][word]
         text_of = np.searchsorted(at, starts, "right") - 1
-        upto = np.append(np.cumsum(inside), inside.sum())
-        word_offsets = np.append((np.cumsum(inside) - 1)[starts], upto[-1]) if len(starts) else np.zeros(1, np.int64)
+        before = np.searchsorted(np.flatnonzero(_BREAKS[raw]), starts)
+        first = np.ones(len(starts), bool)
+        first[1:] = (before[1:] != before[:-1]) | (text_of[1:] != text_of[:-1])
+        offsets = np.append(0, np.cumsum(ends - starts))
         words = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(starts), [None, pa.py_buffer(word_offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw[inside]))]
+            pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[inside]))]
         ).dictionary_encode()
-        breaks = np.cumsum(_BREAKS[raw])[starts] if len(starts) else np.zeros(0, np.int64)
-        first = np.ones(len(starts), bool)
-        first[1:] = (breaks[1:] != breaks[:-1]) | (text_of[1:] != text_of[:-1])
+        del edges, inside, starts, ends, before, offsets
         langs = pc.fill_null(table.column("lang").combine_chunks().cast(pa.string()), "und").dictionary_encode()
-        lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text_of]
+        keys = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text_of]
+        del text_of
         n_words = max(len(words.dictionary), 1)
-        keys, place, counts = np.unique(lang * n_words + words.indices.to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
-        values = [
-            [TaskContext.get().partitionId() << 33 | i],
-            [langs.dictionary.take(pa.array(keys // n_words)).to_pylist()],
-            [words.dictionary.take(pa.array(keys % n_words)).cast(pa.large_string()).to_pylist()],
-            [counts],
-            [pack(_narrow(place), np.packbits(first))],
+        keys = keys * n_words + words.indices.to_numpy(zero_copy_only=False)
+        keys, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
+        columns = [
+            pa.array([TaskContext.get().partitionId() << 33 | i], pa.int64()),
+            one(langs.dictionary.take(pa.array(keys // n_words)), pa.string()),
+            one(words.dictionary.take(pa.array(keys % n_words)).cast(pa.large_string()), pa.string()),
+            one(pa.array(counts), pa.int64()),
+            pa.array([pack(_narrow(place), np.packbits(first))], pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _BATCH, strict=True)], schema=_BATCH)
+        yield pa.RecordBatch.from_arrays(columns, schema=_BATCH)
 
 
 class _Batch:
