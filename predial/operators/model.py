@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from predial.functions.numeric import fold_of
 from predial.operators.cluster import written
@@ -58,44 +62,110 @@ def gram(rows: DataFrame, y: str, xs: list[str], *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(a).alias(a) for a in names), *products)
 
 
+def moments(rows: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """(by, m): for each group the sums of products of (1, names) as an array, row by row; m[0] counts, the rest of the first
+    row are sums. Batches multiply matrices, so that many columns cost no more aggregates; partial matrices are added up by
+    group. names are numbers without nulls."""
+    width = len(names) + 1
+    keys = rows.select(*by).schema
+    out = T.StructType([*keys.fields, T.StructField("m", T.ArrayType(T.DoubleType()))])
+    out_names = [*by, "m"]
+
+    def flushed(held, kinds):
+        columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([m.ravel() for m in held.values()], pa.list_(pa.float64()))], out_names)
+
+    def part(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.schema.field(c).type for c in by]
+            x = np.column_stack([np.ones(batch.num_rows), *(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names)]).astype(float)
+            coded = [batch.column(batch.schema.get_field_index(c)).dictionary_encode() for c in by]
+            place = np.zeros(batch.num_rows, np.int64)
+            for c in coded:
+                place = place * (len(c.dictionary) + 1) + pc.fill_null(c.indices, len(c.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(place, kind="stable")
+            begins = np.flatnonzero(np.concatenate(([True], np.diff(place[order]) != 0)))
+            for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(order)], strict=True):
+                mine = x[order[i:j]]
+                key = tuple(batch.column(batch.schema.get_field_index(c))[int(order[i])].as_py() for c in by)
+                held[key] = held.get(key, 0) + mine.T @ mine
+            if len(held) * width * width > 1 << 24:
+                yield flushed(held, kinds)
+                held = {}
+        if held:
+            yield flushed(held, kinds)
+
+    def added(key, table):
+        total = table.column("m").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width * width).sum(axis=0)
+        one = table.select(by).slice(0, 1)
+        return one.append_column("m", pa.array([total], pa.list_(pa.float64())))
+
+    return rows.select(*by, *(F.col(c).cast("double").alias(c) for c in names)).mapInArrow(part, out).groupBy(*by).applyInArrow(added, out)
+
+
+def within(per: DataFrame, fold: str, width: int) -> dict[int, np.ndarray]:
+    """Sums of products within zones by fold, from moments by fold and zone. One matrix for each fold reaches the driver."""
+
+    def added(key, table):
+        m = table.column("m").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width + 1, width + 1)
+        inside = (m[:, 1:, 1:] - m[:, :1, 1:] * m[:, 1:, :1] / m[:, :1, :1]).sum(axis=0)
+        return pa.table({"fold": pa.array([key[0].as_py()], pa.int32()), "m": pa.array([inside.ravel()], pa.list_(pa.float64()))})
+
+    slim = per.select(F.col(fold).cast("int").alias("fold"), "m")
+    return {r.fold: np.array(r.m).reshape(width, width) for r in slim.groupBy("fold").applyInArrow(added, "fold int, m array<double>").collect()}
+
+
+def solved(matrices: dict[int, np.ndarray], names: list[str], xs: list[str], y: str, ridge: float = 0.0) -> dict[int, np.ndarray]:
+    """Coefficients of xs by fold, from the parts of matrices (over names) that belong to xs and y."""
+    at, target = [names.index(x) for x in xs], names.index(y)
+    return {f: np.linalg.pinv(m[np.ix_(at, at)] + ridge * np.eye(len(at)), hermitian=True) @ m[at, target] for f, m in matrices.items()}
+
+
+def zone_means(per: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    return per.select(*keys, *((F.col("m")[i + 1] / F.col("m")[0]).alias(f"_mean_{c}") for i, c in enumerate(names)))
+
+
 def fit_within(rows: DataFrame, y: str, xs: list[str], zone: str, fold: str, k: int = K, ridge: float = 0.0) -> tuple[dict[int, np.ndarray], DataFrame]:
     """Least squares with zone effects for each fold's training rows (LM6): coefficients by fold, and zone means.
 
-    Zone effects are absorbed: within-zone sums of products are sums minus means' products by zone, added up over zones in
-    Spark. Only one k x k matrix for each fold reaches the driver.
+    Rows are read once: sums of products are formed by their own fold and zone, and a fold's training sums are those of the
+    other folds. Zone effects are absorbed: products within zones are sums less the products of means. Only one matrix for
+    each fold reaches the driver.
     """
-    slim = training_rows(rows.select(*xs, y, zone, fold).dropna(), fold, k)
-    return _solved(gram(slim, y, xs, "para", zone).withColumnRenamed("para", fold), xs, y, fold, zone, ridge)
+    names = [*xs, y]
+    own = written(moments(rows.select(*names, zone, fold).dropna(), names, [fold, zone]))
+    train = training_rows(own, fold, k).drop(fold).withColumnRenamed("para", fold)
+    sums = written(_added(train, fold, zone))
+    return solved(within(sums, fold, len(names)), names, xs, y, ridge), zone_means(sums, names, fold, zone)
 
 
-def _solved(per: DataFrame, xs: list[str], y: str, fold: str, zone: str, ridge: float = 0.0) -> tuple[dict[int, np.ndarray], DataFrame]:
-    """Coefficients by fold and zone means from sums of products by fold and zone."""
-    names = [*xs, y]
-    within = [F.sum(F.col(f"`{a}*{b}`") - F.col(a) * F.col(b) / F.col("n")).alias(f"{i}_{i + j}") for i, a in enumerate(names) for j, b in enumerate(names[i:])]
-    found = {}
-    for row in per.groupBy(fold).agg(*within).collect():  # one row per fold
-        m = np.zeros((len(names), len(names)))
-        for i in range(len(names)):
-            for j in range(i, len(names)):
-                m[i, j] = m[j, i] = row[f"{i}_{j}"]
-        found[row[fold]] = np.linalg.pinv(m[:-1, :-1] + ridge * np.eye(len(xs)), hermitian=True) @ m[:-1, -1]
-    means = per.select(fold, zone, *((F.col(c) / F.col("n")).alias(f"_mean_{c}") for c in names))
-    return found, means
+def _added(rows: DataFrame, *by: str) -> DataFrame:
+    """The arrays m of each group added up."""
+
+    def run(key, table):
+        m = table.column("m").combine_chunks()
+        return table.select(list(by)).slice(0, 1).append_column("m", pa.array([m.flatten().to_numpy(zero_copy_only=False).reshape(len(m), -1).sum(axis=0)], pa.list_(pa.float64())))
+
+    some = rows.select(*by, "m")
+    return some.groupBy(*by).applyInArrow(run, some.schema)
 
 
 def _by_fold(fold: str, betas: dict[int, np.ndarray], i: int) -> Column:
     return reduce(lambda out, f: out.when(F.col(fold) == f, float(betas[f][i])), sorted(betas), F.when(F.lit(False), 0.0))
 
 
-def predict_within(rows: DataFrame, y: str, xs: list[str], zone: str, fold: str, betas: dict[int, np.ndarray], means: DataFrame) -> DataFrame:
-    """rows with prediccion: the zone's training mean plus coefficients times what each x is off its zone mean. A zone
+def predict_within(rows: DataFrame, y: str, xs: list[str], zone: str, fold: str, betas: dict[int, np.ndarray], means: DataFrame, name: str = "prediccion") -> DataFrame:
+    """rows with prediccion (or another name): the zone's training mean plus coefficients times what each x is off its zone mean. A zone
     without training rows takes the mean over the fold's zones."""
     names = [*xs, y]
     city = means.groupBy(fold).agg(*(F.avg(f"_mean_{c}").alias(f"_city_{c}") for c in names))
     rows = rows.join(means, [fold, zone], "left").join(F.broadcast(city), fold, "left")
     mean = lambda c: F.coalesce(f"_mean_{c}", f"_city_{c}")
     terms = [_by_fold(fold, betas, i) * (F.col(x) - mean(x)) for i, x in enumerate(xs)]
-    rows = rows.withColumn("prediccion", reduce(lambda a, b: a + b, terms, mean(y)))
+    rows = rows.withColumn(name, reduce(lambda a, b: a + b, terms, mean(y)))
     return rows.drop(*(f"_mean_{c}" for c in names), *(f"_city_{c}" for c in names))
 
 
@@ -134,11 +204,18 @@ class Fit:
     xs: list[str]
     betas: dict[int, np.ndarray]
     means: DataFrame
+    matrices: dict[int, np.ndarray]
+
+    def variant(self, y: str, xs: list[str], fold: str, name: str, rows: DataFrame | None = None) -> tuple[dict[int, np.ndarray], DataFrame]:
+        """Coefficients with some of the columns only, from the sums that are there, and rows (else all) with that prediction."""
+        betas = solved(self.matrices, [*self.xs, y], xs, y)
+        out = predict_within(self.rows if rows is None else rows, y, xs, "zona", fold, betas, self.means.select(fold, "zona", *(f"_mean_{c}" for c in (*xs, y))), name)
+        return betas, out
 
 
 def leak_free_fit(
     rows: DataFrame, y: str, xs: list[str], barrio: str, subzona: str, unit: str, fold: str, excluded: DataFrame | None = None, expenses: str | None = None,
-    more: tuple[str, ...] = (), k: int = K, least: int = 10,
+    more: tuple[str, ...] = (), k: int = K, least: int = 10, in_logs: bool = True, also: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None, extra: tuple[str, ...] = (),
 ) -> Fit:
     """Linear models where nothing of a fold is known to its own (LM5, LM6): for each fold, zones are chosen on its training
     rows, and outliers of those (y by zone, 1.5 interquartile ranges) are left out of the fit.
@@ -146,9 +223,11 @@ def leak_free_fit(
     y: logarithms. excluded: neighbourhoods (a column named as barrio) that never use subzones. expenses: a column of
     logarithms, which counts as the difference from its zone's training median, 0 where it is unknown, with a mark
     (gasto_rel, gasto_falta; LM8). rows also get zona_log_mediana, the logarithm of the zone's median training value (null for
-    a zone without training rows), and log_mediana, that or the city's (LM7). more: further columns that train keeps.
+    a zone without training rows), and log_mediana, that or the city's (LM7). more: further columns that train keeps. in_logs:
+    whether outliers are looked for among logarithms or values. also: takes (train, rows), both with fold and zona, and returns
+    them with the columns extra, which it learns from train alone; they are columns of the model too.
     """
-    value = rows.withColumn("_value", F.exp(y))
+    value = rows.filter(F.col(subzona).isNotNull()).withColumn("_value", F.exp(y))
     choice = zone_choice(value, "_value", fold, barrio, subzona, unit, k, least)
     if excluded is not None:
         names = excluded.select(barrio).distinct().withColumn("_never", F.lit(True))
@@ -158,10 +237,11 @@ def leak_free_fit(
     long = training_rows(rows.select(*kept).dropna(subset=[*xs, y]), fold, k).drop(fold).withColumnRenamed("para", fold)
     counts = written(long.filter(F.col(subzona).isNotNull()).groupBy(fold, subzona).agg(F.count("*").alias("n")))
     long = zone_of(long, choice, fold, barrio, subzona, counts, least)
-    q = F.percentile(y, F.array(F.lit(0.25), F.lit(0.75)))
+    scale = F.col(y) if in_logs else F.exp(y)
+    q = F.percentile(scale, F.array(F.lit(0.25), F.lit(0.75)))
     limits = long.groupBy(fold, "zona").agg(q.alias("_q"), F.count(y).alias("_m"))
     span = F.col("_q")[1] - F.col("_q")[0]
-    inside = F.col(y).between(F.col("_q")[0] - 1.5 * span, F.col("_q")[1] + 1.5 * span) | (F.col("_m") < least)
+    inside = scale.between(F.col("_q")[0] - 1.5 * span, F.col("_q")[1] + 1.5 * span) | (F.col("_m") < least)
     train = written(long.join(limits, [fold, "zona"]).filter(inside).drop("_q", "_m"))
     told = [F.log(F.median(F.exp(y))).alias("zona_log_mediana"), *([F.median(expenses).alias("_g")] if expenses else [])]
     zones = written(train.groupBy(fold, "zona").agg(*told))
@@ -174,11 +254,16 @@ def leak_free_fit(
             return out
         return out.withColumns({"gasto_rel": F.coalesce(F.col(expenses) - F.col("_g"), F.lit(0.0)), "gasto_falta": F.col(expenses).isNull().cast("double")}).drop("_g")
 
-    names = [*xs, *(("gasto_rel", "gasto_falta") if expenses else ())]
-    train = placed(train)
-    betas, means = _solved(gram(train, y, names, fold, "zona"), names, y, fold, "zona")
-    out = predict_within(placed(zone_of(rows, choice, fold, barrio, subzona, counts, least)), y, names, "zona", fold, betas, means)
-    return Fit(out, train, names, betas, means)
+    names = [*xs, *(("gasto_rel", "gasto_falta") if expenses else ()), *extra]
+    train, rows = placed(train), placed(zone_of(rows, choice, fold, barrio, subzona, counts, least))
+    if also is not None:
+        train, rows = also(train, rows)
+        train = written(train)
+    sums = written(moments(train, [*names, y], [fold, "zona"]))
+    matrices = within(sums, fold, len(names) + 1)
+    betas, means = solved(matrices, [*names, y], names, y), written(zone_means(sums, [*names, y], fold, "zona"))
+    out = predict_within(rows, y, names, "zona", fold, betas, means)
+    return Fit(out, train, names, betas, means, matrices)
 
 
 def leak_free(rows: DataFrame, y: str, xs: list[str], barrio: str, subzona: str, unit: str, fold: str, excluded: DataFrame | None = None, k: int = K) -> tuple[DataFrame, dict[int, np.ndarray], DataFrame]:

@@ -12,59 +12,58 @@ from predial.functions.numeric import chi2_tail, fold_of, two_sided
 from predial.operators.clean import truth
 
 
-def exact_quantiles(rows: DataFrame, value: str, ps: list[float], buckets: int = 512) -> DataFrame:
-    """One row with q: exact quantiles of value over all rows, interpolated, nulls left out; null without values.
+#: Rank error of the sketches that enclose an exact quantile, as a share of the rows.
+SKETCH_ERROR = 1e-4
 
-    No task sees all values: approximate quantiles cut the values into buckets, whose counts tell in which bucket each
-    wanted rank lies; only those buckets' values are counted and ordered. A few numbers reach the driver.
-    """
-    spark = rows.sparkSession
-    values = rows.select(F.col(value).cast("double").alias("v")).filter("v is not null")
-    edges = sorted(set(values.approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
-    bucket = _bucket(F.col("v"), edges)
-    counts = {r.b: r.n for r in values.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}  # one row per bucket
-    n, before, start = sum(counts.values()), 0, {}
-    for b in sorted(counts):
-        start[b] = before
-        before += counts[b]
-    wanted = {p: ((n - 1) * p, *(r for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p)))) for p in ps} if n else {}
-    ranks = sorted({r for _, a, b in wanted.values() for r in (a, b)})
-    of = {r: max((b for b in start if start[b] <= r), key=lambda b: start[b]) for r in ranks}
-    found = {}
-    if ranks:
-        some = values.withColumn("b", bucket).filter(F.col("b").isin(sorted(set(of.values())))).groupBy("b", "v").agg(F.count("*").alias("n"))
-        some = some.withColumn("upto", F.sum("n").over(Window.partitionBy("b").orderBy("v")))
-        hit = reduce(lambda x, y: x | y, ((F.col("b") == b) & (F.col("upto") > r - start[b]) & (F.col("upto") - F.col("n") <= r - start[b]) for r, b in of.items()))
-        for x in some.filter(hit).collect():  # at most two values for each quantile
-            found |= {r: x.v for r, b in of.items() if b == x.b and x.upto - x.n <= r - start[b] < x.upto}
-    q = [None if not n else found[a] + (found[b] - found[a]) * (h - a) for h, a, b in (wanted.get(p, (0, 0, 0)) for p in ps)]
-    return spark.createDataFrame([(q,)], "q array<double>")
-
-
-def _bucket(value: Column, edges: list[float]) -> Column:
-    """How many of ascending edges lie under value, by their array's order."""
-    return F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < value))
-
-
-def group_quantiles(rows: DataFrame, value: str, by: list[str], ps: list[float], buckets: int = 32) -> DataFrame:
-    """Exact interpolated quantiles of value for each of few large groups: (by, q, n).
-
-    Values are counted by group; approximate quantiles of all rows cut each group's values into buckets, which are ordered
-    by themselves, so that a group may hold most of the rows.
+
+def exact_quantiles(rows: DataFrame, value: str, ps: list[float], error: float = SKETCH_ERROR) -> DataFrame:
+    """One row with q: exact quantiles of value over all rows, interpolated, nulls left out; null without values. See
+    group_quantiles(); nothing reaches the driver."""
+    values = rows.select(F.col(value).cast("double").alias("_v")).filter("_v is not null and not isnan(_v)")
+    bounds = values.agg(_enclosing(ps, error))  # one row
+    found = _ranked_values(values.crossJoin(F.broadcast(bounds)), [], ps)
+    return found.agg(F.array(*_picked(ps)).alias("q"))
+
+
+def _enclosing(ps: list[float], error: float) -> Column:
+    sides = [x for p in ps for x in (max(p - 2 * error, 0.0), min(p + 2 * error, 1.0))]
+    return F.percentile_approx("_v", F.array(*map(F.lit, sides)), F.lit(int(1 / error))).alias("_e")
+
+
+def _ranked_values(joined: DataFrame, by: list[str], ps: list[float]) -> DataFrame:
+    """Values within their group's bounds _e by value, and each run of values between bounds as one row with its ends; _upto
+    rows of the group come no later, of _n in all."""
+    v, low, high = F.col("_v"), (lambda i: F.col("_e")[2 * i]), (lambda i: F.col("_e")[2 * i + 1])
+    run = reduce(lambda a, b: a + b, ((v >= low(i)).cast("int") + (v > high(i)).cast("int") for i in range(len(ps))))
+    inside = reduce(lambda a, b: a | b, (v.between(low(i), high(i)) for i in range(len(ps))))
+    counts = joined.groupBy(*by, run.alias("_run"), F.when(inside, v).alias("_in")).agg(F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    whole = Window.partitionBy(*by)
+    return counts.withColumns({"_upto": F.sum("_c").over(whole.orderBy("_run", "_in")), "_n": F.sum("_c").over(whole)})
+
+
+def _picked(ps: list[float]) -> list[Column]:
+    """Aggregates that interpolate between the values at the ranks around each p. A rank just outside of the bounds is an end of
+    the run beside them."""
+    out = []
+    for p in ps:
+        place, rank = (F.max("_n") - 1) * p, (F.col("_n") - 1) * p
+        low, high = (F.min(F.when(F.col("_upto") > at, F.struct("_upto", F.when(F.col("_upto") - F.col("_c") == at, F.col("_min")).otherwise(F.col("_max")).alias("v"))))["v"] for at in (F.floor(rank), F.ceil(rank)))
+        out.append(low + (high - low) * (place - F.floor(place)))
+    return out
+
+
+def group_quantiles(rows: DataFrame, value: str, by: list[str], ps: list[float], error: float = SKETCH_ERROR) -> DataFrame:
+    """Exact interpolated quantiles of value for each group: (by, q, n); null keys are groups, null values left out.
+
+    No task holds a group: each group's sketch, which merges, gives bounds that enclose the wanted ranks; values between those
+    are only counted, the few inside are counted by value and ordered.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    edges = sorted(set(rows.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
-    counts = counts.withColumn("_b", _bucket(F.col("_v"), edges))
-    w = Window.partitionBy(*by)
-    sums = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_t"))
-    sums = sums.withColumns({"_before": F.coalesce(F.sum("_t").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_t").over(w)})
-    counts = counts.join(sums.drop("_t"), [*by, "_b"])
-    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy("_v"))
-    counts = counts.withColumn("_upto", upto)
-    place = lambda p: (F.col("_n") - 1) * p
-    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
-    q = [at(F.floor(place(p))) + (at(F.ceil(place(p))) - at(F.floor(place(p)))) * F.first(place(p) - F.floor(place(p))) for p in ps]
-    return counts.groupBy(*by).agg(F.array(*q).alias("q"), F.first("_n").alias("n"))
+    values = rows.select(*by, F.col(value).cast("double").alias("_v")).filter("_v is not null and not isnan(_v)")
+    keys = {c: f"_by_{i}" for i, c in enumerate(by)}
+    bounds = values.groupBy(*by).agg(_enclosing(ps, error)).select(*(F.col(c).alias(k) for c, k in keys.items()), "_e")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()))
+    found = _ranked_values(values.join(bounds, same).drop(*keys.values()), by, ps)
+    return found.groupBy(*by).agg(F.array(*_picked(ps)).alias("q"), F.max("_n").alias("n"))
 
 
 def binomial_tail(one: DataFrame, share: float = 0.5) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from predial.functions import numeric, text
-from predial.operators import clean, quality, rule, spatial, stats
+from predial.operators import clean, cluster, quality, rule, spatial, stats
 from predial.sources.listings import LISTINGS_SQL, listings, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,8 +148,9 @@ _GAP = f"""{_DEDUP}, s as (select * from d where n = 1 and {_REASON} is null),
 
 def gaps(spark, sf, low=False):
     """Deduplicated listings in scope with their gap to the neighbourhood's median (low: first quartile) price and its
-    threshold."""
+    threshold. They are written once: the quantiles and the result read them again."""
     rows = clean.deduplicate(listings(spark, sf), "id_aviso", F.col("barrio_oficial"), "link").filter("kept").filter(_reason().isNull())
+    rows = cluster.written(rows)
     zone = rows.groupBy("barrio").agg(F.percentile("precio_m2_usd", F.lit(0.25 if low else 0.5)).alias("zona"))
     rows = rows.join(zone, "barrio").withColumn("brecha", F.col("precio_m2_usd") / F.col("zona") - 1)
     rows = stats.group_thresholds(rows, "brecha", "barrio", 1.5, 50)
