@@ -428,13 +428,12 @@ def _cuts(answers: pa.Table, rows: pa.Table, longest: int) -> pa.Table:
     )
 
 
-def _word_ids(frequent: DataFrame) -> DataFrame:
-    """frequent with an id for each word of each language: a hash of 63 bits. Another seed is taken until no two words share one."""
-    words = frequent.select("lang", "word").distinct()
+def _word_ids(words: DataFrame) -> DataFrame:
+    """words (lang, word; distinct) with an id for each: a hash of 63 bits. Another seed is taken until no two words share one."""
     for seed in range(64):
         hashed = F.xxhash64(F.lit(seed), "lang", "word").bitwiseAND((1 << 63) - 1)
         if words.groupBy(hashed.alias("id")).count().filter("count > 1").isEmpty():
-            return frequent.withColumn("id", hashed)
+            return words.withColumn("id", hashed)
     raise RuntimeError("no seed gives all frequent words ids of their own")
 
 
@@ -461,10 +460,10 @@ def collocations(docs: DataFrame, minimum: int = 100, longest: int = 5, top: int
     words = batches.select("batch", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("at", "x"))
     words = words.select("batch", "at", F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("count"))
     totals = words.groupBy("lang").agg(F.sum("count").alias("n"))
+    known = words.groupBy("lang", "word").agg(F.sum("count").alias("f")).filter(F.col("f") >= minimum)
+    known = _word_ids(staged(known, "phrases-known"))
     # A word has at most one row for each batch.
-    frequent = words.withColumn("f", F.sum("count").over(Window.partitionBy("lang", "word"))).filter(F.col("f") >= minimum)
-    frequent = _word_ids(staged(frequent.drop("count"), "phrases-words"))
-    known = frequent.select("id", "lang", "word", "f").distinct()
+    frequent = staged(words.join(known, ["lang", "word"]).select("batch", "at", "id"), "phrases-words")
     own = frequent.select(F.col("batch").alias("asker"), "at", "id", F.lit(None).cast("array<long>").alias("pairs"))
     coded = batches.select("batch", "coded").groupBy("batch")
     sent = own.groupBy("asker").cogroup(coded).applyInArrow(lambda a, b: _pair_messages(a, b, ranges), _MESSAGE_SQL)
@@ -485,7 +484,7 @@ def collocations(docs: DataFrame, minimum: int = 100, longest: int = 5, top: int
     size = F.size("phrase")
     inner = candidates.filter(size > 2).select("f", F.explode(F.array(F.slice("phrase", F.lit(1), size - 1), F.slice("phrase", F.lit(2), size - 1))).alias("phrase"))
     candidates = candidates.join(inner.distinct(), ["phrase", "f"], "left_anti")
-    candidates = staged(candidates.select(F.col("range").alias("home"), F.col("phrase"), F.col("f")), "phrases-candidates")
+    candidates = staged(candidates.select(F.col("range").cast("long").alias("home"), F.col("phrase"), F.col("f")), "phrases-candidates")
     by_home = candidates.groupBy("home")
     asked = by_home.applyInArrow(lambda key, rows: _ask_parts(key, rows, ranges, longest), _MESSAGE_SQL)
     answers = asked.withColumnRenamed("range", "to").groupBy("to").cogroup(found.groupBy("range")).applyInArrow(lambda a, b: _answer_parts(a, b, longest), _MESSAGE_SQL)
