@@ -82,12 +82,36 @@ def correspondence_scores(rows: DataFrame, key: str, columns: list[str]) -> Data
     complete = rows.dropna(subset=columns)
     burt = complete.select(F.array(*(F.concat(F.lit(c + "="), F.col(c)) for c in columns)).alias("cats"))
     pairs = burt.select(F.explode("cats").alias("a"), "cats").select("a", F.explode("cats").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    found = pairs.collect()  # categories squared
-    names = sorted({r.a for r in found})
+    names, axis, value, _ = _axis([(r.a, r.b, r.n) for r in pairs.collect()])  # categories squared
+    scores = rows.sparkSession.createDataFrame([(n, float(a)) for n, a in zip(names, axis, strict=True)], "cat string, v double")
+    return long.join(F.broadcast(scores), "cat").groupBy(key).agg((F.avg("v") / float(np.sqrt(max(np.sqrt(max(value, 0)), 1e-12)))).alias("indice"), F.count("*").alias("declaradas"))
+
+
+def fold_index(train: DataFrame, columns: list[str], fold: str) -> tuple[DataFrame, DataFrame]:
+    """(fold, cat, v) and (fold, contributions): the first axis of a correspondence analysis of each fold's complete training
+    rows (C5, LM17): coordinates of categories, scaled so that a row's mean of its categories is its index, and each category's
+    contribution to the axis. The counts of category pairs are formed for all folds in one job; their matrices, as large as the
+    number of categories squared, are decomposed on the driver."""
+    cats = F.array(*(F.concat(F.lit(c + "="), F.col(c)) for c in columns))
+    whole = train.dropna(subset=columns).select(fold, cats.alias("cats"))
+    pairs = whole.select(fold, F.explode("cats").alias("a"), "cats").select(fold, "a", F.explode("cats").alias("b")).groupBy(fold, "a", "b").agg(F.count("*").alias("n")).collect()
+    spark, out, shares = train.sparkSession, [], []
+    for f in sorted({r[fold] for r in pairs}):
+        names, axis, value, mass = _axis([(r.a, r.b, r.n) for r in pairs if r[fold] == f])
+        scale = max(float(np.sqrt(max(value, 0))), 1e-12)
+        out += [(f, n, float(x) / scale) for n, x in zip(names, axis, strict=True)]
+        shares += [(f, n, float(m * x * x / value) if value > 0 else None) for n, x, m in zip(names, axis, mass, strict=True)]
+    return spark.createDataFrame(out, f"{fold} int, cat string, v double"), spark.createDataFrame(shares, f"{fold} int, cat string, contribucion double")
+
+
+def _axis(pairs: list[tuple[str, str, int]]) -> tuple[list[str], np.ndarray, float, np.ndarray]:
+    """Names, coordinates on the first axis, its inertia and masses of categories, from counts of their pairs. The sign makes
+    coordinates of "=Sí" positive on the whole."""
+    names = sorted({a for a, _, _ in pairs})
     at = {n: i for i, n in enumerate(names)}
     m = np.zeros((len(names), len(names)))
-    for r in found:
-        m[at[r.a], at[r.b]] = r.n
+    for a, b, n in pairs:
+        m[at[a], at[b]] = n
     mass = np.diag(m) / np.diag(m).sum()
     scaled = m / m.sum() / np.sqrt(np.outer(mass, mass)) - np.sqrt(np.outer(mass, mass))
     values, vectors = np.linalg.eigh(scaled)
@@ -95,8 +119,16 @@ def correspondence_scores(rows: DataFrame, key: str, columns: list[str]) -> Data
     yes = np.array([n.endswith("=Sí") for n in names])
     if yes.any() and (axis[yes] * mass[yes]).sum() < 0:
         axis = -axis
-    scores = rows.sparkSession.createDataFrame([(n, float(a)) for n, a in zip(names, axis, strict=True)], "cat string, v double")
-    return long.join(F.broadcast(scores), "cat").groupBy(key).agg((F.avg("v") / float(np.sqrt(max(np.sqrt(max(values[-1], 0)), 1e-12)))).alias("indice"), F.count("*").alias("declaradas"))
+    return names, axis, float(values[-1]), mass
+
+
+def with_index(rows: DataFrame, coordinates: DataFrame, columns: list[str], fold: str, name: str) -> DataFrame:
+    """rows with the mean coordinate of the categories that they give, 0 for none: missing answers are passive."""
+    per = F.map_from_entries(F.collect_list(F.struct("cat", "v")))
+    known = coordinates.groupBy(fold).agg(per.alias("_known"))  # one small map a fold
+    found = F.filter(F.transform(F.array(*(F.concat(F.lit(c + "="), F.col(c)) for c in columns)), lambda c: F.col("_known")[c]), lambda x: x.isNotNull())
+    mean = F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda a, x: a + x) / F.size(found)).otherwise(0.0)
+    return rows.join(F.broadcast(known), fold, "left").withColumn(name, F.coalesce(mean, F.lit(0.0))).drop("_known")
 
 
 def stability(points: DataFrame, group: str, key: str, labels: DataFrame, reps: int = 20, share: float = 0.8, least: float = 0.7) -> DataFrame:

@@ -279,30 +279,145 @@ def errors_of(rows: DataFrame, xs: list[str]) -> DataFrame:
     return out.select("id_aviso", "unidad", "barrio", F.abs(F.exp(F.col("y") - F.col("prediccion")) - 1).alias("error"), (F.exp(F.col("y") - F.col("prediccion")) - 1 < -0.25).alias("marcado"))
 
 
-_INTERACTIONS = [f"f_m2_x_edad_{a}_{b}" for a, b in clean.AGE_BANDS]
-_STATES = [f"f_estado_{n}" for n, _ in text.STATES]
+INTERACTIONS = [f"f_m2_x_edad_{a}_{b}" for a, b in clean.AGE_BANDS]
+SINGLE = [f"eq_{c}" for c in YES_NO if c != "apto_credito"]
+EQUIPMENT = [x for x in OFFICIAL if VARIABLES.get(x) == "equipamiento"]
+
+
+def variant_fit(spark, sf) -> tuple[model.Fit, dict[str, list[str]]]:
+    """One set of sums over the columns of all variants, and the columns of each (LM11, LM17, P13): the official model; with
+    size by age; each answer by itself as declared yes, their count, and an equipment index that each fold learns from its
+    complete training rows."""
+    rows = analysis_rows(spark, sf, *INTERACTIONS)
+    yes = {f"eq_{c}": truth(F.col(c) == "Sí").cast("double") for c in YES_NO if c != "apto_credito"}
+    rows = rows.withColumns(yes).withColumn("f_equipos", reduce(lambda a, b: a + b, map(F.col, yes)))
+    answers = [c for c in YES_NO if c != "apto_credito"]
+
+    def indexed(train: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        coordinates, _ = cluster.fold_index(train, answers, "vuelta")
+        return tuple(cluster.with_index(x, coordinates, answers, "vuelta", "f_indice") for x in (train, placed))
+
+    fit = model.leak_free_fit(cluster.written(rows), "y", [*OFFICIAL, *INTERACTIONS, *SINGLE, "f_equipos"], "barrio", "subzona", "unidad", "vuelta", None, "gasto", ("lat", "lon", *answers), also=indexed, extra=("f_indice",))
+    official = [*OFFICIAL, "gasto_rel", "gasto_falta"]
+    plain = [x for x in official if x not in EQUIPMENT]
+    kinds = {"oficial": official, "con_interacciones": [*official, *INTERACTIONS], "sueltas": [*plain, *SINGLE], "conteo": [*plain, "f_equipos"], "indice": [*plain, "f_indice"]}
+    return fit, kinds
+
+
+def variant_gaps(fit: model.Fit, kinds: dict[str, list[str]]) -> tuple[DataFrame, dict[str, dict]]:
+    """Rows with a prediction of each variant, written, and each variant's coefficients; no rows are summed again."""
+    rows, betas = fit.rows, {}
+    for name, xs in kinds.items():
+        betas[name], rows = fit.variant("y", xs, "vuelta", f"p_{name}", rows)
+    return cluster.written(rows), betas
+
+
+def flags_compared(rows: DataFrame, predictions: dict[str, str], official: str, y: str = "y") -> DataFrame:
+    """By model: median and upper quartile of the percent error, ads flagged, those that enter and leave against the official
+    model, and the Jaccard index of both sets of flags (N18, N26)."""
+    gap = lambda p: F.exp(F.col(y) - F.col(p)) - 1
+    rows = rows.withColumn("_o", gap(predictions[official]) < THRESHOLD)
+    stack = F.explode(F.array(*(F.struct(F.lit(n).alias("variante"), (100 * F.abs(gap(p))).alias("e"), (gap(p) < THRESHOLD).alias("m")) for n, p in predictions.items())))
+    long = cluster.written(rows.select("_o", stack.alias("s")).select("_o", "s.*"))
+    q = stats.group_quantiles(long, "e", ["variante"], [0.5, 0.75]).select("variante", F.col("q")[0].alias("error_mediano"), F.col("q")[1].alias("error_p75"))
+    counts = long.groupBy("variante").agg(F.count_if("m").alias("marcados"), F.count_if(F.expr("m and not _o")).alias("entran"), F.count_if(F.expr("not m and _o")).alias("salen"), F.try_divide(F.count_if(F.expr("m and _o")), F.count_if(F.expr("m or _o"))).alias("jaccard"))
+    return q.join(counts, "variante")
 
 
 @query()
 def model_variants(spark, sf):
-    """Variants of the model by extra columns, on the same folds: errors, flags and ads that enter or leave (LM11, LM17, P12, P13, N18, N26)."""
-    rows = clean.extended_features(clean.keep_one(with_unit(spark, sf), ["id_aviso"], [F.col("link")]))
-    index = cluster.correspondence_scores(rows, "id_aviso", list(YES_NO)).select("id_aviso", "indice")
-    count = reduce(lambda a, b: a + b, (truth(F.col(c) == "Sí").cast("double") for c in YES_NO)).alias("f_equipos")
-    extra = rows.select("id_aviso", count).join(index, "id_aviso", "left").select("id_aviso", "f_equipos", F.coalesce("indice", F.lit(0.0)).alias("f_indice"))
-    rows = model_rows(spark, sf, *_STATES, *_INTERACTIONS)
-    rows = cluster.written(rows.join(extra, "id_aviso"))
-    plain = [x for x in FEATURES if GROUPS[x] != "equipamiento"]
-    variants = {"oficial": FEATURES, "con_estado": [*FEATURES, *_STATES], "con_interacciones": [*FEATURES, *_INTERACTIONS], "conteo": [*plain, "f_equipos"], "indice": [*plain, "f_indice"]}
-    official = cluster.written(errors_of(rows, FEATURES))
-    out = None
-    for name, xs in variants.items():
-        errors = official if name == "oficial" else cluster.written(errors_of(rows, xs))
-        both = errors.join(official.select("id_aviso", F.col("marcado").alias("_o")), "id_aviso")
-        one = both.agg(F.median("error").alias("error_mediano"), F.percentile("error", F.lit(0.75)).alias("error_p75"), F.count_if("marcado").alias("marcados"), F.count_if(F.col("marcado") & ~F.col("_o")).alias("entran"), F.count_if(~F.col("marcado") & F.col("_o")).alias("salen"))
-        one = one.withColumn("variante", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Variants of the model by their columns, on the same folds: errors, flags, ads that enter or leave (LM11, LM17, P13)."""
+    fit, kinds = variant_fit(spark, sf)
+    rows, _ = variant_gaps(fit, kinds)
+    return flags_compared(rows, {n: f"p_{n}" for n in kinds}, "oficial")
+
+
+@query()
+def variant_funnels(spark, sf):
+    """The whole funnel for each variant: limits, thresholds, rule, premiums and costs from the variant's own model, firm
+    candidates by the lower limit, and signals that enter or leave (N26)."""
+    fit, kinds = variant_fit(spark, sf)
+    rows, betas = variant_gaps(fit, kinds)
+    tables = []
+    for name, xs in kinds.items():
+        one = model.Fit(rows.drop("prediccion").withColumnRenamed(f"p_{name}", "prediccion"), fit.train, xs, betas[name], fit.means, fit.matrices)
+        out = firm(spark, decided(spark, sf, valued(spark, sf, None, one, None), one), one)
+        tables.append(out.select("id_aviso", "unidad", F.lit(name).alias("variante"), "marcado", "cumple_regla", "candidato", "firme"))
+    long = cluster.written(reduce(DataFrame.unionByName, tables))
+    return funnels(long, "oficial")
+
+
+def firm(spark, rows: DataFrame, fit: model.Fit) -> DataFrame:
+    """decided() ads with firme: candidates even if they only sell at the lower limit of their expected price."""
+    plain = rows.drop("nivel", "costo_entrada", "costo_refaccion", "costo_total", "valor_salida", "venta_cierre", "costo_salida", "impuesto", "resultado", *(c for c in rule.Scenario.__dataclass_fields__))
+    again = rule.net_gap(plain.drop("brecha_neta").join(F.broadcast(rule.scenarios(spark, [rule.BASE])), "estado_titulo"), "esperado_inf", F.col("prima_estado"))
+    sure, _, _ = rule.decision(F.col("cumple_regla"), F.col("brecha_neta"), F.col("riesgo_descartar"))
+    return again.withColumn("firme", sure)
+
+
+def funnels(long: DataFrame, official: str) -> DataFrame:
+    """By variant: flagged ads, signals, units of signals, candidates and firm ones, and signals and firm ads that enter or leave
+    against the official variant. long: one row an ad and variant."""
+    base = long.filter(F.col("variante") == official).select("id_aviso", F.col("cumple_regla").alias("_s"), F.col("firme").alias("_f"))
+    units = lambda c: F.count_distinct(F.when(F.col(c), F.col("unidad"))).alias(f"unidades_{c}")
+    return long.join(base, "id_aviso").groupBy("variante").agg(
+        F.count_if("marcado").alias("marcados"), F.count_if("cumple_regla").alias("senales"), units("cumple_regla"), units("candidato"), units("firme"),
+        F.count_if(F.expr("cumple_regla and not _s")).alias("senales_entran"), F.count_if(F.expr("not cumple_regla and _s")).alias("senales_salen"),
+        F.count_if(F.expr("firme and not _f")).alias("firmes_entran"), F.count_if(F.expr("not firme and _f")).alias("firmes_salen"),
+    )
+
+
+def earlier_method(rows: DataFrame, xs: list[str]) -> DataFrame:
+    """rows with p_anterior: the first version's prediction, which decided on zones and outliers with all ads before they were
+    dealt into folds (N18)."""
+    geo = rows.filter("subzona is not null").withColumn("_v", F.exp("y"))
+    errors = stats.out_of_fold_group_error(geo, "_v", "barrio", "unidad").withColumnRenamed("error", "eb").drop("vuelta")
+    errors = stats.out_of_fold_group_error(errors, "_v", "subzona", "unidad").withColumnRenamed("error", "es").filter("eb is not null and es is not null")
+    use = errors.groupBy("barrio").agg((F.median("es") < F.median("eb")).alias("usa_subzona"))
+    counts = rows.filter("subzona is not null").groupBy("subzona").agg(F.count("*").alias("n"))
+    all_ = lambda df: df.withColumn("todo", F.lit(0))
+    placed = cluster.written(model.zone_of(all_(rows), all_(use), "todo", "barrio", "subzona", all_(counts)).drop("todo"))
+    kept = stats.iqr_outliers(placed.withColumn("_v", F.exp("y")), "_v", "zona").filter("not atipico")
+    betas, means = model.fit_within(kept, "y", xs, "zona", "vuelta")
+    return model.predict_within(placed, "y", xs, "zona", "vuelta", betas, means, "p_anterior")
+
+
+@query()
+def leakage_study(spark, sf):
+    """Three versions of the model, the first with leaks: errors, flags and how far they agree with the official one."""
+    return flags_compared(versions(analysis_rows(spark, sf), FEATURES), {"anterior": "p_anterior", "sin_fuga_precio": "p_precio", "sin_fuga_log": "p_log"}, "sin_fuga_log")
+
+
+def versions(rows: DataFrame, xs: list[str]) -> DataFrame:
+    """(id_aviso, barrio, y, p_anterior, p_precio, p_log), written."""
+    out = earlier_method(rows, xs).select("id_aviso", "barrio", "y", "zona", "p_anterior")
+    for name, in_logs in (("p_precio", False), ("p_log", True)):
+        fit = model.leak_free_fit(rows, "y", xs, "barrio", "subzona", "unidad", "vuelta", in_logs=in_logs)
+        out = out.join(fit.rows.select("id_aviso", F.col("prediccion").alias(name)), "id_aviso")
+    return cluster.written(out)
+
+
+@query()
+def leakage_jumps(spark, sf):
+    """The ten ads that only the version with leaks flags whose gap moves most."""
+    rows = versions(analysis_rows(spark, sf), FEATURES)
+    gap = lambda p: F.exp(F.col("y") - F.col(p)) - 1
+    only = rows.filter((gap("p_anterior") < THRESHOLD) & (gap("p_log") >= THRESHOLD))
+    jump = F.abs(gap("p_log") - gap("p_anterior"))
+    return only.select("id_aviso", "barrio", "zona", (100 * gap("p_anterior")).alias("brecha_anterior_pct"), (100 * gap("p_log")).alias("brecha_oficial_pct"), (100 * jump).alias("salto_pct")).orderBy(F.desc("salto_pct"), "id_aviso").limit(10)
+
+
+@query()
+def exclusion_sensitivity(spark, sf):
+    """What comes of comparing neighbourhoods with unstable subzones, or nearly so, as a whole (N19): error and flags."""
+    rows = analysis_rows(spark, sf)
+    found = cluster.written(unstable_places(rows, least=2.0))  # every neighbourhood with subzones
+    cases = {"oficial": None, "sin_inestables": found.filter("ari_mediano < 0.7"), "sin_cercanas": found.filter("ari_mediano < 0.8")}
+    out = cluster.written(rows.select("id_aviso", "y"))
+    for name, excluded in cases.items():
+        fit = model.leak_free_fit(rows, "y", FEATURES, "barrio", "subzona", "unidad", "vuelta", excluded)
+        out = out.join(fit.rows.select("id_aviso", F.col("prediccion").alias(name)), "id_aviso")
+    return flags_compared(cluster.written(out), {n: n for n in cases}, "oficial")
 
 
 @query()
@@ -317,9 +432,9 @@ def block_value(spark, sf):
 @query()
 def state_premiums(spark, sf):
     """What title states are worth: mean, least and greatest coefficient over folds."""
-    rows, xs = model_rows(spark, sf, *_STATES), [*FEATURES, *_STATES]
+    rows, xs = model_rows(spark, sf, *STATES), [*FEATURES, *STATES]
     betas, _ = model.fit_within(rows, "y", xs, "barrio", "vuelta")
-    long = spark.createDataFrame([(f, x, float(b[i])) for f, b in betas.items() for i, x in enumerate(xs) if x in _STATES], "vuelta int, variable string, coef double")
+    long = spark.createDataFrame([(f, x, float(b[i])) for f, b in betas.items() for i, x in enumerate(xs) if x in STATES], "vuelta int, variable string, coef double")
     return long.groupBy("variable").agg(F.avg("coef").alias("media"), F.min("coef").alias("minimo"), F.max("coef").alias("maximo"), F.avg(100 * (F.exp("coef") - 1)).alias("prima_pct"))
 
 
