@@ -141,7 +141,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item; see matches(). Nothing is shuffled."""
+    """The rows of docs, with all their columns, that hold no item; see matches(). Nothing is shuffled. Of tables that it wrote
+    between blocks of items only the last is left; docs itself is never deleted, written or not."""
     out = docs
     for items, alone in _blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -155,6 +156,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
         before, out = out, out.mapInArrow(keep, out.schema)
         if not alone:
             out = staged(out, "clean")
-            discard(before)
+            if before is not docs:
+                discard(before)
             shared.destroy()
     return out

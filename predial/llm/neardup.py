@@ -521,16 +521,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.select("doc_id", class_id.cast(kind).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
+def row_hash(docs: DataFrame, seed: int) -> Column:
+    """A 64-bit hash over all columns; entries of a map are taken in the order of their keys."""
+    entries = lambda f: F.array_sort(F.map_entries(F.col(f"`{f.name}`"))) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`")
+    return F.xxhash64(F.lit(seed), *map(entries, docs.schema))
+
+
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, with one row of each class: the one with the least doc_id, of equal ones that with the least hash
-    over all columns; rows that are equal in all columns count once. Rows whose text has no words all stay."""
+    over all columns; rows that are equal in all columns, the entries of maps included, count once. Rows whose text has no words
+    all stay. A row is told apart by two hashes of 64 bits; rows that agree in the first and not in the second all stay, so that
+    no stranger is lost to a collision."""
     whole_ids(docs)
-    key = fresh("node", docs.columns)
-    hashed = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)))
+    key, second = fresh("node", docs.columns), fresh("second", docs.columns)
     # Rows of one text and id differ in the hash of their other columns.
-    rows = docs.filter(F.coalesce("text", F.lit("")).rlike(WORD_PATTERN)).withColumn(key, hashed)
+    rows = docs.filter(F.coalesce("text", F.lit("")).rlike(WORD_PATTERN)).withColumns({key: row_hash(docs, 0), second: row_hash(docs, 1)})
     found = staged(classes(rows.select(F.col(key).alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text"), threshold), "near-classes")
     first = staged(found.groupBy("root").agg(F.min(F.struct("doc", "node")).alias("first")).select("root", F.col("first.node").alias("first")), "near-firsts")
     others = salted(found.distinct(), first, ["root"], F.col("node")).filter(F.col("node") != F.col("first")).select(F.col("node").alias(key))
-    kept = rows.join(others, key, "left_anti").dropDuplicates([key]).drop(key)
+    strangers = rows.groupBy(key).agg(F.min(second).alias("a"), F.max(second).alias("b")).filter("a != b").select(key)
+    kept = rows.join(others.join(strangers, key, "left_anti"), key, "left_anti").dropDuplicates([key, second]).drop(key, second)
     return kept.unionByName(docs.filter(~F.coalesce("text", F.lit("")).rlike(WORD_PATTERN)))
