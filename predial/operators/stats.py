@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from predial.functions.numeric import chi2_tail, fold_of, two_sided
+from predial.functions.numeric import chi2_tail, fold_of, lgamma, two_sided
 from predial.operators.clean import truth
 
 
@@ -72,18 +72,11 @@ def binomial_tail(one: DataFrame, share: float = 0.5) -> DataFrame:
     if not r.n:
         return one.withColumn("p", F.lit(1.0))
     spark, i = one.sparkSession, F.col("id").cast("double")
-    log = F.lit(math.lgamma(r.n + 1)) - _lgamma(i + 1) - _lgamma(F.lit(float(r.n)) - i + 1) + i * math.log(share) + (r.n - i) * math.log(1 - share)
+    log = F.lit(math.lgamma(r.n + 1)) - lgamma(i + 1) - lgamma(F.lit(float(r.n)) - i + 1) + i * math.log(share) + (r.n - i) * math.log(1 - share)
     total = spark.range(r.k, r.n + 1).agg(F.least(F.lit(1.0), F.sum(F.exp(log))).alias("p"))
     return one.crossJoin(F.broadcast(total))
 
 
-def _lgamma(x: Column) -> Column:
-    """The logarithm of the gamma function from 1 on: Stirling's series at x + 8, less the logarithms of the steps."""
-    y = x + 8
-    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
-    return series - reduce(lambda a, b: a + b, (F.log(x + i) for i in range(8)))
-
-
 def iqr_outliers(rows: DataFrame, value: str, group: str, k: float = 1.5, least: int = 10, limits_of: DataFrame | None = None) -> DataFrame:
     """rows with atipico: outside k interquartile ranges of a group with at least `least` values (W3), of rows or of
     limits_of."""

@@ -151,13 +151,20 @@ def chi2_yates(spark, sf):
     return cells.agg(r6(F.sum(F.pow(F.greatest(F.abs(F.col("n") - F.col("e")) - 0.5, F.lit(0.0)), 2) / F.col("e"))).alias("chi2"), F.sum("n").cast("long").alias("n"))
 
 
+#: The two-sided tail of Student's t, by Simpson's rule over a power of a cosine.
+_T_BEYOND = """abs(round(1 - 2 * exp(lgamma(({df} + 1) / 2.0::double) - lgamma({df} / 2.0::double)) / sqrt(pi()) * (select sum(case when i in (0, 20000) then 1 when i % 2 = 1 then 4 else 2 end
+  * pow(cos(atan(abs({t}) / sqrt({df})) * i / 20000), {df} - 1)) * atan(abs({t}) / sqrt({df})) / 60000 from range(20001) r(i)), 6))"""
+
+
 @query(f""", u as (select {_UNIT} as unidad, avg(ln(precio_m2_usd)) as v from listings group by 1), m as (select avg(v) as m, stddev_samp(v) as s, count(*) as n, median(v) as med from u)
-  select round(m / (s / sqrt(n)), 4) as t, n, round(1.4826 * (select median(abs(v - med)) from u, m), 6) as mad from m""")
+  select round(m / (s / sqrt(n)), 4) as t, n, round(1.4826 * (select median(abs(v - med)) from u, m), 6) as mad, {_T_BEYOND.format(t='m / (s / sqrt(n))', df='(n - 1)')} as p from m""")
 def unit_t_and_mad(spark, sf):
     units = with_unit(spark, sf).groupBy("unidad").agg(F.avg(F.log("precio_m2_usd")).alias("v"))
     one = units.agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"), F.count("*").alias("n"), F.median("v").alias("med"))
     mad = units.crossJoin(F.broadcast(one.select("med"))).agg((1.4826 * F.median(F.abs(F.col("v") - F.col("med")))).alias("mad"))
-    return one.crossJoin(F.broadcast(mad)).select(F.round(F.col("m") / (F.col("s") / F.sqrt("n")), 4).alias("t"), "n", r6("mad").alias("mad"))
+    t = F.col("m") / (F.col("s") / F.sqrt("n"))
+    p = numeric.student_two_sided(t, F.col("n") - 1)
+    return one.crossJoin(F.broadcast(mad)).select(F.round(t, 4).alias("t"), "n", r6("mad").alias("mad"), F.abs(r6(p)).alias("p"))
 
 
 _ZONES = f""", b as (select barrio, subzona, precio_m2_usd as v, {_FOLD.format(u=_UNIT)} as vuelta, {_FOLD.format(u=_UNIT + " || '#'")} as inner_ from listings),
