@@ -10,6 +10,8 @@ A phrase is no more frequent than its parts, so rare words are left out first, t
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -216,9 +218,19 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values, pa.int64()))
 
 
-_BATCH = pa.schema(
-    [("batch", pa.int64()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("coded", pa.binary())]
-)
+_BATCH = pa.schema([("batch", pa.int64()), ("words", pa.binary()), ("coded", pa.binary())])
+_BATCH_SQL = "batch long, words binary, coded binary"
+
+
+def _table_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
 
 def _code_batches(batches):
@@ -255,24 +267,74 @@ def _code_batches(batches):
         n_words = max(len(words.dictionary), 1)
         keys = keys * n_words + words.indices.to_numpy(zero_copy_only=False)
         keys, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
+        found = pa.table({
+            "lang": langs.dictionary.take(pa.array(keys // n_words)), "word": words.dictionary.take(pa.array(keys % n_words)).cast(pa.large_string()), "count": counts,
+        })
         columns = [
             pa.array([TaskContext.get().partitionId() << 33 | i], pa.int64()),
-            one(langs.dictionary.take(pa.array(keys // n_words)), pa.string()),
-            one(words.dictionary.take(pa.array(keys % n_words)).cast(pa.large_string()), pa.string()),
-            one(pa.array(counts), pa.int64()),
+            pa.array([_table_bytes(found)], pa.binary()),
             pa.array([pack(_narrow(place), np.packbits(first))], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, schema=_BATCH)
 
 
+def _word_messages(batches, ranges: int):
+    """For each range of hashes the words of a batch that fall into it, with their places in the batch's list."""
+    for batch in batches:
+        for sender, data in zip(batch.column("batch").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            found = _table(data)
+            hashed = np.fromiter(map(zlib.crc32, found.column("word").cast(pa.large_binary()).to_pylist()), np.int64, found.num_rows)
+            to = hashed * ranges >> 32
+            order = np.argsort(to, kind="stable")
+            found = found.append_column("at", pa.array(np.arange(found.num_rows), pa.int32())).take(pa.array(order))
+            begins = sorted_groups(to[order]).tolist()
+            rows = [(int(to[order[i]]), sender, _table_bytes(found.slice(i, j - i))) for i, j in zip(begins, [*begins[1:], len(order)], strict=False)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MESSAGE, strict=True)], schema=_MESSAGE)
+
+
+_WORDS = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()), ("sender", pa.int64()), ("data", pa.binary())])
+_WORDS_SQL = "id long, lang string, word string, f long, sender long, data binary"
+
+
+def _unite_words(key, rows: pa.Table, minimum: int) -> pa.Table:
+    """A range's frequent words with ids of their own, for each sender the places and ids of those that it has, and for each
+    language all its words' occurrences in the range (a row without word)."""
+    tables = [_table(x) for x in rows.column("data").to_pylist()]
+    every = pa.concat_tables(tables).unify_dictionaries()
+    every = every.set_column(0, "lang", every.column("lang").cast(pa.string()))
+    sums = every.select(["lang", "word", "count"]).group_by(["lang", "word"]).aggregate([("count", "sum")])
+    langs = sums.group_by("lang").aggregate([("count_sum", "sum")])
+    often = sums.filter(pc.greater_equal(sums.column("count_sum"), minimum)).sort_by([("lang", "ascending"), ("word", "ascending")])
+    ids = (key[0].as_py() << 40) + np.arange(often.num_rows)
+    none = lambda n, kind: pa.nulls(n, kind)
+    n, m = often.num_rows, langs.num_rows
+    one = lambda *columns: pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(columns, _WORDS, strict=True)], schema=_WORDS)
+    out = [
+        one(ids, often.column("lang").cast(pa.string()), often.column("word").cast(pa.string()), often.column("count_sum"), none(n, pa.int64()), none(n, pa.binary())),
+        one(none(m, pa.int64()), langs.column("lang").cast(pa.string()), none(m, pa.string()), langs.column("count_sum_sum"), none(m, pa.int64()), none(m, pa.binary())),
+    ]
+    # A word has no tab, so that language and word are told apart.
+    joined = lambda t: pc.binary_join_element_wise(t.column("lang").cast(pa.large_string()), t.column("word"), pa.scalar("\t", pa.large_string()))
+    place = pc.fill_null(pc.index_in(joined(every), value_set=joined(often).combine_chunks()), -1).to_numpy()
+    end = 0
+    for sender, table in zip(rows.column("sender").to_pylist(), tables, strict=True):
+        mine = place[end : end + table.num_rows]
+        end += table.num_rows
+        known = mine >= 0
+        if known.any():
+            data = pack(_narrow(table.column("at").to_numpy()[known]), ids[mine[known]])
+            out.append(one([None], [None], [None], [None], [sender], [data]))
+    return pa.concat_tables(out)
+
+
 class _Batch:
     """A batch's words as labels that ascend with the ids of frequent words; -1 is a rare word."""
 
     def __init__(self, answers: pa.Table, rows: pa.Table):
         place, first = unpack(rows.column("coded")[0].as_py())
-        own = answers.filter(pc.is_valid(answers.column("id")))
-        at, ids = own.column("at").to_numpy(), own.column("id").to_numpy()
+        told = [unpack(x) for x in answers.column("data").to_pylist() if x is not None]
+        at, ids = (np.concatenate([np.zeros(0, np.int64), *(x[i].astype(np.int64) for x in told)]) for i in (0, 1))
         self.ids = np.sort(ids)
         label = np.full(int(place.max(initial=0)) + 1, -1)
         label[at] = np.searchsorted(self.ids, ids)
@@ -428,15 +490,6 @@ def _cuts(answers: pa.Table, rows: pa.Table, longest: int) -> pa.Table:
     )
 
 
-def _word_ids(words: DataFrame) -> DataFrame:
-    """words (lang, word; distinct) with an id for each: a hash of 63 bits. Another seed is taken until no two words share one."""
-    for seed in range(64):
-        hashed = F.xxhash64(F.lit(seed), "lang", "word").bitwiseAND((1 << 63) - 1)
-        if words.groupBy(hashed.alias("id")).count().filter("count > 1").isEmpty():
-            return words.withColumn("id", hashed)
-    raise RuntimeError("no seed gives all frequent words ids of their own")
-
-
 def collocations(docs: DataFrame, minimum: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
     """The phrases of 2 to longest words that score highest in each language.
 
@@ -451,24 +504,16 @@ def collocations(docs: DataFrame, minimum: int = 100, longest: int = 5, top: int
     spark = docs.sparkSession
     ship(spark)
     ranges = partitions_for(spark, text_bytes(docs), RANGE_BYTES)
-    batches = staged(
-        docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(
-            _code_batches, "batch long, langs array<string>, words array<string>, counts array<long>, coded binary"
-        ),
-        "phrases-batches",
-    )
-    words = batches.select("batch", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("at", "x"))
-    words = words.select("batch", "at", F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("count"))
-    totals = words.groupBy("lang").agg(F.sum("count").alias("n"))
-    known = words.groupBy("lang", "word").agg(F.sum("count").alias("f")).filter(F.col("f") >= minimum)
-    known = _word_ids(staged(known, "phrases-known"))
-    # A word has at most one row for each batch.
-    frequent = staged(words.join(known, ["lang", "word"]).select("batch", "at", "id"), "phrases-words")
-    own = frequent.select(F.col("batch").alias("asker"), "at", "id", F.lit(None).cast("array<long>").alias("pairs"))
+    batches = staged(docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_code_batches, _BATCH_SQL), "phrases-batches")
+    sent = batches.select("batch", "words").mapInArrow(lambda b: _word_messages(b, ranges), _MESSAGE_SQL)
+    words = staged(sent.groupBy("range").applyInArrow(lambda key, rows: _unite_words(key, rows, minimum), _WORDS_SQL), "phrases-words")
+    totals = words.filter("id is null and sender is null").groupBy("lang").agg(F.sum("f").alias("n"))
+    known = words.filter("id is not null").select("id", "lang", "word", "f")
+    own = words.filter("sender is not null").select(F.col("sender").alias("asker"), "data", F.lit(None).cast("array<long>").alias("pairs"))
     coded = batches.select("batch", "coded").groupBy("batch")
     sent = own.groupBy("asker").cogroup(coded).applyInArrow(lambda a, b: _pair_messages(a, b, ranges), _MESSAGE_SQL)
     pairs = staged(sent.groupBy("range").applyInArrow(lambda rows: _unite(rows, minimum, 2, True), _UNITED_SQL), "phrases-pairs")
-    told = pairs.filter("sender is not null").select(F.col("sender").alias("asker"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("long").alias("id"), F.col("phrase").alias("pairs"))
+    told = pairs.filter("sender is not null").select(F.col("sender").alias("asker"), F.lit(None).cast("binary").alias("data"), F.col("phrase").alias("pairs"))
     sent = own.unionByName(told).groupBy("asker").cogroup(coded).applyInArrow(lambda a, b: _longer_messages(a, b, ranges, longest), _MESSAGE_SQL)
     longer = sent.groupBy("range").applyInArrow(lambda rows: _unite(rows, minimum, longest, False), _UNITED_SQL)
     found = known.select(F.array("id").alias("phrase"), "f").unionByName(pairs.filter("sender is null").select("phrase", "f")).unionByName(longer.select("phrase", "f"))
