@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 from functools import reduce
+from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -181,12 +184,165 @@ def silhouette(rows: DataFrame, columns: list[str], label: str, key: str, most:
     return own.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silueta"))
 
 
+def _hashed(keys: np.ndarray, *numbers: int) -> np.ndarray:
+    """Uniform numbers in (0, 1) for each key, other ones for other numbers."""
+    seed = np.uint64(0)
+    for x in numbers:
+        seed = (seed ^ np.uint64(x + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = keys ^ seed
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h = h ^ (h >> np.uint64(31))
+    return (h >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, and the squared distance to it."""
+    d = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0)
+    label = d.argmin(axis=1)
+    return label, d[np.arange(len(x)), label]
+
+
+@dataclass
+class Runs:
+    """k-means of many runs: centres by run, the sum of squared distances of each, and the replicate that a run belongs to."""
+
+    centres: dict[int, np.ndarray]
+    inertia: dict[int, float]
+    replicate: dict[int, int]
+
+    def best(self) -> dict[int, np.ndarray]:
+        """The centres of each replicate's best start."""
+        out = {}
+        for rep in sorted(set(self.replicate.values())):
+            run = min((r for r, q in self.replicate.items() if q == rep), key=lambda r: (self.inertia[r], r))
+            out[rep] = self.centres[run]
+        return out
+
+
+def kmeans_runs(rows: DataFrame, key: str, vector: str, k: int, replicates: tuple[int, ...] = (0,), starts: int = 20, share: float = 0.8, max_iter: int = 30, tolerance: float = 1e-4) -> Runs:
+    """k-means with k-means++ starts for every replicate and start at once (C4, C8): one job a round for all of them.
+
+    Replicate 0 has all rows, others those whose hash with the replicate's number is under share. rows: key, vector (an array
+    of numbers without nulls). Only centres, as many as there are runs times k, pass the driver. A run whose centres move by less
+    than tolerance (squared, in all) is left out of later rounds; an emptied cluster keeps its centre.
+    """
+    slim = written(rows.select(F.xxhash64(key).alias("h"), F.col(vector).cast("array<double>").alias("z")))
+    first = slim.first()
+    if first is None:
+        raise ValueError("no rows")
+    d = len(first.z)
+    runs = {i: rep for i, rep in enumerate(r for r in replicates for _ in range(starts))}
+
+    def batches_of(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.column(0).to_numpy().view(np.uint64), batch.column(1).flatten().to_numpy().reshape(-1, d)
+
+    def inside(h: np.ndarray, rep: int) -> np.ndarray:
+        return np.flatnonzero(_hashed(h, rep) < share) if rep else np.arange(len(h))
+
+    def pick(centres: dict[int, np.ndarray], turn: int) -> dict[int, np.ndarray]:
+        """A row for each run, drawn in proportion to its squared distance from the run's centres: the least of exponential
+        times, each divided by its weight."""
+
+        def draw(batches):
+            best: dict[int, tuple[float, list[float]]] = {}
+            for h, x in batches_of(batches):
+                members = {rep: inside(h, rep) for rep in set(runs.values())}
+                for run, rep in runs.items():
+                    at = members[rep]
+                    if not len(at):
+                        continue
+                    weight = _nearest(x[at], centres[run])[1] if len(centres[run]) else np.ones(len(at))
+                    with np.errstate(divide="ignore"):
+                        time = np.where(weight > 0, -np.log(_hashed(h[at], 1 << 20, run, turn)) / weight, np.inf)
+                    i = int(time.argmin())
+                    if run not in best or time[i] < best[run][0]:
+                        best[run] = float(time[i]), x[at[i]].tolist()
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([t for t, _ in best.values()]), pa.array([z for _, z in best.values()])], ["run", "t", "z"])
+
+        found = slim.mapInArrow(draw, "run int, t double, z array<double>").groupBy("run").agg(F.min_by("z", F.struct("t", "z")).alias("z")).collect()
+        return {r.run: np.vstack([centres[r.run], r.z]) for r in found}
+
+    centres = {run: np.zeros((0, d)) for run in runs}
+    for turn in range(k):
+        centres = centres | pick(centres, turn)
+    inertia, moving = {}, set(centres)
+    for _ in range(max_iter):
+
+        def step(batches, now={r: centres[r] for r in moving}):
+            total = {run: np.zeros((k, d + 2)) for run in now}
+            for h, x in batches_of(batches):
+                members = {rep: inside(h, rep) for rep in {runs[r] for r in now}}
+                for run, c in now.items():
+                    mine = x[members[runs[run]]]
+                    label, far = _nearest(mine, c)
+                    sums = total[run]
+                    sums[: len(c), 0] += np.bincount(label, minlength=len(c))
+                    sums[: len(c), 1] += np.bincount(label, far, len(c))
+                    for j in range(d):
+                        sums[: len(c), 2 + j] += np.bincount(label, mine[:, j], len(c))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.ravel() for t in total.values()], pa.list_(pa.float64()))], ["run", "m"])
+
+        added = F.array(*(F.sum(F.col("m")[i]) for i in range(k * (d + 2))))
+        for r in slim.mapInArrow(step, "run int, m array<double>").groupBy("run").agg(added.alias("m")).collect():
+            m, old = np.array(r.m).reshape(k, d + 2), centres[r.run]
+            m = m[: len(old)]
+            new = np.where(m[:, :1] > 0, m[:, 2:] / np.maximum(m[:, :1], 1), old)
+            inertia[r.run] = float(m[:, 1].sum())
+            if ((new - old) ** 2).sum() <= tolerance:
+                moving.discard(r.run)
+            centres[r.run] = new
+        if not moving:
+            break
+    unwritten(slim)
+    return Runs(centres, inertia, runs)
+
+
+def labelled(rows: DataFrame, vector: str, centres: np.ndarray, name: str = "cluster") -> DataFrame:
+    """rows with the number of the nearest centre."""
+    d = lambda c: reduce(lambda a, b: a + b, ((F.col(vector)[j] - float(v)) * (F.col(vector)[j] - float(v)) for j, v in enumerate(c)))
+    return rows.withColumn(name, F.array_min(F.array(*(F.struct(d(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres))))["i"])
+
+
+def segment_agreement(rows: DataFrame, vector: str, runs: Runs, k: int) -> list[tuple[int, float, list[float]]]:
+    """For each replicate but 0: the adjusted Rand index of its segments of *all* rows against replicate 0's, and the segments'
+    sizes in percent under the renaming that agrees most (C7, C8). Counts of label pairs are formed in one job."""
+    best = runs.best()
+    base = best.pop(0)
+
+    def count(batches):
+        tables = {rep: np.zeros((k, k), np.int64) for rep in best}
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+                own = _nearest(x, base)[0]
+                for rep, c in best.items():
+                    tables[rep] += np.bincount(own * k + _nearest(x, c)[0], minlength=k * k).reshape(k, k)
+        yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([t.ravel() for t in tables.values()], pa.list_(pa.int64()))], ["rep", "n"])
+
+    summed = F.array(*(F.sum(F.col("n")[i]) for i in range(k * k)))
+    found = rows.select(F.col(vector).cast("array<double>").alias("z")).mapInArrow(count, "rep int, n array<long>").groupBy("rep").agg(summed.alias("n")).collect()
+    out = []
+    for r in sorted(found, key=lambda r: r.rep):
+        table = np.array(r.n, float).reshape(k, k)
+        pairs = lambda m: (m * (m - 1) / 2).sum()
+        expected = pairs(table.sum(axis=0)) * pairs(table.sum(axis=1)) / pairs(table.sum())
+        top = (pairs(table.sum(axis=0)) + pairs(table.sum(axis=1))) / 2 - expected
+        order = max(permutations(range(k)), key=lambda p: sum(table[i, j] for i, j in enumerate(p)))
+        out.append((r.rep, 1.0 if top == 0 else float((pairs(table) - expected) / top), [float(100 * table[:, j].sum() / table.sum()) for j in order]))
+    return out
+
+
 def imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows with nulls replaced by the median of the column, and <column>_falta."""
-    for c in columns:
+    out = rows
+    for c in columns:  # each column's median from the rows as they came
         middle = exact_quantiles(rows, c, [0.5]).select(F.col("q")[0].alias("_m"))
-        rows = rows.crossJoin(F.broadcast(middle)).withColumns({f"{c}_falta": F.col(c).isNull(), c: F.coalesce(F.col(c), F.col("_m"))}).drop("_m")
-    return rows
+        out = out.crossJoin(F.broadcast(middle)).withColumns({f"{c}_falta": F.col(c).isNull(), c: F.coalesce(F.col(c), F.col("_m"))}).drop("_m")
+    return out
 
 
 def named_segments(centres: DataFrame, label: str, rooms: str, equipment: str) -> DataFrame:

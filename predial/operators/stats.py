@@ -252,9 +252,10 @@ def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def winsor_z(rows: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """z-scores (population deviation) of columns clipped to two percentiles (C3), as z_<column>."""
-    for c in columns:
-        rows = rows.crossJoin(F.broadcast(exact_quantiles(rows, c, [low, high]).withColumnRenamed("q", f"_{c}")))
-    clipped = rows.withColumns({f"_c_{c}": F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_{c}")[0]), F.col(f"_{c}")[1])) for c in columns})
+    wide = rows
+    for c in columns:  # each column's limits from the rows as they came
+        wide = wide.crossJoin(F.broadcast(exact_quantiles(rows, c, [low, high]).withColumnRenamed("q", f"_{c}")))
+    clipped = wide.withColumns({f"_c_{c}": F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_{c}")[0]), F.col(f"_{c}")[1])) for c in columns})
     moments = clipped.agg(*(x for c in columns for x in (F.avg(f"_c_{c}").alias(f"_m_{c}"), F.stddev_pop(f"_c_{c}").alias(f"_s_{c}"))))
     out = clipped.crossJoin(F.broadcast(moments))
     out = out.withColumns({f"z_{c}": F.try_divide(F.col(f"_c_{c}") - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in columns})
