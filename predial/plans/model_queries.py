@@ -546,7 +546,7 @@ def segment_features(spark, sf):
 
 def vectors(spark, sf) -> DataFrame:
     """Winsorised z-scores of the segment numbers as arrays."""
-    rows = stats.winsor_z(segment_rows(spark, sf), [*_NUMBERS, "indice"])
+    rows = stats.winsor_z(cluster.written(segment_rows(spark, sf)), [*_NUMBERS, "indice"])
     return cluster.written(rows.select("id_aviso", *_NUMBERS, "indice", *(f"z_{c}" for c in (*_NUMBERS, "indice")), F.array(*(F.col(f"z_{c}") for c in (*_NUMBERS, "indice"))).alias("z")))
 
 
