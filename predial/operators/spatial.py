@@ -18,26 +18,33 @@ def distinct_points(rows: DataFrame, lat: str = "lat", lon: str = "lon") -> Data
     return rows.select(lat, lon).dropna().distinct()
 
 
+def _farthest(*sides: DataFrame) -> float:
+    """The latitude of all sides that is farthest from the equator; one number reaches the driver for each."""
+    return max(s.agg(F.max(F.abs(s.columns[0]))).first()[0] or 0.0 for s in sides)
+
+
 def _cells(lat: Column, lon: Column, metres: float, widest_lat: float = 60.0) -> tuple[Column, Column]:
-    """Cells at least metres wide up to the latitude widest_lat."""
+    """Cells at least metres wide up to the latitude widest_lat and metres beyond it."""
     step = metres / METRES_PER_DEGREE
+    widest_lat = min(widest_lat + step, 89.99)
     return F.floor(lat / step), F.floor(lon / (step / math.cos(math.radians(widest_lat))))
 
 
 def radius_count(points: DataFrame, others: DataFrame, metres: float, name: str) -> DataFrame:
-    """Distinct points (lat, lon) with the number of others (lat, lon) nearer than metres.
+    """Distinct points (lat, lon) with the number of others (lat, lon) nearer than metres (J11); null without coordinates.
 
     Both sides fall into grid cells as wide as the radius; each point looks into its nine cells, so only near pairs meet.
     """
     near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    cy, cx = _cells(F.col("lat"), F.col("lon"), metres)
+    far = _farthest(points.select("lat"), others.select("lat"))
+    cy, cx = _cells(F.col("lat"), F.col("lon"), metres, far)
     asked = points.withColumns({"_y": cy, "_x": cx})
     asked = asked.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near)).withColumns({"_y": F.col("_y") + F.col("_dy"), "_x": F.col("_x") + F.col("_dx")})
-    oy, ox = _cells(F.col("_olat"), F.col("_olon"), metres)
+    oy, ox = _cells(F.col("_olat"), F.col("_olon"), metres, far)
     given = others.select(F.col("lat").alias("_olat"), F.col("lon").alias("_olon")).groupBy("_olat", "_olon").agg(F.count("*").alias("_m")).withColumns({"_y": oy, "_x": ox})
     hit = asked.join(given, ["_y", "_x"]).filter(haversine(F.col("lat"), F.col("lon"), F.col("_olat"), F.col("_olon")) < metres)
     counts = hit.groupBy("lat", "lon").agg(F.sum("_m").alias(name))
-    return points.join(counts, ["lat", "lon"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return points.join(counts, ["lat", "lon"], "left").withColumn(name, F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.coalesce(name, F.lit(0))))
 
 
 #: Points of interest are broadcast up to this number; above, they are searched for ring by ring.
@@ -58,10 +65,11 @@ def nearest(points: DataFrame, others: DataFrame, name: str, ring: float = 2_000
     if n <= FEW:
         return points.crossJoin(F.broadcast(given)).groupBy("lat", "lon").agg(F.min(d).alias(name))
     found, left = None, points
+    far = _farthest(points.select("lat"), given.select("_olat"))
     near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     while ring < 4e7:
-        cy, cx = _cells(F.col("lat"), F.col("lon"), ring)
-        oy, ox = _cells(F.col("_olat"), F.col("_olon"), ring)
+        cy, cx = _cells(F.col("lat"), F.col("lon"), ring, far)
+        oy, ox = _cells(F.col("_olat"), F.col("_olon"), ring, far)
         asked = left.withColumns({"_y": cy, "_x": cx}).withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near)).withColumns({"_y": F.col("_y") + F.col("_dy"), "_x": F.col("_x") + F.col("_dx")})
         best = asked.join(given.withColumns({"_y": oy, "_x": ox}), ["_y", "_x"]).groupBy("lat", "lon").agg(F.min(d).alias(name)).filter(F.col(name) <= ring)
         found = best if found is None else found.unionByName(best)
