@@ -345,18 +345,19 @@ def imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def named_segments(centres: DataFrame, label: str, rooms: str, equipment: str) -> DataFrame:
+def named_segments(centres: DataFrame, label: str, rooms: str, equipment: str, strict: bool = True) -> DataFrame:
     """(label, segmento): four clusters by what stands out of their centres (C9): the one with most rooms, with most equipment
     and with fewest rooms, each chosen among all four, and the rest. Raises if they are not four, or if one would get two
-    names: then the rule does not tell them apart."""
+    names: then the rule does not tell them apart. Not strict: such a cluster and those left over have no name (null)."""
     found = centres.select(label, rooms, equipment).collect()  # four rows
     if len(found) != 4:
         raise ValueError("four clusters are needed")
-    names: dict[int, str] = {}
+    names: dict[int, list[str]] = {r[label]: [] for r in found}
     for name, pick in (("familiares", lambda r: -r[rooms]), ("equipados", lambda r: -r[equipment]), ("chicos", lambda r: r[rooms])):
-        best = min(found, key=lambda r: (pick(r), r[label]))[label]
-        if best in names:
-            raise ValueError(f"cluster {best} would be both {names[best]} and {name}: the naming rule is ambiguous")
-        names[best] = name
-    names |= {r[label]: "intermedios" for r in found if r[label] not in names}
-    return centres.sparkSession.createDataFrame(list(names.items()), f"{label} int, segmento string")
+        names[min(found, key=lambda r: (pick(r), r[label]))[label]].append(name)
+    twice = {k: n for k, n in names.items() if len(n) > 1}
+    if twice and strict:
+        raise ValueError(f"one cluster would be all of {next(iter(twice.values()))}: the naming rule is ambiguous")
+    rest = None if twice else "intermedios"
+    rows = [(k, n[0] if len(n) == 1 else None if n else rest) for k, n in names.items()]
+    return centres.sparkSession.createDataFrame(rows, f"{label} int, segmento string")

@@ -567,11 +567,11 @@ def segment_choice(spark, sf):
 
 @query()
 def segment_names(spark, sf):
-    """The segment of each ad, named after its centre."""
+    """The segment of each ad, named after its centre; null where the naming rule does not tell segments apart."""
     rows = vectors(spark, sf)
     labels = cluster.written(cluster.labelled(rows, "z", cluster.kmeans_runs(rows, "id_aviso", "z", 4).best()[0]))
     centres = labels.groupBy("cluster").agg(F.avg("ambientes_").alias("a"), F.avg("indice").alias("i"))
-    return labels.join(F.broadcast(cluster.named_segments(centres, "cluster", "a", "i")), "cluster").select("id_aviso", "segmento")
+    return labels.join(F.broadcast(cluster.named_segments(centres, "cluster", "a", "i", strict=False)), "cluster").select("id_aviso", "segmento")
 
 
 @query()
