@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import math
 import re
@@ -28,6 +29,21 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _return_memory() -> None:
+    """Let this process give large freed arrays back to the system at once, Arrow's too. Workers live for many tasks, and all of an
+    executor's share its memory; by default both allocators keep what the largest task needed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        mallopt = ctypes.CDLL(None).mallopt
+        for option, value in ((_MMAP_THRESHOLD, 1 << 18), (_TRIM_THRESHOLD, 1 << 20), (_ARENA_MAX, 2)):
+            mallopt(option, value)
+
+
+#: Numbers of the options in malloc.h.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD, _ARENA_MAX = -1, -3, -8
+_return_memory()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Without a configured one, a local session gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
