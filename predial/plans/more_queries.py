@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from predial.functions import numeric, text
-from predial.operators import clean, stats
+from predial.operators import clean, model, stats
 from predial.plans.listing_queries import _SURVEYS, _poisson_sql, _UNIT, r6, surveys, with_unit
-from predial.plans.other_queries import hedonic_explanation
+from predial.plans.other_queries import _XS, hedonic_fit
 from predial.sources.listings import LISTINGS_SQL, listings, tables
 
 QUERIES: dict = {}
@@ -30,12 +30,8 @@ def query(sql: str | None = None, view: bool = True):
 @query()
 def top_contributions(spark, sf):
     """The two variables that raise and the two that lower each prediction most, and the product of the rest."""
-    long = hedonic_explanation(spark, sf).filter("variable != 'base'").withColumn("signo", F.when(F.col("aporte") >= 0, "sube").otherwise("baja"))
-    place = F.row_number().over(Window.partitionBy("id_aviso", "signo").orderBy(F.abs("aporte").desc(), "variable"))
-    long = long.withColumn("lugar", place)
-    name = lambda sign, i: F.max(F.when((F.col("signo") == sign) & (F.col("lugar") == i), F.col("variable"))).alias(f"{sign}_{i}")
-    rest = (F.exp(F.sum(F.when(F.col("lugar") > 2, F.col("aporte")).otherwise(0.0))) - 1).alias("resto")
-    return long.groupBy("id_aviso").agg(name("sube", 1), name("sube", 2), name("baja", 1), name("baja", 2), rest)
+    rows, betas, means = hedonic_fit(spark, sf)
+    return model.top_contributions(rows, "id_aviso", "y", _XS, "barrio", "vuelta", betas, means)
 
 
 @query(""", e as (select n_name as nombre, n_name as oficial from nation union all select 'NATION_1', 'NATION_2' union all select 'NATION_3', 'NATION_4'),
