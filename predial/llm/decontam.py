@@ -51,8 +51,10 @@ class Items:
 
 def _pairs(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each entry of keys, every place of an equal entry of sorted_keys: (index of keys, index of sorted_keys)."""
-    a, b = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
-    n = b - a
+    a = np.searchsorted(sorted_keys, keys, "left")
+    there = np.flatnonzero(np.append(sorted_keys, sorted_keys[-1:])[a] == keys) if len(sorted_keys) else np.zeros(0, np.int64)
+    n = np.zeros(len(keys), np.int64)  # most keys are not there
+    n[there] = np.searchsorted(sorted_keys, keys[there], "right") - a[there]
     ends = np.cumsum(n)
     return np.repeat(np.arange(len(keys)), n), np.repeat(a - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
@@ -60,18 +62,30 @@ def _pairs(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
 def candidates(found: np.ndarray, bounds: np.ndarray, items: Items) -> np.ndarray:
     """Pairs (row, item) that share a minimum: rows are cut into blocks of the class's largest size, and a window is two
     blocks in a row, so that any passage as long as an item lies in a window at most twice its size."""
-    pairs = []
+    pairs, cuts = [], []
     counts = np.diff(bounds)
     rows = np.flatnonzero(counts > 0)
-    for c, (keys, of) in items.tables.items():
-        step = 1 << c
-        blocks = -(-counts[rows] // step)
+    if not len(rows) or not items.tables:
+        return np.zeros(0, np.int64)
+    # Blocks of 16 or fewer shingles as columns, a row's last one filled up with its last shingle; a block of a class is made of
+    # whole blocks of the class before.
+    size = min(4, *items.tables)
+    blocks = -(-counts[rows] >> size)
+    starts = np.cumsum(blocks) - blocks
+    begins = np.repeat(bounds[rows] - (starts << size), blocks) + (np.arange(blocks.sum()) << size)
+    columns = found[np.minimum(begins + np.arange(1 << size)[:, None], np.repeat(bounds[rows + 1] - 1, blocks))]
+    for c in sorted(items.tables):
+        blocks = -(-counts[rows] >> c)
         row = np.repeat(rows, blocks)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        begins = bounds[row] + nth * step
+        firsts = np.cumsum(blocks) - blocks
+        nth = np.arange(len(row)) - np.repeat(firsts, blocks)
         last = np.concatenate((row[1:] != row[:-1], [True])) if len(row) else np.zeros(0, bool)
-        for i, seed in enumerate(_SEEDS):
-            lowest = np.minimum.reduceat(found * seed, begins) if len(begins) else np.zeros(0, np.uint64)
+        cuts.append((*items.tables[c], row, np.repeat(starts, blocks) + (nth << (c - size)), last))
+        starts, size = firsts, c
+    for i, seed in enumerate(_SEEDS):
+        lowest = (columns * seed).min(axis=0)
+        for keys, of, row, begins, last in cuts:
+            lowest = np.minimum.reduceat(lowest, begins)
             window = np.where(last, lowest, np.minimum(lowest, np.append(lowest[1:], lowest[-1:])))
             marked = mix64(window + np.uint64(i) * np.uint64(0xD6E8FEB86659FD93))
             hit, place = _pairs(keys, marked)
